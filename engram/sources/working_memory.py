@@ -1,0 +1,37 @@
+"""Working memory as JSON: recent conversations and per-user context."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
+
+from engram.schemas import MESSAGES, STR
+
+ENTRY = T.StructType(
+    [
+        T.StructField("conversation_id", STR),
+        T.StructField("user_id", STR),
+        T.StructField("summary", STR),
+        T.StructField("messages", MESSAGES),
+        T.StructField("timestamp", STR),
+    ]
+)
+CORRUPT = "_corrupt_record"
+
+
+def write_working_memory(entries: DataFrame, path: str) -> None:
+    """One JSON object per line; the folder is replaced."""
+    entries.select(*[F.col(f.name).cast(f.dataType) for f in ENTRY.fields]).write.mode("overwrite").json(path)
+
+
+def read_working_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entries, corrupt lines); a missing folder gives two empty frames."""
+    schema = T.StructType(ENTRY.fields + [T.StructField(CORRUPT, STR)])
+    try:
+        rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    good = rows.where(F.col(CORRUPT).isNull()).select(*ENTRY.fieldNames())
+    return good, rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)

@@ -1,0 +1,150 @@
+"""Streams that keep state per key: access counts, last-N rings, ingest."""
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from engram.operators.filters import newest
+from engram.operators.ingest import ingest_items
+from engram.operators.ranking import top_per_group
+from engram.policy import POLICY, model_limits
+from engram.streaming.batch_log import read_batches, write_batch
+
+ACCESS = "item_id string, session_id string, reads long, last_read timestamp_ntz"
+RING = "user_id string, conversation_id string, created_at timestamp_ntz, summary string"
+USAGE = "session_id string, used long"
+RING_SALTS = 8
+
+
+def start_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Run over what is there now and stop; the caller waits for the end."""
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def access_counts(log: DataFrame, path: str) -> DataStreamWriter:
+    """Reads and last read per item and batch, written to a batch log."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy("item_id", "session_id").agg(
+            F.count(F.lit(1)).alias("reads"), F.max("ts").alias("last_read")
+        )
+        write_batch(counted, path, batch_id)
+
+    return log.writeStream.foreachBatch(save)
+
+
+def access_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Running totals over all batches so far."""
+    return (
+        read_batches(spark, path, ACCESS)
+        .groupBy("item_id", "session_id")
+        .agg(F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"))
+    )
+
+
+def compact_access(spark: SparkSession, path: str, new_path: str, upto: int) -> None:
+    """A new log whose batch ``upto`` holds the totals up to it, later batches copied."""
+    rows = read_batches(spark, path, ACCESS)
+    folded = (
+        rows.where(F.col("batch_id") <= upto)
+        .groupBy("item_id", "session_id")
+        .agg(F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"))
+        .withColumn("batch_id", F.lit(upto).cast("bigint"))
+    )
+    later = rows.where(F.col("batch_id") > upto)
+    folded.unionByName(later).write.mode("errorifexists").partitionBy("batch_id").parquet(new_path)
+
+
+def ring_updates(conversations: DataFrame, n: int = POLICY.ring_size, salts: int = RING_SALTS) -> DataFrame:
+    """The last n conversations per (user, salt), emitted whenever they change.
+
+    A user is cut into ``salts`` rings so that a busy one is kept by several
+    tasks; the last n of the user are among the rings' rows (``last_n_of``).
+    """
+
+    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["conversation_id", "created_at", "summary"]
+        ring = pd.DataFrame(dict(zip(columns, state.get))) if state.exists else pd.DataFrame(columns=columns)
+        for chunk in chunks:
+            arrived = chunk[columns].assign(
+                created_at=chunk["created_at"].astype("datetime64[us]").astype("int64")
+            )
+            ring = arrived if ring.empty else pd.concat([ring, arrived])
+            ring = (
+                ring.drop_duplicates("conversation_id", keep="last")
+                .sort_values(["created_at", "conversation_id"], ascending=[False, True])
+                .head(n)
+            )
+        state.update(tuple(ring[c].tolist() for c in columns))
+        yield pd.DataFrame(
+            {
+                "user_id": pd.Series([key[0]] * len(ring), dtype=object),
+                "conversation_id": ring["conversation_id"].to_numpy(),
+                "created_at": ring["created_at"].to_numpy().astype("datetime64[us]"),
+                "summary": ring["summary"].to_numpy(),
+            }
+        )
+
+    salted = conversations.select(
+        "user_id",
+        F.pmod(F.xxhash64("conversation_id"), F.lit(salts)).alias("salt"),
+        "conversation_id",
+        "created_at",
+        "summary",
+    )
+    return salted.groupBy("user_id", "salt").applyInPandasWithState(
+        keep,
+        RING,
+        "ids array<string>, times array<bigint>, summaries array<string>",
+        "update",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def ring_log(conversations: DataFrame, path: str, n: int = POLICY.ring_size) -> DataStreamWriter:
+    def save(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, path, batch_id)
+
+    return ring_updates(conversations, n).writeStream.outputMode("update").foreachBatch(save)
+
+
+def last_n_of(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> DataFrame:
+    """The last n conversations per user out of the written rings."""
+    rows = read_batches(spark, path, RING).drop("batch_id").distinct()
+    return top_per_group(rows, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n)
+
+
+def ingest_stream(new_items: DataFrame, model: str, items_path: str, usage_path: str) -> DataStreamWriter:
+    """Each batch is ingested with what its sessions used before it.
+
+    The batch's own totals are read back from the written items, so the texts
+    are summarized once.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prior = session_usage(spark, usage_path, before=batch_id)
+        done = ingest_items(batch, model, prior)
+        write_batch(done, items_path, batch_id)
+        written = spark.read.schema(done.schema).parquet(f"{items_path}/batch_id={batch_id}")
+        used = written.groupBy("session_id").agg(F.sum("compressed_token_count").alias("used"))
+        write_batch(used, usage_path, batch_id)
+
+    return new_items.writeStream.foreachBatch(save)
+
+
+def session_usage(spark: SparkSession, usage_path: str, before: int | None = None) -> DataFrame:
+    rows = read_batches(spark, usage_path, USAGE, before)
+    return rows.groupBy("session_id").agg(F.sum("used").alias("used"))
+
+
+def utilization_alarms(spark: SparkSession, usage_path: str, model: str) -> DataFrame:
+    """Sessions over the compression trigger of the model."""
+    limits = model_limits(model)
+    percent = (F.col("used") / F.lit(limits.context_length) * 100).alias("utilization")
+    usage = session_usage(spark, usage_path).select("session_id", "used", percent)
+    return usage.where(F.col("utilization") > limits.compression_trigger * 100)
