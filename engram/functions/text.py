@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from engram.functions.vectors import once
 from engram.policy import POLICY, strategy_ratio
 from engram.schemas import MESSAGES
 
@@ -54,15 +55,15 @@ def chunk_text(
     chars = size * POLICY.chars_per_token
     step = (size - overlap) * POLICY.chars_per_token
     reach = -(-chars // step)
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    pattern = F.lit(f"(?s).{{1,{step}}}")
 
-    def window(block, i):
-        if reach == 1:
-            return block
-        joined = F.array_join(F.slice(blocks, i + 1, F.lit(reach)), "")
-        return F.substring(joined, 1, chars)
+    def windows(blocks: Column) -> Column:
+        def window(_, i: Column) -> Column:
+            return F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(reach)), ""), 1, chars)
 
-    return F.transform(blocks, window)
+        return F.transform(blocks, window)
+
+    return once(F.regexp_extract_all(text, pattern, F.lit(0)), windows)
 
 
 def parse_messages(content: Column) -> Column:

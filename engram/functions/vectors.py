@@ -1,11 +1,18 @@
 """Vector expressions on array<float> columns, accumulated in double."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where lambdas use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
@@ -38,15 +45,22 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     A text without words gets the zero vector, null text a null vector.
     """
     words = F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: F.length(w) > 0)
-    places = F.transform(
-        words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimension
-    )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda place: F.size(F.filter(places, lambda p: p == place)).cast("double"),
+    hashed = F.transform(
+        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
     )
-    length = norm(counts)
-    scaled = F.transform(
-        counts, lambda c: F.when(length > 0, c / length).otherwise(F.lit(0.0)).cast("float")
-    )
-    return F.when(text.isNotNull(), scaled)
+    numbers = F.sequence(F.lit(0), F.lit(dimension - 1))
+
+    def histogram(places: Column) -> Column:
+        return F.transform(
+            numbers, lambda n: F.size(F.filter(places, lambda place: place == n)).cast("double")
+        )
+
+    def unit(counts: Column) -> Column:
+        return once(
+            norm(counts),
+            lambda length: F.transform(
+                counts, lambda c: F.when(length > 0, c / length).otherwise(F.lit(0.0)).cast("float")
+            ),
+        )
+
+    return F.when(text.isNotNull(), once(once(hashed, histogram), unit))

@@ -22,6 +22,7 @@ PACKING_MODEL = "gpt-4"
 BUDGET = model_limits(PACKING_MODEL).packing_budget
 QUERY_TEXT = "the history of the earth and its people"
 LISTS, PROBES = 16, 6
+_QUERY_SQL = f"SELECT '{QUERY_TEXT}' AS asked"
 
 
 # ---- scalar functions ----
@@ -124,7 +125,7 @@ def x10(spark, d):
 
 @query(
     "x11_token_cost",
-    """SELECT event_id, round(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output, 6) AS cost
+    """SELECT event_id, round(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output, 9) AS cost
     FROM token_log JOIN models USING (model)""",
     ["token_log", "models"],
 )
@@ -133,7 +134,7 @@ def x11(spark, d):
     cost = N.token_cost(
         F.col("input_tokens"), F.col("output_tokens"), F.col("cost_per_1k_input"), F.col("cost_per_1k_output")
     )
-    return priced.select("event_id", r6(cost).alias("cost"))
+    return priced.select("event_id", F.round(cost, 9).alias("cost"))
 
 
 @query(
@@ -223,11 +224,12 @@ def u1(spark, d):
     return V.raw(spark, d, "documents").select("doc_id", count(F.col("text")).alias("tokens"))
 
 
-def hashed_sql(text):
-    """The hashed bag of words as a SQL expression, single precision at the end."""
+def hashed_sql(source, text, keep):
+    """A query giving the ``keep`` columns and ``counts``, the hashed bag of words of ``text``."""
     words = f"list_filter(regexp_split_to_array(lower({text}), '[ \\t\\n\\r]+'), lambda w: length(w) > 0)"
     places = f"list_transform({words}, lambda w: CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64)"
-    return f"list_transform(range(64), lambda i: CAST(len(list_filter({places}, lambda p: p = i)) AS DOUBLE))"
+    counts = "list_transform(range(64), lambda i: CAST(len(list_filter(places, lambda p: p = i)) AS DOUBLE))"
+    return f"SELECT {keep}, {counts} AS counts FROM (SELECT *, {places} AS places FROM ({source}))"
 
 
 def _unit_sql(counts):
@@ -239,9 +241,9 @@ def _unit_sql(counts):
 @query(
     "u2_embed_new_texts",
     f"""SELECT text_hash, round(list_sum(list_transform(range(64), lambda i: v[i + 1] * (i + 1))), 4) AS checksum
-    FROM (SELECT text_hash, {_unit_sql('counts')} AS v FROM (
-        SELECT sha256(text) AS text_hash, {hashed_sql('any_value(text)')} AS counts
-        FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations) GROUP BY text)
+    FROM (SELECT text_hash, {_unit_sql('counts')} AS v FROM ({hashed_sql(
+        "SELECT DISTINCT text, sha256(text) AS text_hash FROM "
+        "(SELECT text FROM documents UNION ALL SELECT text FROM conversations)", "text", "text_hash")})
         WHERE list_sum(counts) > 0)""",
 )
 def u2(spark, d):
@@ -379,10 +381,10 @@ def v4_recall(spark, d):
 
 @query(
     "v5_score_chunks",
-    f"""SELECT doc_id, position, round(list_cosine_similarity(v, {_unit_sql('qc')})
+    f"""SELECT doc_id, position, round(list_cosine_similarity({_unit_sql('c.counts')}, {_unit_sql('q.counts')})
         * CASE WHEN position < 2 THEN 1.0 / (1 + position) ELSE 1 END, 6) + 0.0 AS score
-    FROM (SELECT doc_id, position, {_unit_sql('counts')} AS v, {hashed_sql("'" + QUERY_TEXT + "'")} AS qc
-        FROM (SELECT doc_id, position, {hashed_sql('chunk')} AS counts FROM ({_CHUNKS_SQL})))""",
+    FROM ({hashed_sql(_CHUNKS_SQL, 'chunk', 'doc_id, position')}) c,
+        ({hashed_sql(_QUERY_SQL, 'asked', 'asked')}) q""",
 )
 def v5(spark, d):
     chunks = V.raw(spark, d, "documents").select(
@@ -520,9 +522,10 @@ def w2(spark, d):
 @query(
     "w2_fit_to_window_query",
     _FITTED.format(
-        ranked=f"""SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id
-            ORDER BY list_cosine_similarity({_unit_sql('counts')}, {_unit_sql('qc')}) DESC, position) AS rank
-        FROM (SELECT *, {hashed_sql('chunk')} AS counts, {hashed_sql("'" + QUERY_TEXT + "'")} AS qc FROM ({_CHUNKS_SQL}))"""
+        ranked=f"""SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY
+            list_cosine_similarity({_unit_sql('c.counts')}, {_unit_sql('q.counts')}) DESC, position) AS rank
+        FROM ({hashed_sql(_CHUNKS_SQL, 'chunk', 'doc_id, position, chunk')}) c,
+            ({hashed_sql(_QUERY_SQL, 'asked', 'asked')}) q"""
     ),
 )
 def w2_query(spark, d):

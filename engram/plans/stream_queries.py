@@ -34,7 +34,7 @@ def finished(spark, writer, path):
     "t1_usage_by_window",
     f"""SELECT {sql_stamp("time_bucket(INTERVAL 1 HOUR, ts)")} AS window_start, session_id,
         CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-        round(sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 6) AS total_cost,
+        round(sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 9) AS total_cost,
         count(*) AS n_events
     FROM token_log JOIN models USING (model)
     GROUP BY time_bucket(INTERVAL 1 HOUR, ts), session_id
@@ -48,7 +48,7 @@ def t1(spark, d):
         "session_id",
         "input_tokens",
         "output_tokens",
-        r6(F.col("total_cost")).alias("total_cost"),
+        F.round("total_cost", 9).alias("total_cost"),
         "n_events",
     )
 

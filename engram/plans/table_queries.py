@@ -614,8 +614,8 @@ _SUMMARY_SQL = """, topic_counts AS (SELECT topic, count(*) AS n
         FROM (SELECT unnest(topics) AS topic FROM found) GROUP BY topic ORDER BY n DESC, topic LIMIT 10),
     first_five AS (SELECT * FROM found ORDER BY {order}, conversation_id LIMIT 5)
     SELECT count(*) AS total_conversations, round(coalesce(avg(importance_score), 0), 6) AS average_importance,
-        (SELECT string_agg(topic || '=' || n, ',' ORDER BY n DESC, topic) FROM topic_counts) AS top_topics,
-        (SELECT string_agg(summary, '|' ORDER BY {order}, conversation_id) FROM first_five) AS recent_summaries
+        coalesce((SELECT string_agg(topic || '=' || n, ',' ORDER BY n DESC, topic) FROM topic_counts), '') AS top_topics,
+        coalesce((SELECT string_agg(summary, '|' ORDER BY {order}, conversation_id) FROM first_five), '') AS recent_summaries
     FROM found"""
 
 
@@ -664,13 +664,13 @@ def a5_topics(spark, d):
     "a6_token_usage",
     """SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
         CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-        round(sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 6) AS total_cost
+        round(sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 9) AS total_cost
     FROM token_log JOIN models USING (model) GROUP BY session_id""",
     ["token_log", "models"],
 )
 def a6(spark, d):
     usage = A.token_usage(V.token_log(V.raw(spark, d, "events")))
-    return usage.withColumn("total_cost", r6(F.col("total_cost")))
+    return usage.withColumn("total_cost", F.round("total_cost", 9))
 
 
 @query(
