@@ -44,18 +44,17 @@ def _model_hook(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: s
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            given = texts[texts.notna()]
-            results: list = []
-            for start in range(0, len(given), batch_size):
-                part = given.iloc[start : start + batch_size]
+            places = [i for i, there in enumerate(texts.notna()) if there]
+            out: list = [None] * len(texts)
+            for start in range(0, len(places), batch_size):
+                part = texts.iloc[places[start : start + batch_size]]
                 try:
-                    results.extend(model(part))
+                    results = list(model(part))
                 except Exception:
-                    results.extend(one(model, text) for text in part)
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            for place, value in zip(given.index, results):
-                out.at[place] = value
-            yield out
+                    results = [one(model, text) for text in part]
+                for place, value in zip(places[start : start + batch_size], results):
+                    out[place] = value
+            yield pd.Series(out, index=texts.index, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, returns)

@@ -387,18 +387,18 @@ def assign_lists(df: DataFrame, centres: Sequence[Sequence[float]], nearest_list
         raise ValueError("too many centres")
 
     def assign(vectors: pd.Series) -> pd.Series:
-        given = vectors.notna()
-        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
-        if given.any():
-            rows = _query_matrix(vectors[given].tolist())
+        given = np.flatnonzero(vectors.notna())
+        out: list = [None] * len(vectors)
+        if len(given):
+            rows = _query_matrix(vectors.iloc[given].tolist())
             if rows.shape[1] != unit.shape[1]:
                 raise ValueError("vector dimensions differ")
             lengths = np.sqrt((rows * rows).sum(axis=1))
             distances = np.round(1.0 - (rows / np.where(lengths > 0, lengths, 1.0)[:, None]) @ unit.T, 12)
             closest = np.argsort(distances, axis=1, kind="stable")[:, :nearest_lists]
-            for place, lists, length in zip(vectors.index[given], closest, lengths):
-                out.at[place] = lists.astype(np.int32) if length > 0 else None
-        return out
+            for place, lists, length in zip(given, closest.tolist(), lengths):
+                out[place] = lists if length > 0 else None
+        return pd.Series(out, index=vectors.index, dtype=object)
 
     lists = F.pandas_udf(assign, T.ArrayType(T.IntegerType()))
     return df.withColumn("list", F.explode(lists(F.col("embedding"))))
