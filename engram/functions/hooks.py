@@ -8,7 +8,7 @@ function over pandas Series into a hook, called on Arrow batches.
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import compress_text, estimate_tokens
@@ -68,6 +68,12 @@ def summarizer_hook(load: Callable[[], Callable[[pd.Series], pd.Series]], batch_
     return _model_hook(load, "string", batch_size)
 
 
+def embed_text(spark: SparkSession, text: str, embedder: Hook = default_embedder) -> list[float]:
+    """The vector of one query text."""
+    row = spark.range(1).select(embedder(F.lit(text)).alias("v")).first()
+    return [float(x) for x in row["v"]]
+
+
 def embed_new_texts(
     df: DataFrame, text: str, embedder: Hook = default_embedder, known: DataFrame | None = None
 ) -> DataFrame:

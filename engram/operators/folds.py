@@ -19,11 +19,12 @@ def task_changes(updates: DataFrame, order: Sequence[str], key: Sequence[str] =
     object as metadata counts as not given. Each field is its own aggregate, so
     a task with very many updates still combines before the shuffle.
     """
-    at = F.struct(*order)
+    at = F.col("_at")
     completed = F.col("status") == "completed"
     metadata_given = F.col("metadata").isNotNull() & (F.col("metadata") != "{}")
     any_given = F.col("status").isNotNull() | F.col("progress").isNotNull() | metadata_given
-    return updates.groupBy(*key).agg(
+    logged = updates.select(*key, "status", "progress", "metadata", "ts", F.struct(*order).alias("_at"))
+    return logged.groupBy(*key).agg(
         latest_given(F.col("status"), at).alias("new_status"),
         latest_given(F.col("progress"), at).alias("new_progress"),
         latest_given(F.col("metadata"), at, metadata_given).alias("new_metadata"),

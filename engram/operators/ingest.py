@@ -6,17 +6,16 @@ from pyspark.sql import Window as W
 
 from engram.functions.hooks import Hook, default_embedder, default_summarizer, default_tokenizer
 from engram.functions.text import compression_ratio, truncate_summary
+from engram.operators.spread import salts_for
 from engram.policy import POLICY, model_limits
 
-SALTS = 16
-
 
 def _utilization(tokens, context_length: int):
     return tokens / F.lit(context_length) * 100
 
 
 def trigger_points(
-    sized: DataFrame, context_length: int, trigger: float, prior: DataFrame | None = None, salts: int = SALTS
+    sized: DataFrame, context_length: int, trigger: float, prior: DataFrame | None = None, salts: int | None = None
 ) -> DataFrame:
     """(session_id, base, crossed_at, crossed_id): the item that lifts a session over the trigger.
 
@@ -36,7 +35,7 @@ def trigger_points(
         used = prior.select("session_id", F.col("used").alias("base"))
         based = positive.join(used, "session_id", "left").na.fill(0, ["base"])
     order = [F.asc("arrived_at"), F.asc("id")]
-    salted = W.partitionBy("session_id", F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy(*order)
+    salted = W.partitionBy("session_id", F.pmod(F.xxhash64("id"), F.lit(salts or salts_for(sized)))).orderBy(*order)
     before = F.coalesce(F.sum("size").over(salted.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     leading = based.withColumn("_before", before).where(~over(F.col("base") + F.col("_before")))
     whole = W.partitionBy("session_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
@@ -56,7 +55,7 @@ def ingest_items(
     tokenizer: Hook = default_tokenizer,
     summarizer: Hook = default_summarizer,
     embedder: Hook = default_embedder,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """New items with sizes, summary and vector, in arrival order per session.
 

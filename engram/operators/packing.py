@@ -5,14 +5,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from engram.functions.hooks import Hook, default_embedder
+from engram.functions.hooks import Hook, default_embedder, embed_text
 from engram.functions.text import chunk_text, estimate_tokens, retrieval_hint
-from engram.functions.vectors import cosine_similarity
+from engram.functions.vectors import once
 from engram.operators.ranking import item_order
+from engram.operators.search import score_chunks
+from engram.operators.spread import salts_for
 from engram.policy import POLICY
 
 FULL, COMPRESSED = "full", "compressed"
-SALTS = 16
 
 
 def _with_budget(items: DataFrame, budget: int | DataFrame) -> DataFrame:
@@ -21,14 +22,15 @@ def _with_budget(items: DataFrame, budget: int | DataFrame) -> DataFrame:
     return items.withColumn("max_tokens", F.lit(budget).cast("bigint"))
 
 
-def packing_candidates(items: DataFrame, budget: int | DataFrame, salts: int = SALTS) -> DataFrame:
+def packing_candidates(items: DataFrame, budget: int | DataFrame, salts: int | None = None) -> DataFrame:
     """The active items that the packing of their session can depend on, numbers only.
 
     What is left of a budget only shrinks, so among items of one smallest size v
     those taken are the first ones in order, and at most budget/v of them fit.
     Later ones are out whatever else happens. That leaves at most about
     budget * ln(budget) rows per session, for any number of items. Hot
-    (session, size) groups are cut by salt first, then as a whole.
+    (session, size) groups are cut by salt first, then as a whole; by default
+    there are as many salts as shuffle partitions.
 
     Items that cost nothing need no candidate: an empty full text is always
     taken; an empty summary is always taken at least as a summary, and can be
@@ -53,7 +55,7 @@ def packing_candidates(items: DataFrame, budget: int | DataFrame, salts: int = S
     )
     group = ["session_id", "has_cost", "unit"]
     fits = F.floor(F.col("max_tokens") / F.col("unit"))
-    salted = W.partitionBy(*group, F.pmod(F.xxhash64("id"), F.lit(salts))).orderBy(*item_order())
+    salted = W.partitionBy(*group, F.pmod(F.xxhash64("id"), F.lit(salts or salts_for(items)))).orderBy(*item_order())
     whole = W.partitionBy(*group).orderBy(*item_order())
     first = sized.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= fits)
     return first.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= fits).drop("_n")
@@ -81,7 +83,7 @@ def _pack(items: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def working_context(items: DataFrame, budget: int | DataFrame, salts: int = SALTS) -> DataFrame:
+def working_context(items: DataFrame, budget: int | DataFrame, salts: int | None = None) -> DataFrame:
     """(session_id, id, form, tokens): the packing of each session's active items.
 
     In order of priority and last access, an item goes in whole if it still
@@ -136,11 +138,30 @@ def context_content(taken: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+SEPARATOR = " [...] "
+
+
+def _leading(chunks: Column, available: int) -> Column:
+    """The chunks up to the first that no longer fits, joined."""
+    def step(state: Column, chunk: Column) -> Column:
+        used = state["used"] + estimate_tokens(chunk)
+        fits = state["open"] & (used <= available)
+        return F.struct(
+            F.when(fits, used).otherwise(state["used"]).alias("used"),
+            F.when(fits, state["n"] + 1).otherwise(state["n"]).alias("n"),
+            fits.alias("open"),
+        )
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+    kept = F.slice(chunks, F.lit(1), F.aggregate(chunks, start, step, lambda state: state["n"]))
+    return F.array_join(kept, SEPARATOR)
+
+
 def fit_to_window(
     df: DataFrame,
     key: str,
     text: str,
-    query: Column | str | None = None,
+    query: str | None = None,
     max_tokens: int = POLICY.window_tokens,
     reserve: int = POLICY.reserve_tokens,
     size: int = POLICY.chunk_tokens,
@@ -151,33 +172,25 @@ def fit_to_window(
 
     A text that fits stays whole. Otherwise its chunks, in order or by
     similarity to ``query``, are taken until the first that does not fit and
-    joined with " [...] "; if none fits the result is empty. The chunks in work
-    at a time are those of one text.
+    joined with " [...] "; if none fits the result is empty. Without a query
+    this needs no shuffle. With one, only the long texts are moved, before they
+    are cut, so that their chunks are scored, ranked and joined where they are.
     """
     available = max_tokens - reserve
     body = F.col(text)
-    whole = df.where(estimate_tokens(body) <= available).select(key, body.alias("fitted"))
-    long = df.where(estimate_tokens(body) > available)
-    chunks = long.select(key, F.posexplode(chunk_text(body, size, overlap)).alias("pos", "chunk"))
+    fits = estimate_tokens(body) <= available
+    chunked = chunk_text(body, size, overlap)
     if query is None:
-        order = [F.asc("pos")]
-    else:
-        asked = F.lit(query) if isinstance(query, str) else query
-        wanted = long.sparkSession.range(1).select(embedder(asked).alias("v")).first()["v"]
-        vector = F.array(*[F.lit(float(x)) for x in wanted])
-        chunks = chunks.withColumn("score", cosine_similarity(embedder(F.col("chunk")), vector))
-        order = [F.desc_nulls_last("score"), F.asc("pos")]
-    ranked = W.partitionBy(key).orderBy(*order)
-    running = F.sum(estimate_tokens(F.col("chunk"))).over(ranked.rowsBetween(W.unboundedPreceding, 0))
-    kept = (
-        chunks.withColumn("rank", F.row_number().over(ranked))
-        .withColumn("running", running)
-        .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("running") <= available, F.struct("rank", "chunk")))
-            ).alias("kept")
-        )
+        cut = once(chunked, lambda chunks: _leading(chunks, available))
+        return df.select(key, F.when(fits, body).otherwise(cut).alias("fitted"))
+    vector = embed_text(df.sparkSession, query, embedder)
+    long = df.where(~fits).select(key, text).repartition(key)
+    chunks = long.select(key, F.posexplode(chunked).alias("position", "chunk"))
+    scored = score_chunks(chunks.withColumn("embedding", embedder(F.col("chunk"))), vector, [key])
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "chunk")))
+    joined = (
+        scored.groupBy(key)
+        .agg(ordered.alias("ordered"))
+        .select(key, _leading(F.transform("ordered", lambda c: c["chunk"]), available).alias("fitted"))
     )
-    joined = kept.select(key, F.array_join(F.transform("kept", lambda c: c["chunk"]), " [...] ").alias("fitted"))
-    return whole.unionByName(joined)
+    return df.where(fits).select(key, body.alias("fitted")).unionByName(joined)

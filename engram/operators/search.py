@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from engram.functions.text import answer_after_marker
 from engram.functions.vectors import cosine_similarity, norm
@@ -326,17 +327,20 @@ def _result(df: DataFrame, kind: str, key: str, text: str) -> DataFrame:
     )
 
 
-def score_chunks(chunks: DataFrame, query_vector, order: Sequence[str]) -> DataFrame:
-    """Chunks by relevance times importance, best first; no importance counts as 1.
+def score_chunks(
+    chunks: DataFrame, query_vector: Sequence[float], key: Sequence[str], position: str = "position"
+) -> DataFrame:
+    """Chunks with ``score``, relevance times importance, and ``rank`` in their text.
 
-    ``query_vector`` is a Column or a list of numbers.
+    ``chunks`` has an embedding and may have an importance; none counts as 1.
+    ``key`` names the text a chunk is of, whose chunks are ranked together.
     """
-    vector = query_vector
-    if not hasattr(query_vector, "cast"):
-        vector = F.array(*[F.lit(float(x)) for x in query_vector])
+    vector = F.array(*[F.lit(float(x)) for x in query_vector])
+    length = F.lit(float(np.sqrt(np.square(np.asarray(query_vector, dtype=np.float64)).sum())))
     importance = F.coalesce(F.col("importance"), F.lit(1.0)) if "importance" in chunks.columns else F.lit(1.0)
-    scored = chunks.withColumn("score", cosine_similarity(F.col("embedding"), vector) * importance)
-    return scored.orderBy(F.desc_nulls_last("score"), *order)
+    similarity = cosine_similarity(F.col("embedding"), vector, norm_b=length)
+    order = W.partitionBy(*key).orderBy(F.desc_nulls_last("score"), F.asc(position))
+    return chunks.withColumn("score", similarity * importance).withColumn("rank", F.row_number().over(order))
 
 
 def answer_lookup(

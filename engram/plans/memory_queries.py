@@ -381,10 +381,12 @@ def v4_recall(spark, d):
 
 @query(
     "v5_score_chunks",
-    f"""SELECT doc_id, position, round(list_cosine_similarity({_unit_sql('c.counts')}, {_unit_sql('q.counts')})
-        * CASE WHEN position < 2 THEN 1.0 / (1 + position) ELSE 1 END, 6) + 0.0 AS score
-    FROM ({hashed_sql(_CHUNKS_SQL, 'chunk', 'doc_id, position')}) c,
-        ({hashed_sql(_QUERY_SQL, 'asked', 'asked')}) q""",
+    f"""SELECT doc_id, position, round(s, 6) + 0.0 AS score,
+        CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, position) AS INTEGER) AS rank
+    FROM (SELECT doc_id, position, list_cosine_similarity({_unit_sql('c.counts')}, {_unit_sql('q.counts')})
+            * CASE WHEN position < 2 THEN 1.0 / (1 + position) ELSE 1 END AS s
+        FROM ({hashed_sql(_CHUNKS_SQL, 'chunk', 'doc_id, position')}) c,
+            ({hashed_sql(_QUERY_SQL, 'asked', 'asked')}) q)""",
 )
 def v5(spark, d):
     chunks = V.raw(spark, d, "documents").select(
@@ -395,10 +397,10 @@ def v5(spark, d):
         chunks.withColumn("embedding", VEC.hashed_embedding(F.col("chunk"))).withColumn(
             "importance", F.when(known, F.lit(1.0) / (F.lit(1) + F.col("position")))
         ),
-        VEC.hashed_embedding(F.lit(QUERY_TEXT)),
-        ["doc_id", "position"],
+        H.embed_text(spark, QUERY_TEXT),
+        ["doc_id"],
     )
-    return scored.select("doc_id", "position", r6(F.col("score")).alias("score"))
+    return scored.select("doc_id", "position", r6(F.col("score")).alias("score"), "rank")
 
 
 def _kind_sql(kind, table, key, text, where):
