@@ -26,12 +26,14 @@ def write_working_memory(entries: DataFrame, path: str) -> None:
 
 def read_working_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, corrupt lines); a missing folder gives two empty frames."""
-    schema = T.StructType(ENTRY.fields + [T.StructField(CORRUPT, STR)])
     try:
-        rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+        lines = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], schema)
-    good = rows.where(F.col(CORRUPT).isNull()).select(*ENTRY.fieldNames())
-    return good, rows.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+        lines = spark.createDataFrame([], "value string")
+    schema = T.StructType(ENTRY.fields + [T.StructField(CORRUPT, STR)])
+    parsed = lines.select(F.from_json("value", schema, {"columnNameOfCorruptRecord": CORRUPT}).alias("e"))
+    broken = F.col(f"e.{CORRUPT}")
+    good = parsed.where(broken.isNull()).select(*[f"e.{name}" for name in ENTRY.fieldNames()])
+    return good, parsed.where(broken.isNotNull()).select(broken.alias(CORRUPT))
