@@ -8,6 +8,7 @@ from engram.functions.hooks import Hook, default_embedder, default_summarizer, d
 from engram.functions.text import compression_ratio, truncate_summary
 from engram.operators.spread import salts_for
 from engram.policy import POLICY, model_limits
+from engram.sources.shared import settled
 
 
 def _utilization(tokens, context_length: int):
@@ -64,7 +65,8 @@ def ingest_items(
     it (and ``auto_compress``), or if it is longer than 2000 tokens; else its
     summary is its first 500 characters. Stored sizes never shrink a session's
     total, so a session over the trigger stays over: one crossing item per
-    session decides for all items after it.
+    session decides for all items after it. The crossing items are written out
+    first, so that where they are few the texts are not shuffled.
     """
     limits = model_limits(model)
     text = F.col("full_content")
@@ -74,7 +76,7 @@ def ingest_items(
         below = F.when(is_long, summarizer(F.when(is_long, text))).otherwise(truncate_summary(text))
         sized = counted.select("session_id", "arrived_at", "id", tokenizer(below).alias("size"))
         points = trigger_points(sized, limits.context_length, limits.compression_trigger, prior, salts)
-        marked = counted.join(points, "session_id", "left")
+        marked = counted.join(settled(points, "trigger-points"), "session_id", "left")
         over = F.coalesce(F.struct("arrived_at", "id") > F.col("crossed"), F.lit(False))
         if prior is not None:
             full = prior.where(

@@ -12,6 +12,7 @@ from engram.operators.ranking import item_order
 from engram.operators.search import score_chunks
 from engram.operators.spread import salts_for
 from engram.policy import POLICY
+from engram.sources.shared import settled
 
 FULL, COMPRESSED = "full", "compressed"
 
@@ -124,10 +125,14 @@ def context_totals(taken: DataFrame, items: DataFrame, budget: int | DataFrame)
 
 
 def context_content(taken: DataFrame, items: DataFrame) -> DataFrame:
-    """Taken items with their text and, for summaries, the retrieval hint."""
+    """Taken items with their text and, for summaries, the retrieval hint.
+
+    The packing is written out first: where it is small enough to broadcast,
+    the texts are read in place and only the taken ones kept.
+    """
     is_full = F.col("form") == FULL
     texts = items.select("session_id", "id", "content_type", "full_content", "compressed_summary")
-    return texts.join(taken, ["session_id", "id"]).select(
+    return texts.join(settled(taken, "packing"), ["session_id", "id"]).select(
         "session_id",
         "id",
         F.col("content_type").alias("type"),

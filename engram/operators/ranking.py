@@ -52,26 +52,21 @@ def positions(
     of the bands before it, and those counts are combined before the shuffle.
     """
     names = [f"_band{i}" for i in range(len(bands))]
-    banded = df.select("*", *[key.alias(name) for (key, _), name in zip(bands, names)])
-    keys = [*group, *names]
+    # One struct as key: equal where its nulls are equal, and shared by the window and the join.
+    key = F.struct(*group, *[band.alias(name) for (band, _), name in zip(bands, names)])
+    keyed = df.withColumn("_key", key)
     band_order = [
-        F.desc_nulls_first(name) if descending else F.asc_nulls_last(name)
+        F.desc_nulls_first(f"_key.{name}") if descending else F.asc_nulls_last(f"_key.{name}")
         for (_, descending), name in zip(bands, names)
     ]
-    before = W.partitionBy(*group).orderBy(*band_order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*[f"_key.{g}" for g in group]).orderBy(*band_order)
     starts = (
-        banded.groupBy(*keys)
+        keyed.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *[F.col(k).alias(f"_s_{k}") for k in keys],
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        )
+        .select("_key", (F.sum("_rows").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("_rows")).alias("_start"))
     )
-    inside = banded.withColumn("_inside", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    return inside.join(starts, same).select(
+    inside = keyed.withColumn("_inside", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
+    return inside.join(starts, "_key").select(
         *df.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias("position")
     )
 

@@ -22,6 +22,7 @@ from engram.operators.ranking import top_per_group
 
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 64 << 20
+MAX_FOUND_ROWS = 100_000
 GROUP_ROWS = 50_000
 QUERY_BLOCK = 256
 SLACK = 1e-9
@@ -145,17 +146,20 @@ def _search_small(queries: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             scopes = batch.column("scope").dictionary_encode()
             codes = scopes.indices.to_numpy(zero_copy_only=False)
-            for code, scope in enumerate(scopes.dictionary.to_pylist()):
+            by_code = np.argsort(codes, kind="stable")
+            ends = np.cumsum(np.bincount(codes, minlength=len(scopes.dictionary)))
+            for scope, rows in zip(scopes.dictionary.to_pylist(), np.split(by_code, ends[:-1])):
                 if scope not in by_scope:
                     continue
                 if scope not in best:
                     best[scope] = _Best(*by_scope[scope], k)
-                rows = pa.array(np.flatnonzero(codes == code))
+                rows = pa.array(rows)
                 _take(best[scope], batch.column("id").take(rows), batch.column("embedding").take(rows))
         for found in best.values():
             yield _batch(list(found.rows()))
 
-    return items.mapInArrow(score, _FOUND)
+    asked = items.where(F.col("scope").isin(list(by_scope)))
+    return asked.mapInArrow(score, _FOUND)
 
 
 def _search_grouped(
@@ -216,7 +220,9 @@ def nearest(
 
     ``queries`` has (query_id, embedding) and the scope column if one is given;
     a query then sees only items of its own scope. At most ``max_queries``
-    queries (and 64 MB) are handed to the tasks; a larger set is shuffled.
+    queries (and 64 MB) are handed to the tasks; a larger set is shuffled. A
+    result of a known small size is marked for broadcast, so that fetching the
+    rows of the found ids does not move the items.
     """
     scope_of = F.lit(ALL) if scope is None else F.col(scope)
     asked = queries.where(F.col("embedding").isNotNull()).select(
@@ -227,11 +233,13 @@ def nearest(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width")
     )
     n, width = size.first()
-    if n <= max_queries and n * width * 8 <= MAX_QUERY_BYTES:
+    small = n <= max_queries and n * width * 8 <= MAX_QUERY_BYTES
+    if small:
         found = _search_small(asked.toPandas(), held, k)
     else:
         found = _search_grouped(asked, held, k, group_rows, max_queries)
-    return top_per_group(found, ["query_id"], [F.asc_nulls_last("distance"), F.asc("id")], k)
+    ranked = top_per_group(found, ["query_id"], [F.asc_nulls_last("distance"), F.asc("id")], k)
+    return F.broadcast(ranked) if small and n * k <= MAX_FOUND_ROWS else ranked
 
 
 def hydrate(found: DataFrame, table: DataFrame, key: str) -> DataFrame:
