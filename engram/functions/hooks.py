@@ -1,7 +1,7 @@
 """Pluggable model hooks: tokenizer, embedder, summarizer.
 
-Each hook is a function from a text Column to a Column. The defaults are native
-expressions; ``tokenizer_hook``, ``embedder_hook`` and ``summarizer_hook`` turn a
+Each hook is a function from a text Column to a Column. The defaults need no model;
+``tokenizer_hook``, ``embedder_hook`` and ``summarizer_hook`` turn a
 function over pandas Series into a hook, called on Arrow batches.
 """
 

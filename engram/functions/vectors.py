@@ -1,11 +1,17 @@
 """Vector expressions on array<float> columns, accumulated in double."""
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
+KNOWN_WORDS = 500_000
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,25 +48,30 @@ def has_dimension(vector: Column, dimension: int) -> Column:
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """Bag-of-words vector: words hashed to a fixed number of places, unit length.
 
-    A text without words gets the zero vector, null text a null vector.
+    A text without words gets the zero vector, null text a null vector. This
+    runs on Arrow batches: counting into a fixed array takes one pass there,
+    while array functions pass over the words once per place.
     """
-    words = F.filter(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: F.length(w) > 0)
-    hashed = F.transform(
-        words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
-    )
-    numbers = F.sequence(F.lit(0), F.lit(dimension - 1))
-
-    def histogram(places: Column) -> Column:
-        return F.transform(
-            numbers, lambda n: F.size(F.filter(places, lambda place: place == n)).cast("double")
-        )
-
-    def unit(counts: Column) -> Column:
-        return once(
-            norm(counts),
-            lambda length: F.transform(
-                counts, lambda c: F.when(length > 0, c / length).otherwise(F.lit(0.0)).cast("float")
-            ),
-        )
-
-    return F.when(text.isNotNull(), once(once(hashed, histogram), unit))
+    word = re.compile(r"[^ \t\n\r]+")
+
+    def vector(found: str | None, places: dict[str, int]) -> np.ndarray | None:
+        if found is None:
+            return None
+        counts = np.zeros(dimension)
+        for w, n in Counter(word.findall(found.lower())).items():
+            place = places.get(w)
+            if place is None:
+                place = places[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension
+            counts[place] += n
+        length = np.sqrt((counts * counts).sum())
+        return (counts / length if length > 0 else counts).astype(np.float32)
+
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, int] = {}
+        for texts in batches:
+            if len(places) > KNOWN_WORDS:
+                places = {}
+            yield pd.Series([vector(t, places) for t in texts], index=texts.index, dtype=object)
+
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(embed, "array<float>")(text)
