@@ -40,10 +40,11 @@ def conversation_stats(conversations: DataFrame) -> DataFrame:
 def with_model_limits(df: DataFrame, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with the limits and prices of their ``model``, rows of an unknown model).
 
-    The model list is a fixed table of a dozen rows, so it is broadcast.
+    The built-in model list is a fixed table of a dozen rows, so it is broadcast;
+    a list of the caller is joined by its size.
     """
-    models = models_table(df.sparkSession) if models is None else models
-    joined = df.join(F.broadcast(models), "model", "left")
+    models = F.broadcast(models_table(df.sparkSession)) if models is None else models
+    joined = df.join(models, "model", "left")
     unknown = F.col("context_length").isNull()
     return joined.where(~unknown), joined.where(unknown).select(df.columns)
 

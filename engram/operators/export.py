@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions.values import iso_timestamp
 from engram.operators.filters import newest
 from engram.operators.ranking import item_order, positions
+from engram.sources.shared import settled
 
 PAGE_ROWS = 1000
 
@@ -86,8 +87,10 @@ def export_state(
 
     Section ``memory_state`` is one document per session; the other sections
     are present where the session has rows for them. Each child table is paged
-    on its own, so no two of them are ever joined.
+    on its own, so no two of them are ever joined. The states are written out
+    first, as every section is matched with them.
     """
+    states = settled(states, "export-states")
     head = F.struct(*[c for c in states.columns if c != "session_id"])
     state = states.select(
         "session_id",

@@ -1,6 +1,8 @@
 """What fits in a token budget: per session over items, per text over chunks."""
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -62,26 +64,34 @@ def packing_candidates(items: DataFrame, budget: int | DataFrame, salts: int | N
     return first.withColumn("_n", F.row_number().over(whole)).where(F.col("_n") <= fits).drop("_n")
 
 
-def _pack(items: pd.DataFrame) -> pd.DataFrame:
-    ordered = items.sort_values(
-        ["priority", "last_accessed", "id"], ascending=[False, False, True], na_position="first"
-    )
-    left = int(ordered["max_tokens"].iloc[0]) if len(ordered) else 0
-    taken = []
-    for name, full, summary in zip(
-        ordered["id"].tolist(), ordered["full_tokens"].tolist(), ordered["summary_tokens"].tolist()
-    ):
-        if full <= left:
-            form, cost = FULL, full
-        elif summary <= left:
-            form, cost = COMPRESSED, summary
-        else:
-            continue
-        taken.append((name, form, cost))
-        left -= cost
-    out = pd.DataFrame(taken, columns=["id", "form", "tokens"])
-    out.insert(0, "session_id", ordered["session_id"].iloc[0] if len(ordered) else None)
-    return out
+_TAKEN = "session_id string, id string, form string, tokens int"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sessions one after the other, each in order; only what is left of the budget is kept."""
+    session, left = None, 0
+    for batch in batches:
+        taken: list[tuple] = []
+        columns = ["session_id", "id", "full_tokens", "summary_tokens", "max_tokens"]
+        for owner, name, full, summary, budget in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if owner != session:
+                session, left = owner, budget
+            if full <= left:
+                taken.append((owner, name, FULL, full))
+                left -= full
+            elif summary <= left:
+                taken.append((owner, name, COMPRESSED, summary))
+                left -= summary
+        owners, names, forms, tokens = zip(*taken) if taken else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(owners, pa.string()),
+                pa.array(names, pa.string()),
+                pa.array(forms, pa.string()),
+                pa.array(tokens, pa.int32()),
+            ],
+            names=["session_id", "id", "form", "tokens"],
+        )
 
 
 def working_context(items: DataFrame, budget: int | DataFrame, salts: int | None = None) -> DataFrame:
@@ -91,9 +101,9 @@ def working_context(items: DataFrame, budget: int | DataFrame, salts: int | None
     fits, else as its summary if that fits, else it is passed over and the next
     one is tried. ``budget`` is one number or (session_id, max_tokens) rows.
     """
-    schema = "session_id string, id string, form string, tokens int"
     candidates = packing_candidates(items, budget, salts)
-    packed = candidates.groupBy("session_id").applyInPandas(_pack, schema)
+    in_order = candidates.repartition("session_id").sortWithinPartitions("session_id", *item_order())
+    packed = in_order.mapInArrow(_pack, _TAKEN)
     active = items.where(F.col("is_active"))
     free = active.where(F.col("token_count") == 0).select(
         "session_id", "id", F.lit(FULL).alias("form"), F.lit(0).alias("tokens")

@@ -436,6 +436,7 @@ def nearest_approx(
     probed = assign_lists(queries, centres, probes).select(
         F.concat_ws("\u0001", "query_id", "list").alias("query_id"), "embedding", key.alias("_cell")
     )
+    bounds.setdefault("max_queries", MAX_QUERIES * probes)
     found = nearest(probed, indexed.withColumn("_cell", key), k, item_id, scope="_cell", **bounds)
     merged = found.select(F.substring_index("query_id", "\u0001", 1).alias("query_id"), "id", "distance")
     return top_per_group(merged, ["query_id"], [F.asc_nulls_last("distance"), F.asc("id")], k)

@@ -13,9 +13,21 @@ from engram.streaming import stateful as ST
 OPEN_AFTER = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
+def replay_session(spark):
+    """A session of one shuffle partition per core.
+
+    A stateful stream keeps a state store per shuffle partition from its first
+    batch on, so the number is set for the stream and not taken from the batch jobs.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    return session
+
+
 def stream_of(spark, d, name):
     schema = V.raw(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return replay_session(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def appended(spark, df, purpose):
