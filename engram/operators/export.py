@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.values import iso_timestamp
 from engram.operators.filters import newest
-from engram.operators.ranking import item_order, positions
+from engram.operators.ranking import Bands, item_order, positions, time_bands
 from engram.sources.shared import settled
 
 PAGE_ROWS = 1000
@@ -29,7 +29,7 @@ def paged(
     df: DataFrame,
     section: str,
     fields: Sequence[str],
-    bands: Sequence[tuple[Column, bool]],
+    bands: Bands,
     order: Sequence[Column],
     page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
@@ -59,17 +59,13 @@ def paged(
     )
 
 
-def _day(column: str) -> Column:
-    return F.date_trunc("DAY", F.col(column))
-
-
 def item_pages(items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Active items, without their full content."""
     return paged(
         items.where(F.col("is_active")),
         "active_memory_items",
         ITEM_FIELDS,
-        [(F.col("priority"), True), (_day("last_accessed"), True)],
+        time_bands("last_accessed", "HOUR"),
         item_order(),
         page_rows,
     )
@@ -106,7 +102,7 @@ def export_state(
             tasks,
             "tasks",
             [c for c in tasks.columns if c != "session_id"],
-            [(F.col("priority"), True), (_day("created_at"), True)],
+            time_bands("created_at", "DAY"),
             [newest("priority"), *newest_first],
             page_rows,
         ),
@@ -122,7 +118,7 @@ def export_state(
             quarantined.where(F.col("is_active")),
             "quarantined_contexts",
             [c for c in quarantined.columns if c != "session_id"],
-            [(_day("created_at"), True)],
+            [(F.date_trunc("DAY", F.col("created_at")), True)],
             newest_first,
             page_rows,
         ),

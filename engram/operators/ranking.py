@@ -14,6 +14,8 @@ from engram.functions.values import iso_timestamp
 from engram.operators.filters import newest, oldest
 from engram.policy import POLICY
 
+# Coarse sort keys, each with whether it is descending.
+Bands = Sequence[tuple[Column, bool]]
 SERVING = ["conversation_id", "summary", "topics", "importance_score", "created_at"]
 
 
@@ -43,13 +45,14 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 
 def positions(
-    df: DataFrame, group: Sequence[str], bands: Sequence[tuple[Column, bool]], order: Sequence[Column]
+    df: DataFrame, group: Sequence[str], bands: Bands, order: Sequence[Column]
 ) -> DataFrame:
     """Every row with its ``position`` in its group, hot groups spread over many tasks.
 
     ``bands`` are coarse sort keys (expression, descending) that agree with
     ``order``. Rows are numbered inside a band; a band starts after the counts
     of the bands before it, and those counts are combined before the shuffle.
+    A band is the work of one task, so bands should be fine enough for the data.
     """
     names = [f"_band{i}" for i in range(len(bands))]
     # One struct as key: equal where its nulls are equal, and shared by the window and the join.
@@ -76,33 +79,32 @@ def item_order() -> list[Column]:
     return [newest("priority"), newest("last_accessed"), F.asc("id")]
 
 
-def ranked_items(items: DataFrame) -> DataFrame:
+def time_bands(time: str, unit: str, newest_first: bool = True) -> Bands:
+    """Bands of one priority and one span of time."""
+    return [(F.col("priority"), True), (F.date_trunc(unit, F.col(time)), newest_first)]
+
+
+def bulk_bands(time: str, newest_first: bool = True, prefix: int = 3) -> Bands:
+    """Bands for tables where very many rows share one moment, split by the head of their ids."""
+    return [(F.col("priority"), True), (F.col(time), newest_first), (F.substring("id", 1, prefix), False)]
+
+
+def ranked_items(items: DataFrame, bands: Bands | None = None) -> DataFrame:
     """Active items of each session with their position by priority, then last access."""
-    return positions(
-        items.where(F.col("is_active")),
-        ["session_id"],
-        [(F.col("priority"), True), (F.date_trunc("HOUR", F.col("last_accessed")), True)],
-        item_order(),
-    )
+    active = items.where(F.col("is_active"))
+    return positions(active, ["session_id"], bands or time_bands("last_accessed", "HOUR"), item_order())
 
 
-def ranked_tasks(tasks: DataFrame) -> DataFrame:
-    return positions(
-        tasks,
-        ["session_id"],
-        [(F.col("priority"), True), (F.date_trunc("DAY", F.col("created_at")), True)],
-        [newest("priority"), newest("created_at"), F.asc("id")],
-    )
+def ranked_tasks(tasks: DataFrame, bands: Bands | None = None) -> DataFrame:
+    order = [newest("priority"), newest("created_at"), F.asc("id")]
+    return positions(tasks, ["session_id"], bands or time_bands("created_at", "DAY"), order)
 
 
-def ranked_hil(interactions: DataFrame) -> DataFrame:
+def ranked_hil(interactions: DataFrame, bands: Bands | None = None) -> DataFrame:
     """Pending requests of each session: highest priority first, oldest first in it."""
-    return positions(
-        interactions.where(F.col("status") == "pending"),
-        ["session_id"],
-        [(F.col("priority"), True), (F.date_trunc("HOUR", F.col("created_at")), False)],
-        [newest("priority"), oldest("created_at"), F.asc("id")],
-    )
+    pending = interactions.where(F.col("status") == "pending")
+    order = [newest("priority"), oldest("created_at"), F.asc("id")]
+    return positions(pending, ["session_id"], bands or time_bands("created_at", "HOUR", False), order)
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -19,6 +19,7 @@ from engram.functions.text import answer_after_marker
 from engram.functions.vectors import cosine_similarity, norm
 from engram.operators.filters import newest, searchable_items, trusted_facts
 from engram.operators.ranking import top_per_group
+from engram.sources.shared import settled
 
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 64 << 20
@@ -180,7 +181,8 @@ def _search_grouped(
         .agg(F.count(F.lit(1)).alias("n"))
         .select("scope", F.ceil(F.col("n") / block_queries).cast("int").alias("blocks"))
     )
-    shape = parts.join(blocks, "scope")
+    # One row per scope that has queries, written out so that the items meet it by its size.
+    shape = settled(parts.join(blocks, "scope"), "search-shape")
 
     def cut(df, key, own, other):
         return df.join(shape, "scope").select(

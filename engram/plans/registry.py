@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.plans.sql_views import with_views
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None, reads: list[str] | None = None) ->
     return add
 
 
-def r6(value) -> F.col:
+def r6(value) -> Column:
     """Rounded to six places, without a negative zero."""
     return F.round(value, 6) + F.lit(0.0)
 

@@ -6,7 +6,7 @@ views in ``sql_views``.
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions.text import compress_target, default_summary, estimate_tokens, tokens_of_length
@@ -21,7 +21,7 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _start() -> F.col:
+def _start() -> Column:
     return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
 
 
@@ -29,7 +29,7 @@ def _after_start(amount, unit: str):
     return F.timestamp_add(unit, amount.cast("int"), _start())
 
 
-def _session(key) -> F.col:
+def _session(key) -> Column:
     return F.concat(F.lit("s"), (key % 8).cast("string"))
 
 

@@ -125,6 +125,8 @@ def test_positions_equal_row_number(spark):
     order = sorted(rows, key=lambda r: ((0, 0) if r[2] is None else (1, -r[2]), T0 - r[3], r[1]))
     assert got == [r[1] for r in order]
     assert R.ranked_items(items).agg(F.max("position")).first()[0] == 120
+    bulk = R.ranked_items(items, R.bulk_bands("last_accessed", prefix=1))
+    assert [r["id"] for r in bulk.orderBy("position").collect()] == got
 
 
 def test_null_order_of_limits(spark):
