@@ -4,7 +4,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from engram.functions.vectors import once
-from engram.policy import POLICY, strategy_ratio
+from engram.policy import (
+    ANSWER_MARKER,
+    ANSWER_PREVIEW_CHARS,
+    ASKED_CHARS,
+    ASKED_PREFIX,
+    ELLIPSIS,
+    NO_USER_SUMMARY,
+    POLICY,
+    RETRIEVAL_HINT,
+    THREAD_PREFIX,
+    strategy_ratio,
+)
 from engram.schemas import MESSAGES
 
 
@@ -23,7 +34,7 @@ def compress_target(tokens: Column, ratio: Column) -> Column:
 
 
 def truncate_summary(text: Column, chars: int = POLICY.summary_chars) -> Column:
-    return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit(ELLIPSIS))).otherwise(text)
 
 
 def compress_text(text: Column, strategy: str = "balanced", tokens: Column | None = None) -> Column:
@@ -82,8 +93,9 @@ def importance_score(messages: Column, has_tool_calls: Column) -> Column:
 
 
 def summary_from(first_user_text: Column, has_user: Column) -> Column:
-    head = F.substring(F.coalesce(first_user_text, F.lit("")), 1, 100)
-    return F.when(has_user, F.concat(F.lit("User asked: "), head, F.lit("..."))).otherwise(F.lit("Conversation"))
+    head = F.substring(F.coalesce(first_user_text, F.lit("")), 1, ASKED_CHARS)
+    asked = F.concat(F.lit(ASKED_PREFIX), head, F.lit(ELLIPSIS))
+    return F.when(has_user, asked).otherwise(F.lit(NO_USER_SUMMARY))
 
 
 def first_user_summary(messages: Column) -> Column:
@@ -92,10 +104,12 @@ def first_user_summary(messages: Column) -> Column:
 
 
 def retrieval_hint(item_id: Column) -> Column:
-    return F.format_string("Use retrieve_memory_item('%s') to get full content", item_id)
+    return F.format_string(RETRIEVAL_HINT, item_id)
 
 
-def answer_after_marker(content: Column, marker: str = "ANSWER_KEY", preview: int = 200) -> Column:
+def answer_after_marker(
+    content: Column, marker: str = ANSWER_MARKER, preview: int = ANSWER_PREVIEW_CHARS
+) -> Column:
     """Text after the first colon of the first line with the marker, else a preview."""
     line = F.get(F.filter(F.split(content, "\n"), lambda x: F.contains(x, F.lit(marker))), F.lit(0))
     after = F.regexp_replace(F.substring(line, F.locate(":", line) + 1, F.length(line)), r"^\s+|\s+$", "")
@@ -103,7 +117,7 @@ def answer_after_marker(content: Column, marker: str = "ANSWER_KEY", preview: in
 
 
 def thread_id(key: Column) -> Column:
-    return F.concat(F.lit("thread_"), F.substring(F.md5(key.cast("string")), 1, 8))
+    return F.concat(F.lit(THREAD_PREFIX), F.substring(F.md5(key.cast("string")), 1, 8))
 
 
 def contains_pattern(column: Column, query: str) -> Column:

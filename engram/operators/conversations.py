@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.text import importance_from, parse_messages, summary_from
+from engram.policy import ASKED_CHARS
 
 PART_TURNS = 1000
 
@@ -44,7 +45,7 @@ def conversation_headers(turns: DataFrame, tool_turn: Column) -> DataFrame:
             F.count(F.lit(1)).alias("n_messages"),
             F.bool_or(tool_turn).alias("has_tool_calls"),
             F.bool_or(is_user).alias("has_user"),
-            F.min_by(F.when(is_user, F.substring(F.col("text"), 1, 100)), F.when(is_user, F.col("turn"))).alias(
+            F.min_by(F.when(is_user, F.substring(F.col("text"), 1, ASKED_CHARS)), F.when(is_user, F.col("turn"))).alias(
                 "first_user_text"
             ),
         )

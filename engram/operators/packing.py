@@ -13,7 +13,7 @@ from engram.functions.vectors import once
 from engram.operators.ranking import item_order
 from engram.operators.search import score_chunks
 from engram.operators.spread import salts_for
-from engram.policy import POLICY
+from engram.policy import CHUNK_SEPARATOR, POLICY
 from engram.sources.shared import settled
 
 FULL, COMPRESSED = "full", "compressed"
@@ -69,7 +69,7 @@ _TAKEN = "session_id string, id string, form string, tokens int"
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sessions one after the other, each in order; only what is left of the budget is kept."""
-    session, left = None, 0
+    session, left = object(), 0
     for batch in batches:
         taken: list[tuple] = []
         columns = ["session_id", "id", "full_tokens", "summary_tokens", "max_tokens"]
@@ -153,9 +153,6 @@ def context_content(taken: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-SEPARATOR = " [...] "
-
-
 def _leading(chunks: Column, available: int) -> Column:
     """The chunks up to the first that no longer fits, joined."""
     def step(state: Column, chunk: Column) -> Column:
@@ -169,7 +166,7 @@ def _leading(chunks: Column, available: int) -> Column:
 
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open"))
     kept = F.slice(chunks, F.lit(1), F.aggregate(chunks, start, step, lambda state: state["n"]))
-    return F.array_join(kept, SEPARATOR)
+    return F.array_join(kept, CHUNK_SEPARATOR)
 
 
 def fit_to_window(

@@ -19,6 +19,7 @@ from engram.functions.text import answer_after_marker
 from engram.functions.vectors import cosine_similarity, norm
 from engram.operators.filters import newest, searchable_items, trusted_facts
 from engram.operators.ranking import top_per_group
+from engram.policy import ANSWER_MARKER
 from engram.sources.shared import settled
 
 MAX_QUERIES = 4096
@@ -354,7 +355,7 @@ def score_chunks(
 
 
 def answer_lookup(
-    queries: DataFrame, items: DataFrame, k: int = 2, marker: str = "ANSWER_KEY", **bounds
+    queries: DataFrame, items: DataFrame, k: int = 2, marker: str = ANSWER_MARKER, **bounds
 ) -> DataFrame:
     """The answer line, or a preview, of the best item of each query."""
     best = search_items(queries, items, k, whole_rows=False, **bounds).where(F.col("position") == 1)

@@ -32,6 +32,17 @@ STRATEGIES = [
     ("conservative", 0.5, "high"),
 ]
 
+# Text formats.
+RETRIEVAL_HINT = "Use retrieve_memory_item('%s') to get full content"
+ASKED_PREFIX = "User asked: "
+ASKED_CHARS = 100
+NO_USER_SUMMARY = "Conversation"
+ELLIPSIS = "..."
+CHUNK_SEPARATOR = " [...] "
+THREAD_PREFIX = "thread_"
+ANSWER_MARKER = "ANSWER_KEY"
+ANSWER_PREVIEW_CHARS = 200
+
 
 @dataclass(frozen=True)
 class ModelLimits:
@@ -50,7 +61,9 @@ class ModelLimits:
 
 @dataclass(frozen=True)
 class Policy:
-    """Numbers the operators default to; every operator also takes them as arguments."""
+    """Numbers the operators default to; operators take most of them as arguments."""
+
+    # Fixed values.
 
     always_compress_above: int = 2000
     summary_chars: int = 500
@@ -67,12 +80,12 @@ class Policy:
     archive_after_days: int = 90
     delete_after_days: int = 365
     retention_importance: float = 0.5
-    # The source of this rule names it without a number; the factor is our choice.
-    important_multiplier: float = 2.0
     retrain_conversations: int = 25
     retrain_hours: float = 24.0
     retrain_importance: float = 0.7
     retrain_count_limit: int = 1000
+    # Not fixed: the rule is named without a number, and the factor is our choice.
+    important_multiplier: float = 2.0
 
 
 POLICY = Policy()
