@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions.hooks import Hook, default_tokenizer
-from engram.functions.text import thread_id
+from engram.functions.text import parse_messages, thread_id
 from engram.functions.values import ntz, set_key
+from engram.operators.aggregates import memory_state
 from engram.operators.joins import cascade_delete
 from engram.policy import POLICY
 from engram.schemas import MESSAGES
@@ -40,6 +41,18 @@ def prune(items: DataFrame, as_of: datetime, days: int = POLICY.prune_days) -> D
     return items.withColumn("is_active", F.when(stale, False).otherwise(F.col("is_active")))
 
 
+def hygiene(
+    items: DataFrame, sessions: DataFrame, as_of: datetime
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items after pruning, counted compressions, session state after pruning).
+
+    Compressions are counted on the items as they were; ``sessions`` is
+    (session_id, model).
+    """
+    pruned = prune(items, as_of)
+    return pruned, hygiene_metrics(items, as_of), memory_state(pruned, sessions)
+
+
 def compress_old(
     conversations: DataFrame, as_of: datetime, days: int = POLICY.compress_after_days
 ) -> DataFrame:
@@ -211,6 +224,23 @@ def training_status(history: DataFrame, updates: DataFrame) -> tuple[DataFrame,
     return after, found
 
 
+def store_conversations(contents: DataFrame, as_of: datetime) -> DataFrame:
+    """Conversations for stored contents, keyed by a hash of user and content.
+
+    ``contents`` has (content, importance, tags, user_id). JSON content is read
+    as messages, any other content is one user message; tags become the topics.
+    """
+    key = F.md5(F.concat_ws("|", F.coalesce("user_id", F.lit("")), "content"))
+    return contents.select(
+        F.concat(F.lit("conv_"), key).alias("conversation_id"),
+        ntz(as_of).alias("created_at"),
+        parse_messages(F.col("content")).alias("messages"),
+        F.coalesce(F.col("importance"), F.lit(0.5)).alias("importance_score"),
+        F.col("tags").alias("topics"),
+        "user_id",
+    )
+
+
 def store_facts(contents: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """(conversations, facts) for stored facts, both keyed by a hash of the fact.
 

@@ -634,11 +634,22 @@ def m1_prune(spark, d):
     ["memory_items"],
 )
 def m1_state(spark, d):
-    pruned = M.prune(V.memory_items(spark, d), V.AS_OF)
-    state = A.memory_state(pruned, V.session_models(spark, d))
+    _, _, state = M.hygiene(V.memory_items(spark, d), V.session_models(spark, d), V.AS_OF)
     return state.select("session_id", "used_context_length", "active_count")
 
 
+@query(
+    "m1_hygiene_metrics",
+    f"""SELECT session_id, '{{"cache_hits":0,"compressions":' || count(*) || ',"decompressions":0}}' AS performance_metrics
+    FROM memory_items WHERE is_active AND last_accessed < {AS_OF_SQL} - INTERVAL 7 DAY
+    AND token_count > 2 * compressed_token_count GROUP BY session_id""",
+    ["memory_items"],
+)
+def m1_metrics(spark, d):
+    _, counted, _ = M.hygiene(V.memory_items(spark, d), V.session_models(spark, d), V.AS_OF)
+    return A.performance_metrics(counted)
+
+
 @query(
     "m2_compress_old",
     f"""SELECT conversation_id, created_at <= {AS_OF_SQL} - INTERVAL 30 DAY AS is_compressed,
@@ -866,6 +877,29 @@ def m10(spark, d):
     )
 
 
+@query(
+    "m10_store_conversations",
+    """SELECT 'conv_' || md5(conv_id || '|' || text || '#' || turn) AS conversation_id, 0.5::DOUBLE AS importance_score,
+        'user: ' || text || '#' || turn AS body, role AS topics, CAST(conv_id AS VARCHAR) AS user_id FROM conversations""",
+)
+def m10_conversations(spark, d):
+    contents = V.turns(spark, d).select(
+        F.concat("text", F.lit("#"), F.col("turn").cast("string")).alias("content"),
+        F.lit(None).cast("double").alias("importance"),
+        F.array("role").alias("tags"),
+        F.col("conversation_id").alias("user_id"),
+    )
+    stored = M.store_conversations(contents, V.AS_OF)
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return stored.select(
+        "conversation_id",
+        "importance_score",
+        F.array_join(said, "|").alias("body"),
+        F.array_join("topics", ",").alias("topics"),
+        "user_id",
+    )
+
+
 @query(
     "m11_user_context",
     f"""SELECT CAST(user_id AS VARCHAR) AS user_id, props AS context, {sql_stamp('ts')} AS last_updated FROM events

@@ -209,3 +209,11 @@ def test_ingest_sizes_and_ratio(spark):
     assert done["b"]["compressed_summary"] == "y" * 500
     with pytest.raises(ValueError):
         ingest_items(spark.createDataFrame(rows, NEW), "no-such-model")
+
+
+def test_empty_inputs(spark):
+    items = spark.createDataFrame([], ITEMS)
+    assert P.working_context(items, 10).count() == 0
+    assert ingest_items(spark.createDataFrame([], NEW), "gpt-4").count() == 0
+    texts = spark.createDataFrame([], "id int, text string")
+    assert P.fit_to_window(texts, "id", "text", "query").count() == 0

@@ -197,3 +197,11 @@ def test_memory_search_kinds(spark):
     assert ids("temporal", user_id="u1") == [("conversation", "c1")]
     with pytest.raises(ValueError):
         ids("other")
+
+
+def test_empty_inputs(spark):
+    items, queries = data(4, 30, 3)
+    df, asked = spark.createDataFrame(items, ITEMS), spark.createDataFrame(queries, QUERIES)
+    assert S.search_items(asked.limit(0), df).count() == 0
+    assert S.search_items(asked, df.limit(0)).count() == 0
+    assert S.nearest(asked, df.limit(0), 3, "id", max_queries=1).count() == 0

@@ -384,3 +384,11 @@ def test_small_values(spark):
     assert (row["a"], row["b"], row["n"]) == ("2024-01-01T10:00:00", "2024-01-01T10:00:00.500000", 2)
     assert len(row["t"]) == len("thread_") + 8
     assert N.range_start("year", AS_OF) == datetime(2000, 1, 1)
+
+
+def test_store_conversations(spark):
+    rows = [('[{"role":"assistant","content":"a"}]', 0.9, ["t"], "u"), ("plain", None, None, None)]
+    given = spark.createDataFrame(rows, "content string, importance double, tags array<string>, user_id string")
+    got = {r["user_id"]: r for r in M.store_conversations(given, AS_OF).collect()}
+    assert got["u"]["messages"][0]["role"] == "assistant" and got["u"]["topics"] == ["t"]
+    assert got[None]["importance_score"] == 0.5 and got[None]["messages"][0]["content"] == "plain"
