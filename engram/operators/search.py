@@ -432,15 +432,20 @@ def nearest_approx(
     """Top-k among the items of each query's ``probes`` nearest lists.
 
     ``indexed`` is the result of ``assign_lists`` on the items, usually a table
-    partitioned by ``list``. Found items carry their exact distance.
+    partitioned by ``list``: only the lists that some query probes are read.
+    Found items carry their exact distance.
     """
     cell = F.col("list").cast("string")
     key = cell if scope is None else F.concat_ws("\u0001", cell, F.col(scope))
-    probed = assign_lists(queries, centres, probes).select(
+    placed = assign_lists(queries, centres, probes)
+    # At most one row per centre.
+    lists = [row["list"] for row in placed.select("list").distinct().collect()]
+    probed = placed.select(
         F.concat_ws("\u0001", "query_id", "list").alias("query_id"), "embedding", key.alias("_cell")
     )
     bounds.setdefault("max_queries", MAX_QUERIES * probes)
-    found = nearest(probed, indexed.withColumn("_cell", key), k, item_id, scope="_cell", **bounds)
+    held = indexed.where(F.col("list").isin(lists)).withColumn("_cell", key)
+    found = nearest(probed, held, k, item_id, scope="_cell", **bounds)
     merged = found.select(F.substring_index("query_id", "\u0001", 1).alias("query_id"), "id", "distance")
     return top_per_group(merged, ["query_id"], [F.asc_nulls_last("distance"), F.asc("id")], k)
 

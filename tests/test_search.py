@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import vectors as VEC
 from engram.operators import search as S
+from engram.sources.shared import shared_folder
 
 ITEMS = "id string, session_id string, is_active boolean, content_type string, embedding array<float>"
 QUERIES = "query_id string, session_id string, embedding array<float>"
@@ -139,6 +140,22 @@ def test_approximate_recall(spark):
     assert S.recall(every, exact).first()["recall"] == 1.0
 
 
+def test_stored_lists_are_pruned(spark):
+    items, queries = data(6, 300, 12)
+    df = spark.createDataFrame(items, ITEMS).where("is_active")
+    asked = spark.createDataFrame(queries[:2], QUERIES)
+    centres = S.pick_pivots(df, 8, "id")
+    path = shared_folder(spark, "test-lists")
+    S.assign_lists(df, centres).write.partitionBy("list").parquet(path)
+    stored = spark.read.schema(ITEMS + ", list int").parquet(path)
+    found = S.nearest_approx(asked, stored, centres, 5, "id", 2, scope="session_id")
+    direct = S.search_items_approx(asked, df, centres, 5, 2)
+    rows = [sorted((r["query_id"], r["id"], r["position"]) for r in x.collect()) for x in (found, direct)]
+    assert rows[0] == rows[1] and rows[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [list" in plan
+
+
 def test_topic_matches(spark):
     rng = random.Random(3)
     convs = [(f"c{i}", rng.choice([None, 0.5, 0.7]), [f"t{rng.randint(0, 3)}" for _ in range(2)]) for i in range(80)]
