@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from engram.llm import chat
 from engram.llm.bpe import encode_and_decode
 from engram.llm.common import documents
+from engram.llm.packing import pack
+from engram.llm.quality_model import quality_scores
 from engram.llm.rules import quality_verdicts
 from engram.llm.sharding import place
 from engram.llm.token_counts import count_tokens
+from engram.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +79,15 @@ def op1(spark, d):
     )
 
 
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/labels.parquet")
+
+
+@query("op2_quality_classifier")
+def op2(spark, d):
+    return quality_scores(documents(spark, d), labels(spark, d))
+
+
 @query("op3_bpe_encoding")
 def op3(spark, d):
     coded = encode_and_decode(documents(spark, d), public_tokenizers.path("word_bpe_49k.json"))
@@ -87,6 +99,11 @@ def op3(spark, d):
     )
 
 
+@query("op4_packing")
+def op4(spark, d):
+    return pack(documents(spark, d), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op5_quality_rules")
 def op5(spark, d):
     return quality_verdicts(documents(spark, d)).select(
@@ -135,3 +152,11 @@ def op8(spark, d):
         key="row",
     )
     return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op9_toxicity")
+def op9(spark, d):
+    scored = toxicity_scores(documents(spark, d), labels(spark, d))
+    return scored.select(
+        "doc_id", *(F.round(c, 6).alias(c) for c in ("p_marked", "p_repeated", "p_toxic")), F.col("is_toxic").cast("int").alias("predicted")
+    )

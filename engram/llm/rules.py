@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from engram.llm.common import settled
 from engram.llm.stats import text_counts
 
-# Votes of a rule: bad, abstain, good. Prior shares of the votes in each class, the anchor that keeps
-# "good" good; it weighs ANCHOR times the number of documents.
-VOTES = (-1, 0, 1)
-PRIOR = {"bad": (0.4, 0.3, 0.3), "good": (0.02, 0.18, 0.8)}
-PRIOR_GOOD = 0.8
-ANCHOR = 0.05
+# The believed accuracy of a bad (-1) and of a good (1) vote, which weighs BELIEF times the votes cast, and
+# the share of good texts. A rule that fires alone meets no other rule that could confirm it.
+ACCURACY = {-1: 0.95, 1: 0.85}
+BELIEF = 2.0
+GOOD = 0.8
 ROUNDS = 60
 
 
@@ -25,65 +24,62 @@ def rule_votes() -> dict[str, Column]:
     """The rules over the columns of ``text_counts``; without words every rule but the first abstains."""
     n = F.col("n_words")
     some = n > 0
+    never = F.lit(False)
     return {
         "length": three(n < 20, n >= 50),
-        "symbols": three(some & (F.col("n_symbols") * 10 > n), some & (F.col("n_symbols") * 50 <= n)),
-        "lines": three(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, (F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0)),
-        "repeats": three(some & (F.col("n_repeat_words") * 10 > n * 3), (n >= 3) & (F.col("n_repeat_words") * 10 <= n)),
+        "symbols": three(some & (F.col("n_symbols") * 10 > n), never),
+        "lines": three(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, never),
+        "repeats": three(some & (F.col("n_repeat_words") * 10 > n * 3), never),
         "word_length": three(
             some & ((F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 15)),
             some & (F.col("word_chars") >= n * 3) & (F.col("word_chars") <= n * 10),
         ),
-        "upper": three(some & (F.col("n_upper") * 10 > F.col("word_chars") * 3), some & (F.col("n_upper") * 10 <= F.col("word_chars"))),
-        "exclaimed": three(some & (F.col("n_exclaimed") * 5 > n), some & (F.col("n_exclaimed") * 20 <= n)),
-        "variety": three((n >= 50) & (F.col("n_distinct_words") * 5 < n) & (n < 1000), some & (F.col("n_distinct_words") * 3 >= n)),
+        "upper": three(some & (F.col("n_upper") * 10 > F.col("word_chars") * 3), never),
+        "exclaimed": three(some & (F.col("n_exclaimed") * 5 > n), never),
+        "variety": three((n >= 50) & (n < 1000) & (F.col("n_distinct_words") * 5 < n), never),
         "endings": three(some & (F.col("n_ended_lines") == 0), some & (F.col("n_ended_lines") * 2 >= F.col("n_lines"))),
     }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict:
-    """Expectation-maximisation over vote patterns with their counts.
+def logit(p: float) -> float:
+    return math.log(p) - math.log1p(-p)
 
-    Two classes; in each, a rule's vote has its own distribution over bad,
-    abstain and good (its accuracy in that class), and rules are independent.
-    There are at most 3 ** rules patterns, whatever the number of documents.
+
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> list[dict[int, float]]:
+    """The accuracy of each rule's bad and good votes, by expectation-maximisation over vote patterns with counts.
+
+    The latent class of a text is good or bad. E: the posterior of each pattern
+    under the present accuracies; M: a vote's accuracy is the mean posterior of
+    the class it votes for, over the texts with that vote, and the believed
+    accuracy. An abstention is no evidence: junk of one kind does not trip the
+    rules against other kinds. There are at most 3 ** rules patterns, whatever
+    the number of documents.
     """
-    total = sum(count for _, count in patterns)
     rules = len(patterns[0][0]) if patterns else 0
-    shares = {c: [dict(zip(VOTES, PRIOR[c], strict=True)) for _ in range(rules)] for c in PRIOR}
-    good = PRIOR_GOOD
-    weight = ANCHOR * total
-    for _ in range(rounds if total else 0):
-        sums = {c: [dict.fromkeys(VOTES, 0.0) for _ in range(rules)] for c in PRIOR}
-        mass = {"bad": 0.0, "good": 0.0}
+    accuracy = [dict(ACCURACY) for _ in range(rules)]
+    for _ in range(rounds):
+        right = [dict.fromkeys(ACCURACY, 0.0) for _ in range(rules)]
+        cast = [dict.fromkeys(ACCURACY, 0) for _ in range(rules)]
         for votes, count in patterns:
-            p = posterior(votes, shares, good)
-            for c, part in (("good", p * count), ("bad", (1 - p) * count)):
-                mass[c] += part
-                for rule, vote in enumerate(votes):
-                    sums[c][rule][vote] += part
-        new_good = (mass["good"] + weight * PRIOR_GOOD) / (total + weight)
-        shares = {
-            c: [
-                {v: (sums[c][r][v] + weight * PRIOR[c][i]) / (mass[c] + weight) for i, v in enumerate(VOTES)}
-                for r in range(rules)
-            ]
-            for c in PRIOR
-        }
-        done = abs(new_good - good) < 1e-9
-        good = new_good
-        if done:
-            break
-    return {"good": good, "shares": shares}
-
-
-def log_odds(votes: tuple[int, ...], shares: dict, good: float) -> float:
-    odds = math.log(good) - math.log1p(-good)
-    return odds + sum(math.log(shares["good"][r][v]) - math.log(shares["bad"][r][v]) for r, v in enumerate(votes))
-
-
-def posterior(votes: tuple[int, ...], shares: dict, good: float) -> float:
-    odds = max(-500.0, min(500.0, log_odds(votes, shares, good)))
+            p = posterior(votes, accuracy)
+            for rule, vote in enumerate(votes):
+                if vote:
+                    right[rule][vote] += count * (p if vote == 1 else 1 - p)
+                    cast[rule][vote] += count
+        accuracy = [
+            {v: (right[r][v] / cast[r][v] + BELIEF * a) / (1 + BELIEF) if cast[r][v] else a for v, a in ACCURACY.items()}
+            for r in range(rules)
+        ]
+    return accuracy
+
+
+def weight(vote: int, accuracy: float) -> float:
+    """What a vote adds to the log-odds of good: how far its accuracy is above the class's share, if it is."""
+    return vote * max(0.0, logit(accuracy) - logit(GOOD if vote == 1 else 1 - GOOD))
+
+
+def posterior(votes: tuple[int, ...], accuracy: list[dict[int, float]]) -> float:
+    odds = logit(GOOD) + sum(weight(v, accuracy[r][v]) for r, v in enumerate(votes) if v)
     return 1 / (1 + math.exp(-odds))
 
 
@@ -103,10 +99,9 @@ def quality_verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", cut
     columns = [f"vote_{name}" for name in rules]
     found: list[Row] = voted.groupBy(*columns).count().collect()
     fit = fit_votes(sorted((tuple(r[c] for c in columns), r["count"]) for r in found))
-    odds = F.lit(math.log(fit["good"]) - math.log1p(-fit["good"]))
-    for r, c in enumerate(columns if found else []):
-        weights = {v: math.log(fit["shares"]["good"][r][v]) - math.log(fit["shares"]["bad"][r][v]) for v in VOTES}
-        odds = odds + F.when(F.col(c) == -1, weights[-1]).when(F.col(c) == 1, weights[1]).otherwise(weights[0])
+    odds = F.lit(logit(GOOD))
+    for accuracy, c in zip(fit, columns, strict=False):
+        odds = odds + F.when(F.col(c) == -1, weight(-1, accuracy[-1])).when(F.col(c) == 1, weight(1, accuracy[1])).otherwise(0.0)
     n = F.col("n_words")
     failed = (n < 50) | (F.col("n_repeat_words") * 100 > n * 50)
     return voted.select(
