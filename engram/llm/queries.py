@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from engram.llm import chat
 from engram.llm.bpe import encode_and_decode
 from engram.llm.common import documents
+from engram.llm.fingerprints import edited_fingerprints
 from engram.llm.packing import pack
 from engram.llm.quality_model import quality_scores
 from engram.llm.rules import quality_verdicts
@@ -143,6 +144,20 @@ def op6(spark, d):
     return place(documents(spark, d).select("doc_id"), F.col("doc_id"), SHARDS, SLOTS)
 
 
+@query("op7_document_fingerprints")
+def op7(spark, d):
+    marked = edited_fingerprints(documents(spark, d))
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        hex_digest(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 @query("op8_token_counts")
 def op8(spark, d):
     table = documents(spark, d).withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))

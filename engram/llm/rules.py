@@ -27,7 +27,7 @@ def rule_votes() -> dict[str, Column]:
     never = F.lit(False)
     return {
         "length": three(n < 20, n >= 50),
-        "symbols": three(some & (F.col("n_symbols") * 10 > n), never),
+        "symbols": three(some & (F.col("n_symbols") * 10 > n * 3), never),
         "lines": three(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, never),
         "repeats": three(some & (F.col("n_repeat_words") * 10 > n * 3), never),
         "word_length": three(
@@ -36,7 +36,7 @@ def rule_votes() -> dict[str, Column]:
         ),
         "upper": three(some & (F.col("n_upper") * 10 > F.col("word_chars") * 3), never),
         "exclaimed": three(some & (F.col("n_exclaimed") * 5 > n), never),
-        "variety": three((n >= 50) & (n < 1000) & (F.col("n_distinct_words") * 5 < n), never),
+        "variety": three((n >= 50) & (n < 1000) & (F.col("n_distinct_words") * 8 < n), never),
         "endings": three(some & (F.col("n_ended_lines") == 0), some & (F.col("n_ended_lines") * 2 >= F.col("n_lines"))),
     }
 
