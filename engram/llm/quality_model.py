@@ -4,9 +4,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import settled
 from engram.llm.linear import fit_nonnegative_pu
-from engram.llm.stats import text_counts
+from engram.llm.stats import with_counts
 
 SAMPLE_ROWS = 20_000  # of trusted positives, and as many unlabelled ones
 
@@ -41,12 +40,39 @@ def features() -> Column:
     return F.array(*bent, *rest)
 
 
-def sample(df: DataFrame, key: str, rows: int) -> np.ndarray:
-    """At most ``rows`` feature rows, chosen by a hash of the key."""
-    found = df.orderBy(F.xxhash64(key), key).limit(rows).select("x").collect()
+def sample(df: DataFrame, keys: DataFrame, key: str, text: str, rows: int) -> np.ndarray:
+    """The features of the rows of at most ``rows`` keys, chosen by a hash of the key."""
+    chosen = keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(rows)
+    texts = df.select(key, text).join(F.broadcast(chosen.distinct()), key).limit(2 * rows)
+    found = with_counts(texts, text, F.col(key)).select(features().alias("x")).collect()
     return np.array([r["x"] for r in found], float).reshape(len(found), -1)
 
 
+def fit_quality(
+    df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = SAMPLE_ROWS
+) -> np.ndarray | None:
+    """Weights over ``features`` and, last, the constant; None without trusted positives.
+
+    Trusted positives are rows that ``labels`` marks 1 (of repeated labels the
+    highest counts), unlabelled ones are taken from all rows without regard to
+    labels. Held-out rows give neither positives nor the class prior, which is
+    estimated as the share of positives among the other labelled rows. At most
+    ``sample_rows`` keys of each kind are learnt from.
+    """
+    usable = labels.where(F.col(quality).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(quality).alias("mark"))
+    good = F.coalesce(F.sum((F.col("mark") == 1).cast("long")), F.lit(0))
+    marks = usable.agg(F.count("*").alias("n"), good.alias("good")).first()
+    positive = sample(df, usable.where("mark = 1").select(key), key, text, sample_rows)
+    unlabelled = sample(df, df.select(key), key, text, sample_rows)
+    if not len(positive) or not len(unlabelled):
+        return None
+    prior = (marks["good"] + 1) / (marks["n"] + 2)
+    centre, spread = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-6)
+    weights = fit_nonnegative_pu((positive - centre) / spread, (unlabelled - centre) / spread, prior)
+    scaled = weights[:-1] / spread
+    return np.append(scaled, weights[-1] - (scaled * centre).sum())
+
+
 def quality_scores(
     df: DataFrame,
     labels: DataFrame,
@@ -56,36 +82,23 @@ def quality_scores(
     sample_rows: int = SAMPLE_ROWS,
     cut: float = 0.7,
 ) -> DataFrame:
-    """key, held_out, score (0 to 1, higher: good likelier) and predicted for each row's whole text.
-
-    Trusted positives are rows that ``labels`` marks 1, unlabelled ones are
-    taken from all rows without regard to labels; held-out rows give neither
-    labels nor the class prior, which is the share of positives among the other
-    labelled rows. At most ``sample_rows`` of each kind are fitted on the
-    driver, chosen by a hash of the key; statistics and scores cover all rows.
-    Null and empty texts are scored as texts without words; a null key is not
-    held out and has no label. Repeated rows are scored each. Without labels
-    every score is 0.5. Other columns are never looked at; an empty table gives
-    no rows.
+    """row (all columns of ``df``), held_out, score (0 to 1, higher: good likelier) and predicted, for each row's whole text.
+
+    The fit is on a bounded sample on the driver (``fit_quality``); the scores
+    of all rows are expressions of their text alone, so no row is moved. Null
+    and empty texts are scored as texts without words; a null key is not held
+    out and has no label. Repeated rows are scored each. Without trusted
+    positives every score is 0.5. An empty table gives no rows.
     """
-    counted = settled(text_counts(df, key, text), "quality")
-    numbers = counted.select(key, held_out(F.col(key)).alias("held_out"), features().alias("x"))
-    usable = labels.where(F.col(quality).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(quality).alias("mark"))
-    marks = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("mark") == 1).cast("long")), F.lit(0)).alias("good")).first()
-    positive = sample(numbers.join(usable.where("mark = 1"), key, "left_semi"), key, sample_rows)
-    unlabelled = sample(numbers, key, sample_rows)
-    width = 23
-    weights, centre, spread = np.zeros(width + 1), np.zeros(width), np.ones(width)
-    if len(positive) and len(unlabelled):
-        prior = (marks["good"] + 1) / (marks["n"] + 2)
-        centre, spread = unlabelled.mean(0), np.maximum(unlabelled.std(0), 1e-6)
-        weights = fit_nonnegative_pu((positive - centre) / spread, (unlabelled - centre) / spread, prior)
-    scaled = weights[:-1] / spread
-    constant = float(weights[-1] - (scaled * centre).sum())
-    z = F.aggregate(
-        F.zip_with("x", F.array(*(F.lit(float(w)) for w in scaled)), lambda a, b: a * b), F.lit(constant), lambda s, v: s + v
-    )
+    weights = fit_quality(df, labels, key, text, quality, sample_rows)
+    z = F.lit(0.0)
+    counted = with_counts(df, text, F.struct(*df.columns).alias("row"))
+    if weights is not None:
+        z = F.aggregate(
+            F.zip_with(features(), F.array(*(F.lit(float(w)) for w in weights[:-1])), lambda a, b: a * b),
+            F.lit(float(weights[-1])),
+            lambda s, v: s + v,
+        )
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return numbers.select(key, "held_out", score.alias("score")).withColumn(
-        "predicted", F.when(F.col("score") >= cut, 1).otherwise(0)
-    )
+    scored = counted.select("row", held_out(F.col(f"row.`{key}`")).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))

@@ -10,6 +10,7 @@ from engram.llm import chat
 from engram.llm.bpe import encode_and_decode
 from engram.llm.common import documents
 from engram.llm.fingerprints import edited_fingerprints
+from engram.llm.ngram_join import near_duplicates
 from engram.llm.packing import pack
 from engram.llm.quality_model import quality_scores
 from engram.llm.rules import quality_verdicts
@@ -86,7 +87,8 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op2_quality_classifier")
 def op2(spark, d):
-    return quality_scores(documents(spark, d), labels(spark, d))
+    scored = quality_scores(documents(spark, d).select("doc_id", "text"), labels(spark, d))
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
 
 
 @query("op3_bpe_encoding")
@@ -175,3 +177,8 @@ def op9(spark, d):
     return scored.select(
         "doc_id", *(F.round(c, 6).alias(c) for c in ("p_marked", "p_repeated", "p_toxic")), F.col("is_toxic").cast("int").alias("predicted")
     )
+
+
+@query("op10_ngram_join")
+def op10(spark, d):
+    return near_duplicates(documents(spark, d))

@@ -51,34 +51,45 @@ def repeated_window_words(found: Column) -> Column:
     return F.when(start >= 1, covered).otherwise(F.lit(0).cast("long"))
 
 
-def text_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of counts for each row: the key and the columns named below, all long.
+def with_counts(df: DataFrame, text: str, *kept: Column) -> DataFrame:
+    """The ``kept`` columns of each row and its counts, all long.
 
     n_words, word_chars (code points in words), n_symbols (characters of
     ``#*$%&|<>``), n_lines (lines with a word), n_dup_lines (of these, equal to
     an earlier one), n_repeat_words, n_distinct_words, n_upper (upper-case
     letters), n_exclaimed, n_digits, n_ended_lines (lines ending a sentence).
-    A null or empty text has zeros; no other column of the input is looked at.
+    A null or empty text has zeros; the kept columns should have other names.
     """
-    body = F.coalesce(F.col(text), F.lit("")).alias("body")
-    split = df.select(F.col(key).alias("key"), body).select(
-        "key",
-        "body",
-        words(F.col("body")).alias("found"),
-        F.filter(F.split("body", "\n"), lambda line: line.rlike(WORD)).alias("lines"),
+    split = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("counted_body"))
+    names = split.columns[:-1]
+    split = split.select(
+        *names,
+        "counted_body",
+        words(F.col("counted_body")).alias("found"),
+        F.filter(F.split("counted_body", "\n"), lambda line: line.rlike(WORD)).alias("lines"),
     )
-    length = F.length("body")
+    length = F.length("counted_body")
+
+    def without(characters: str) -> Column:
+        return (length - F.length(F.translate("counted_body", characters, ""))).cast("long")
+
+    ended = F.filter("lines", lambda x: x.rlike(r"[.!?…][\"')\]”’»]*[\x20\x09-\x0D]*$"))
     return split.select(
-        F.col("key").alias(key),
+        *names,
         F.size("found").cast("long").alias("n_words"),
-        space_words(F.col("body")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        space_words(F.col("counted_body")).cast("long").alias("word_chars"),
+        without(SYMBOLS).alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("found")).alias("n_repeat_words"),
         F.size(F.array_distinct("found")).cast("long").alias("n_distinct_words"),
-        (length - F.length(F.regexp_replace("body", r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
-        (length - F.length(F.translate("body", "!", ""))).cast("long").alias("n_exclaimed"),
-        (length - F.length(F.translate("body", "0123456789", ""))).cast("long").alias("n_digits"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…][\"')\]”’»]*[\x20\x09-\x0D]*$"))).cast("long").alias("n_ended_lines"),
+        (length - F.length(F.regexp_replace("counted_body", r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
+        without("!").alias("n_exclaimed"),
+        without("0123456789").alias("n_digits"),
+        F.size(ended).cast("long").alias("n_ended_lines"),
     )
+
+
+def text_counts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key and the counts of each row; no other column of the input is looked at."""
+    return with_counts(df, text, F.col(key))
