@@ -100,5 +100,6 @@ def quality_scores(
             lambda s, v: s + v,
         )
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    scored = counted.select("row", held_out(F.col(f"row.`{key}`")).alias("held_out"), score.alias("score"))
+    # The one-element explode keeps a later condition on the score from being worked out a second time below it.
+    scored = counted.select("row", held_out(F.col(f"row.`{key}`")).alias("held_out"), F.explode(F.array(score)).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= cut, 1).otherwise(0))

@@ -10,7 +10,12 @@ POSITION_BITS = 31
 
 
 def repeated_window_words(found: Column) -> Column:
-    """How many words lie in a window of three words found twice or more in the array.
+    """How many words lie in a window of three words found twice or more in the array."""
+    return once(found, repeated_in)
+
+
+def repeated_in(found: Column) -> Column:
+    """The count for an array that is a variable: it is looked into at every step.
 
     Windows are sorted as numbers, 33 bits of a hash above the position, so
     that windows that may be equal stand side by side; only those are compared
