@@ -21,8 +21,8 @@ def test_query(spark, con, name):
     assert compare(spark, con, JOBS[name], SQL.get(name), SF_DIR) is None
 
 
-def test_every_query_has_sql():
-    assert set(JOBS) == set(SQL)
+def test_every_query_has_sql_or_a_test_of_its_own():
+    assert {name for name in JOBS if name not in SQL} <= set(entry.LLM_QUERIES)
 
 
 def test_entry(spark):
