@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from engram.functions.vectors import once
 from engram.sources.shared import settled
 
-__all__ = ["OTHER_SPACE", "documents", "once", "settled", "space_words", "words"]
+__all__ = ["OTHER_SPACE", "documents", "lowered_words", "once", "settled", "space_words", "words"]
 
 # White space of the word pattern [^\x20\x09-\x0D]+ besides the blank.
 OTHER_SPACE = "\t\n\x0b\x0c\r"
@@ -20,6 +20,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(blanked, " "), "")
 
 
+def lowered_words(text: Column) -> Column:
+    """The same words with A-Z in lower case."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = F.translate(F.coalesce(text, F.lit("")), capitals + OTHER_SPACE, small + " " * len(OTHER_SPACE))
+    return F.array_remove(F.split(changed, " "), "")
+
+
 def space_words(text: Column) -> Column:
     """The characters of all words of a text."""
     return F.length(F.translate(F.coalesce(text, F.lit("")), " " + OTHER_SPACE, ""))

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import settled
+from engram.llm.common import lowered_words, settled
 from engram.llm.components import connected
-from engram.llm.shingles import WORDS, lowered_ascii, shingle_hashes
+from engram.llm.shingles import WORDS
 
 SHARE = 80  # per cent of the union
 COMMON = 64  # a token in more texts is of a frequent class
@@ -17,72 +17,130 @@ COMMON_TOKENS = 1 << 18  # so many at most are; which are never changes results
 SLICE_TOKENS = 1 << 22
 SHORT_LIST = 8
 BLOCK = 2048
+ROWS = 1024
 FILTER_BITS = 23
 BITMAP_WORDS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number: the golden ratio's fraction
 
 
-def token_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, node (a hash of the set: equal sets are one node), n and the sorted tokens of each row; no words: null, 0, none."""
-    hashes = F.sort_array(F.array_distinct(shingle_hashes(lowered_ascii(F.col(text)), words)))
-    sets = df.select(F.col(key).cast("long").alias("key"), hashes.alias("tokens"))
-    n = F.size("tokens")
-    return sets.select("key", F.when(n > 0, F.xxhash64("tokens", n)).alias("node"), n.cast("long").alias("n"), "tokens")
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column and where each row's begin, and the end."""
     ends = column.offsets.to_numpy()
     return column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    return flat(batch.column(batch.schema.get_field_index(name)))
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (a ^ (np.asarray(b).astype(np.uint64) * MIX)) * MIX
+        return (h ^ (h >> np.uint64(32))) * MIX
 
 
-def fresh(nodes: list, seen: set) -> list[int]:
-    """The rows whose node this task has not had before."""
-    rows = []
-    for i, node in enumerate(nodes):
-        if node is not None and node not in seen:
-            seen.add(node)
-            rows.append(i)
-    return rows
+def run_hashes(h: np.ndarray, words: int) -> np.ndarray:
+    """The hash of each run of ``words`` word hashes."""
+    if len(h) < words:
+        return h[:0]
+    total = np.full(len(h) - words + 1, words, np.uint64)
+    factor = MIX
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            total += h[k : len(h) - words + 1 + k] * factor
+            factor = factor * MIX + np.uint64(2)
+    return mixed(total, 7)
+
+
+class Sets:
+    """The shingle sets of a batch: tokens in ascending order, where each row's begin, and a hash of each row's set."""
+
+    def __init__(self, batch: pa.RecordBatch, words: int):
+        h, ends = flat(batch.column(1))
+        h = h.view(np.uint64)
+        runs = run_hashes(h, words)
+        parts = []
+        for i, k in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if k - i >= words:
+                parts.append(np.unique(runs[i : k - words + 1]))
+            else:
+                parts.append(run_hashes(h[i:k], k - i) if k > i else h[:0])
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.at = np.r_[0, np.cumsum(self.sizes)]
+        self.tokens = np.concatenate([*parts, h[:0]])
+        sums = np.r_[np.uint64(0), np.cumsum(mixed(self.tokens, 11), dtype=np.uint64)]
+        with np.errstate(over="ignore"):
+            own = sums[self.at[1:]] - sums[self.at[:-1]]
+        self.nodes = mixed(own, self.sizes).view(np.int64)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.tokens[self.at[i] : self.at[i + 1]]
+
+    def fresh(self, seen: set) -> list[int]:
+        """The rows with a set that this task has not had before."""
+        rows = []
+        for i, (node, n) in enumerate(zip(self.nodes.tolist(), self.sizes.tolist(), strict=True)):
+            if n and node not in seen:
+                seen.add(node)
+                rows.append(i)
+        return rows
+
+
+def bitmaps(sets: Sets) -> np.ndarray:
+    """The parity of the number of a set's tokens at each of 512 places, a row of 8 words for each set.
+
+    Two bitmaps differ in at most as many bits as the sets differ in tokens.
+    """
+    words, rows = 64 * BITMAP_WORDS, len(sets.sizes)
+    place = (mixed(sets.tokens, 5) >> np.uint64(40)).astype(np.int64) % words
+    owner = np.repeat(np.arange(rows), sets.sizes)
+    parity = (np.bincount(owner * words + place, minlength=rows * words) & 1).astype(np.uint8).reshape(rows, words)
+    return np.packbits(parity, axis=1).view(np.int64)
 
 
-def outlined(sets: DataFrame) -> DataFrame:
-    """kind 0: a = key, b = node, c = n of each row; kind 1: a = token, b = texts with it, counted within slices of a task.
+def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the hashes of the lower-cased words of each row's whole text."""
+    return df.select(F.col(key).cast("long").alias("key"), F.transform(lowered_words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+
+
+def fixed_lists(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def outlined(hashed: DataFrame, words: int) -> DataFrame:
+    """kind 0: a = key, b = node, c = n and the bitmap of each row; kind 1: a = token, b = texts with it, by slices of a task.
 
     Tokens that a slice has once are not counted: this only decides which
     tokens are taken for frequent, and those are frequent in many slices.
     """
-    names = ["kind", "a", "b", "c"]
+    names = ["kind", "a", "b", "c", "bitmap"]
+    listed = pa.list_(pa.int64())
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held).view(np.int64), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        kind = pa.array(np.ones(len(token), np.int32))
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([kind, pa.array(token), pa.array(count.astype(np.int64)), none, pa.nulls(len(token), listed)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         held: list[np.ndarray] = []
         size = 0
-
-        def counted() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            kind = pa.array(np.ones(len(token), np.int32))
-            return pa.RecordBatch.from_arrays([kind, pa.array(token), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.int64())], names=names)
-
         for batch in batches:
-            kind = pa.array(np.zeros(batch.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([kind, *batch.columns[:3]], names=names)
-            values, at = lists(batch, "tokens")
-            for i in fresh(batch.column(1).to_pylist(), seen):
-                held.append(values[at[i] : at[i + 1]])
-                size += len(held[-1])
-                if size >= SLICE_TOKENS:
-                    yield counted()
-                    held, size = [], 0
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                sets = Sets(part, words)
+                kind = pa.array(np.zeros(part.num_rows, np.int32))
+                node = pa.array(sets.nodes, mask=sets.sizes == 0)
+                yield pa.RecordBatch.from_arrays([kind, part.column(0), node, pa.array(sets.sizes), fixed_lists(bitmaps(sets))], names=names)
+                for i in sets.fresh(seen):
+                    held.append(sets.of(i))
+                    size += len(held[-1])
+                    if size >= SLICE_TOKENS:
+                        yield counted(held)
+                        held, size = [], 0
         if held:
-            yield counted()
+            yield counted(held)
 
-    return sets.mapInArrow(run, "kind int, a long, b long, c long")
+    return hashed.mapInArrow(run, "kind int, a long, b long, c long, bitmap array<bigint>")
 
 
 def levels_of(n: int) -> list[tuple[int, int]]:
@@ -100,12 +158,6 @@ def levels_of(n: int) -> list[tuple[int, int]]:
     return found
 
 
-def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (a ^ (np.asarray(b).astype(np.uint64) * MIX)) * MIX
-        return (h ^ (h >> np.uint64(32))) * MIX
-
-
 def signature_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The index keys of one set, from its tokens in ascending order and which of them are common.
 
@@ -119,11 +171,11 @@ def signature_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """
     n = len(tokens)
     need = n - (SHARE * n + 99) // 100 + 1
-    rare = tokens[~common].view(np.uint64)
+    rare = tokens[~common]
     if len(rare) >= need:
         return mixed(rare[:need], 1)
     keys = [mixed(rare, 1)]
-    often = tokens[common].view(np.uint64)
+    often = tokens[common]
     for level, classes in levels_of(n):
         of = (mixed(often, 2) >> np.uint64(20)) % np.uint64(classes)
         _, first = np.unique(of, return_index=True)
@@ -142,9 +194,9 @@ def signature_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def indexed(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+def indexed(hashed: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
     """key, node: the index entries of all sets of two tokens or more; a task writes those of a node once."""
-    mask = np.int64((1 << 20) - 1)
+    mask = np.uint64((1 << 20) - 1)
     maybe = np.zeros(1 << 20, bool)
     maybe[frequent & mask] = True
 
@@ -155,31 +207,30 @@ def indexed(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
         result[at] = frequent[place] == values[at] if len(frequent) else False
         return result
 
+    def entries(keys: list[np.ndarray], owners: list) -> pa.RecordBatch:
+        owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            values, at = lists(batch, "tokens")
-            common = is_common(values)
-            nodes = batch.column(1).to_pylist()
-            keys, owners, size = [], [], 0
-
-            def entries() -> pa.RecordBatch:
-                owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "node"])
-
-            for i in fresh(nodes, seen):
-                if at[i + 1] - at[i] < 2:
-                    continue
-                keys.append(signature_keys(values[at[i] : at[i + 1]], common[at[i] : at[i + 1]]))
-                owners.append(nodes[i])
-                size += len(keys[-1])
-                if size > 1 << 18:
-                    yield entries()
-                    keys, owners, size = [], [], 0
-            if keys:
-                yield entries()
-
-    return sets.mapInArrow(run, "key long, node long")
+            for begin in range(0, batch.num_rows, ROWS):
+                sets = Sets(batch.slice(begin, ROWS), words)
+                common = is_common(sets.tokens)
+                keys, owners, size = [], [], 0
+                for i in sets.fresh(seen):
+                    if sets.sizes[i] < 2:
+                        continue
+                    keys.append(signature_keys(sets.of(i), common[sets.at[i] : sets.at[i + 1]]))
+                    owners.append(sets.nodes[i])
+                    size += len(keys[-1])
+                    if size > 1 << 18:
+                        yield entries(keys, owners)
+                        keys, owners, size = [], [], 0
+                if keys:
+                    yield entries(keys, owners)
+
+    return hashed.mapInArrow(run, "key long, node long")
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
@@ -262,36 +313,22 @@ def bit_table(nodes: DataFrame) -> np.ndarray:
     return table
 
 
-def needed_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, tokens and bitmap of the given nodes, and of few others.
-
-    The bitmap has the parity of the number of tokens at each of 512 places:
-    two bitmaps differ in at most as many bits as the sets differ in tokens.
-    """
+def needed_sets(hashed: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and tokens of the given nodes, and of few others."""
     table = bit_table(nodes)
-    schema = "node long, n long, tokens array<bigint>, bitmap array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            batch = batch.filter(pa.array([x is not None for x in batch.column(1).to_pylist()]))
-            node = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (table[(node >> 6) & (len(table) - 1)] >> (node & 63)) & 1
-            rows = [i for i in fresh(node.tolist(), seen) if hit[i]]
-            if not rows:
-                continue
-            part = batch.take(pa.array(rows, pa.int64()))
-            values, at = lists(part, "tokens")
-            place = (mixed(values.view(np.uint64), 5) >> np.uint64(40)).astype(np.int64) % (64 * BITMAP_WORDS)
-            owner = np.repeat(np.arange(len(rows)), np.diff(at))
-            words = 64 * BITMAP_WORDS
-            parity = (np.bincount(owner * words + place, minlength=len(rows) * words) & 1).astype(np.uint8).reshape(len(rows), words)
-            bits = np.packbits(parity, axis=1).view(np.int64)
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), maps], names=["node", "n", "tokens", "bitmap"])
+            for begin in range(0, batch.num_rows, ROWS):
+                sets = Sets(batch.slice(begin, ROWS), words)
+                hit = (table[(sets.nodes >> 6) & (len(table) - 1)] >> (sets.nodes & 63)) & 1
+                rows = [i for i in sets.fresh(seen) if hit[i]]
+                if rows:
+                    tokens = [sets.of(i).view(np.int64) for i in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(sets.nodes[rows]), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    found = sets.mapInArrow(run, schema)
-    return found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bitmap")))
+    return hashed.mapInArrow(run, "node long, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def alike(most: Column, total: Column) -> Column:
@@ -309,17 +346,21 @@ def may_link(x: str, y: str) -> Column:
     return alike(most, total)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked: the distinct pairs that size and bitmap allow, with the verdict on their whole sets."""
-    brief = sets.select("node", F.struct("n", "bitmap").alias("brief"))
+def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
+    """The pairs a, b that sizes and bitmaps allow."""
+    brief = briefs.select("node", F.struct("n", "bitmap").alias("brief"))
     left, right = (brief.select(F.col("node").alias(c), F.col("brief").alias(f"{c}_brief")) for c in ("a", "b"))
-    kept = pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select("a", "b")
-    kept = settled(kept, "pairs")
-    whole = sets.select("node", "tokens")
+    return pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select("a", "b")
+
+
+def verified(pairs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
+    """a, b, forest, linked: the verdict on the whole sets of each pair."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    whole = settled(needed_sets(hashed, nodes, words), "sets")
     left, right = (whole.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     total = F.size("a_tokens") + F.size("b_tokens")
-    return settled(kept.join(left, "a").join(right, "b").select("a", "b", alike(both, total).alias("linked")), "links")
+    return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "forest", alike(both, total).alias("linked")), "links")
 
 
 def blocked(entries: DataFrame) -> DataFrame:
@@ -333,14 +374,14 @@ def blocked(entries: DataFrame) -> DataFrame:
     return met.select(part.alias("part"), "node")
 
 
-def list_pairs(entries: DataFrame, sets: DataFrame, roots: DataFrame, forest: bool) -> DataFrame:
+def list_pairs(entries: DataFrame, briefs: DataFrame, roots: DataFrame | None, forest: bool) -> DataFrame:
     """Pairs of long lists that sizes and bitmaps allow, between nodes of different components.
 
     With ``forest`` a list gives only pairs that would join its components,
     one less than its entries at most; else all.
     """
-    brief = sets.select("node", "n", "bitmap").join(roots, "node", "left")
-    rows = blocked(entries).join(brief.withColumn("root", F.coalesce("root", "node")), "node")
+    rooted = briefs.withColumn("root", F.col("node")) if roots is None else briefs.join(roots, "node", "left")
+    rows = blocked(entries).join(rooted.withColumn("root", F.coalesce("root", "node")), "node")
     rows = rows.select("part", "n", "node", "root", "bitmap")
 
     def compared(n: np.ndarray, node: np.ndarray, root: np.ndarray, bitmap: np.ndarray) -> tuple[list[int], list[int]]:
@@ -416,35 +457,36 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     component's smallest. Other columns are not looked at; no rows give no rows.
 
     Texts are read three times: to outline the sets and find frequent tokens, to
-    index prefixes, and to fetch the sets that share a key. Pairs from long
-    lists are first only those that would join components; if one of these
-    fails on the whole sets, all that are left between components are verified.
+    index prefixes, and to fetch the sets of pairs that sizes and bitmaps allow.
+    Of long lists these pairs are first only those that would join its
+    components; if one of them fails on the whole sets, a fourth reading fetches
+    all such pairs that are left between components.
     """
-    sets = token_sets(df, key, text, words)
-    outline = settled(outlined(sets), "outline")
-    rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"))
+    hashed = hashed_words(df, key, text)
+    outline = settled(outlined(hashed, words), "outline")
+    rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"), "bitmap")
     often = outline.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > COMMON)
-    frequent = np.sort(np.array([r["a"] for r in often.orderBy(F.desc("n"), "a").limit(COMMON_TOKENS).collect()], np.int64))
+    frequent = np.array([r["a"] for r in often.orderBy(F.desc("n"), "a").limit(COMMON_TOKENS).collect()], np.int64).view(np.uint64)
 
-    shared = settled(shared_lists(indexed(sets, frequent)), "lists")
-    pairs = shared.where("kind = 0").select("a", "b").distinct()
+    shared = settled(shared_lists(indexed(hashed, np.sort(frequent), words)), "lists")
     entries = shared.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    nodes = shared.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("node"))
-    whole = settled(needed_sets(sets, nodes), "sets")
-
-    links = verified(pairs, whole)
+    nodes = shared.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct()
+    briefs = rows.where("n > 1").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
+    briefs = settled(briefs, "briefs")
+    short = likely(shared.where("kind = 0").select("a", "b").distinct(), briefs).withColumn("forest", F.lit(False))
+    long = list_pairs(entries, briefs, None, forest=True).withColumn("forest", F.lit(True))
+    pairs = short.unionByName(long).groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    links = verified(settled(pairs, "pairs"), hashed, words)
     roots = connected(links.where("linked"))
-    first = verified(list_pairs(entries, whole, roots, forest=True), whole)
-    if not first.isEmpty():
-        links = links.unionByName(first)
-        roots = connected(links.where("linked"))
-        if not first.where("NOT linked").isEmpty():
-            rest = verified(list_pairs(entries, whole, roots, forest=False), whole)
-            if not rest.isEmpty():
-                roots = connected(links.unionByName(rest).where("linked"))
-
-    grouped = rows.join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
-    grouped = settled(grouped, "roots")
+    if not links.where("forest AND NOT linked").isEmpty():
+        rest = list_pairs(entries, briefs, roots, forest=False).join(links.select("a", "b"), ["a", "b"], "left_anti")
+        rest = settled(rest.withColumn("forest", F.lit(False)), "pairs")
+        if not rest.isEmpty():
+            links = links.unionByName(verified(rest, hashed, words))
+            roots = connected(links.where("linked"))
+
+    rows = rows.select("key", "node", "n").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
+    grouped = settled(rows, "roots")
     least = grouped.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("component_id"))
     found = grouped.join(least, "root", "left")
     return found.select(

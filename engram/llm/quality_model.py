@@ -45,7 +45,7 @@ def sample(df: DataFrame, keys: DataFrame, key: str, text: str, rows: int) -> np
     chosen = keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(rows)
     texts = df.select(key, text).join(F.broadcast(chosen.distinct()), key).limit(2 * rows)
     found = with_counts(texts, text, F.col(key)).select(features().alias("x")).collect()
-    return np.array([r["x"] for r in found], float).reshape(len(found), -1)
+    return np.array([r["x"] for r in found], float)
 
 
 def fit_quality(

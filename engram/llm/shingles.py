@@ -8,11 +8,6 @@ from engram.llm.common import once, words
 WORDS = 5
 
 
-def lowered_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def shingle_hashes(text: Column, n: int = WORDS) -> Column:
     """The hash of each run of ``n`` words in text order; with fewer words the whole sequence as one, without any none.
 
