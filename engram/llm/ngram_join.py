@@ -68,15 +68,16 @@ class Sets:
         with np.errstate(over="ignore"):
             own = sums[self.at[1:]] - sums[self.at[:-1]]
         self.nodes = mixed(own, self.sizes).view(np.int64)
+        self.usable = (self.sizes > 0) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
 
     def of(self, i: int) -> np.ndarray:
         return self.tokens[self.at[i] : self.at[i + 1]]
 
     def fresh(self, seen: set) -> list[int]:
-        """The rows with a set that this task has not had before."""
+        """The rows with a key and a set that this task has not had before."""
         rows = []
-        for i, (node, n) in enumerate(zip(self.nodes.tolist(), self.sizes.tolist(), strict=True)):
-            if n and node not in seen:
+        for i, (node, usable) in enumerate(zip(self.nodes.tolist(), self.usable.tolist(), strict=True)):
+            if usable and node not in seen:
                 seen.add(node)
                 rows.append(i)
         return rows
@@ -129,7 +130,7 @@ def outlined(hashed: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(begin, ROWS)
                 sets = Sets(part, words)
                 kind = pa.array(np.zeros(part.num_rows, np.int32))
-                node = pa.array(sets.nodes, mask=sets.sizes == 0)
+                node = pa.array(sets.nodes, mask=~sets.usable)
                 yield pa.RecordBatch.from_arrays([kind, part.column(0), node, pa.array(sets.sizes), fixed_lists(bitmaps(sets))], names=names)
                 for i in sets.fresh(seen):
                     held.append(sets.of(i))
@@ -299,36 +300,37 @@ def shared_lists(index: DataFrame) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long")
 
 
-def bit_table(nodes: DataFrame) -> np.ndarray:
-    """A table of 2 ** 23 bits in which the bit of every given node is set.
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A table of 2 ** 23 bits in which the bit of every given key is set.
 
     Its words are put together by Spark; the driver gets 2 ** 17 of them at most.
     """
-    word = F.shiftright("node", 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
-    bit = F.expr("shiftleft(1L, cast(node & 63L as int))")
-    found = nodes.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
+    word = F.shiftright("key", 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
+    bit = F.expr("shiftleft(1L, cast(key & 63L as int))")
+    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in found:
         table[r["w"]] = r["bits"]
     return table
 
 
-def needed_sets(hashed: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and tokens of the given nodes, and of few others."""
-    table = bit_table(nodes)
+def needed_sets(hashed: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """node and tokens of the rows with the given keys, and of few others."""
+    table = bit_table(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
+            key = batch.column(0).fill_null(0).to_numpy()
+            hit = (table[(key >> 6) & (len(table) - 1)] >> (key & 63)) & 1
+            batch = batch.filter(pa.array(hit == 1))
             for begin in range(0, batch.num_rows, ROWS):
                 sets = Sets(batch.slice(begin, ROWS), words)
-                hit = (table[(sets.nodes >> 6) & (len(table) - 1)] >> (sets.nodes & 63)) & 1
-                rows = [i for i in sets.fresh(seen) if hit[i]]
-                if rows:
+                if rows := sets.fresh(seen):
                     tokens = [sets.of(i).view(np.int64) for i in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(sets.nodes[rows]), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return hashed.mapInArrow(run, "node long, tokens array<bigint>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return hashed.mapInArrow(run, "node long, tokens array<bigint>")
 
 
 def alike(most: Column, total: Column) -> Column:
@@ -353,14 +355,34 @@ def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select("a", "b")
 
 
-def verified(pairs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
-    """a, b, forest, linked: the verdict on the whole sets of each pair."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    whole = settled(needed_sets(hashed, nodes, words), "sets")
+def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
+    """a, b, linked: the verdict on the whole sets of each pair.
+
+    A set is fetched from the text with its node's smallest key, and moved once
+    to all its pairs.
+    """
+    reps = briefs.select("node", F.col("rep").alias("key"))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("key")
+    whole = needed_sets(hashed, keys, words)
     left, right = (whole.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     total = F.size("a_tokens") + F.size("b_tokens")
-    return settled(pairs.join(left, "a").join(right, "b").select("a", "b", "forest", alike(both, total).alias("linked")), "links")
+    verdicts = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", alike(both, total).alias("linked"))
+    return settled(verdicts, "links")
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """a, b: for each node of the pairs the one with its least partner."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
+    least = both.groupBy("u").agg(F.min("v").alias("v"))
+    return least.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components."""
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
 
 
 def blocked(entries: DataFrame) -> DataFrame:
@@ -453,14 +475,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     whole sequence. Two sets link when their intersection has at least 80 per cent of
     their union; equal sets are one node, told apart by 64 bits. Null and empty
     texts have no set, link with nothing and are their own component. Repeated
-    rows are rows of the same component; a null key stays null and is never a
-    component's smallest. Other columns are not looked at; no rows give no rows.
+    rows are rows of the same component; a row with a null key links with
+    nothing and has a null component. Other columns are not looked at; no rows give no rows.
 
     Texts are read three times: to outline the sets and find frequent tokens, to
     index prefixes, and to fetch the sets of pairs that sizes and bitmaps allow.
-    Of long lists these pairs are first only those that would join its
-    components; if one of them fails on the whole sets, a fourth reading fetches
-    all such pairs that are left between components.
+    Of these pairs each node's first is verified first, and long lists give only
+    pairs that would join components; a fourth reading is for all pairs that are
+    then left between components.
     """
     hashed = hashed_words(df, key, text)
     outline = settled(outlined(hashed, words), "outline")
@@ -471,19 +493,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     shared = settled(shared_lists(indexed(hashed, np.sort(frequent), words)), "lists")
     entries = shared.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
     nodes = shared.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct()
-    briefs = rows.where("n > 1").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    briefs = settled(briefs, "briefs")
+    described = [F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")]
+    briefs = settled(rows.where("n > 1").join(nodes, "node", "left_semi").groupBy("node").agg(*described), "briefs")
     short = likely(shared.where("kind = 0").select("a", "b").distinct(), briefs).withColumn("forest", F.lit(False))
     long = list_pairs(entries, briefs, None, forest=True).withColumn("forest", F.lit(True))
-    pairs = short.unionByName(long).groupBy("a", "b").agg(F.max("forest").alias("forest"))
-    links = verified(settled(pairs, "pairs"), hashed, words)
+    pairs = settled(short.unionByName(long).groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
+
+    tried = settled(nearest_pairs(pairs), "tried")
+    links = verified(tried, briefs, hashed, words)
     roots = connected(links.where("linked"))
-    if not links.where("forest AND NOT linked").isEmpty():
-        rest = list_pairs(entries, briefs, roots, forest=False).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        rest = settled(rest.withColumn("forest", F.lit(False)), "pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, hashed, words))
-            roots = connected(links.where("linked"))
+    left = between(pairs, roots)
+    rest = left.select("a", "b")
+    if not left.where("forest").isEmpty():
+        rest = rest.union(list_pairs(entries, briefs, roots, forest=False)).distinct()
+    rest = settled(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(verified(rest, briefs, hashed, words))
+        roots = connected(links.where("linked"))
 
     rows = rows.select("key", "node", "n").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
     grouped = settled(rows, "roots")

@@ -113,8 +113,8 @@ def toxicity_scores(
     or more) and toxic, the label itself. At most ``sample_rows`` labelled rows
     are learnt from, chosen by a hash of the key; every row is scored. A null
     text is scored as the empty one. Rows with a null label are not learnt from,
-    of repeated labels of a key the highest counts. Without toxic labels all
-    probabilities come from the class shares alone. Repeated rows are scored
+    of repeated labels of a key the highest counts. Without toxic labels
+    no text is toxic. Repeated rows are scored
     each; columns of ``df`` with the new names are replaced; an empty table
     gives no rows.
     """
@@ -141,6 +141,9 @@ def toxicity_scores(
     mark = np.array([r["mark"] for r in found], float)
     y = np.stack([mark * (x[:, -1] > 0), mark * (x[:, -2] >= np.log1p(3)), mark], axis=1)
     models = fit_chain(x, y, np.array([r["fold"] for r in found], int), FOLDS)
+    if not mark.any():
+        for w in models:
+            w[:], w[-1] = 0.0, -40.0
 
     out = df.withColumn("scored_text", F.col(text))
     at = len(out.columns) - 1
