@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import aggregates as A
@@ -74,6 +75,11 @@ def test_access_totals_parity_and_replay(spark):
     assert got(f"{path}/log") == want
     ST.compact_access(spark, f"{path}/log", f"{path}/log2", 1)
     assert got(f"{path}/log2") == want
+    last = read_batches(spark, f"{path}/log2", ST.ACCESS).where("batch_id = 2").drop("batch_id").collect()
+    write_batch(spark.createDataFrame(last, ST.ACCESS), f"{path}/log2", 2)
+    assert got(f"{path}/log2") == want
+    with pytest.raises(ValueError, match="replayed"):
+        ST.compact_access(spark, f"{path}/log", f"{path}/log3", 2)
     assert read_batches(spark, f"{path}/log2", ST.ACCESS).select("batch_id").distinct().count() == 2
 
 
@@ -92,6 +98,16 @@ def test_rings_over_batches(spark):
         assert found[user] == [r[1] for r in mine]
 
 
+def test_a_conversation_seen_again_counts_once(spark):
+    path = shared_folder(spark, "test-t3-again")
+    first = [("u", f"c{i}", T0 + timedelta(minutes=i), "old") for i in range(4)]
+    put(spark, path, "f0", first, ST.RING)
+    put(spark, path, "f1", [("u", "c3", T0 + timedelta(minutes=9), "new")], ST.RING)
+    run(ST.ring_log(stream(spark, path, ST.RING), f"{path}/log", 3), path)
+    rows = ST.last_n_of(spark, f"{path}/log", 3).orderBy("position").collect()
+    assert [(r["conversation_id"], r["summary"]) for r in rows] == [("c3", "new"), ("c2", "old"), ("c1", "old")]
+
+
 def test_ingest_stream_equals_batch(spark):
     path = shared_folder(spark, "test-t4")
     schema = "id string, session_id string, arrived_at timestamp_ntz, full_content string"

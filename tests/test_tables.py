@@ -216,7 +216,7 @@ def test_summary_strict_and_not(spark):
     convs = spark.createDataFrame(
         rows, "conversation_id string, created_at timestamp_ntz, importance_score double, topics array<string>, user_id string, summary string"
     )
-    strict = A.summarize_memory(convs, AS_OF, "day", ["x"], "u0").first()
+    strict = A.summarize_memory(convs, AS_OF, "day", ["x"], "u0", strict=True).first()
     assert strict["total_conversations"] == 50 and strict["recent_summaries"][0] == "s148"
     loose = A.summarize_memory(convs, AS_OF, "week", ["x"], "u0", strict=False).first()
     assert loose["total_conversations"] == 4 and loose["recent_summaries"] == ["s2", "s4", "s6"]
@@ -237,7 +237,7 @@ def test_task_fold(spark):
         ("9", 1, "completed", None, None, T0),
     ]
     updates = spark.createDataFrame(rows, "id string, seq int, status string, progress int, metadata string, ts timestamp_ntz")
-    current, unknown = FO.task_current(tasks, updates, ["seq"])
+    current, unknown = FO.task_current(tasks, updates, ["seq"], ["id"])
     row = current.first()
     assert (row["status"], row["progress"], row["metadata"]) == ("in_progress", 50, '{"a":1}')
     assert row["completed_at"] == T0 and row["updated_at"] == T0 + timedelta(2)
@@ -288,8 +288,8 @@ def test_quarantine_leaves_items(spark):
 
 
 def test_hil_answers(spark):
-    asked = spark.createDataFrame([("1", None, "pending", None), ("2", None, "pending", None)], "id string, response string, status string, answered_at timestamp_ntz")
-    given = spark.createDataFrame([("1", "first", T0), ("1", "second", AS_OF), ("7", "lost", T0)], "id string, response string, ts timestamp_ntz")
+    asked = spark.createDataFrame([("1", "s", None, "pending", None), ("2", "s", None, "pending", None)], "id string, session_id string, response string, status string, answered_at timestamp_ntz")
+    given = spark.createDataFrame([("1", "s", "first", T0), ("1", "s", "second", AS_OF), ("7", "s", "lost", T0)], "id string, session_id string, response string, ts timestamp_ntz")
     after, unmatched = M.answer_hil(asked, given)
     got = {r["id"]: (r["response"], r["status"], r["answered_at"]) for r in after.collect()}
     assert got == {"1": ("second", "answered", AS_OF), "2": (None, "pending", None)}
