@@ -16,6 +16,12 @@ def set_key(mapping: Column, key: Column, value: Column) -> Column:
     return F.map_concat(kept, F.create_map(key, value))
 
 
+def set_keys(mapping: Column, changes: Column) -> Column:
+    """Map with the entries of another set; existing entries of those keys are replaced."""
+    kept = F.map_filter(F.coalesce(mapping, F.map_from_arrays(F.array(), F.array())), lambda k, _: ~F.map_contains_key(changes, k))
+    return F.map_concat(kept, changes)
+
+
 def counters_json(names: Column, counts: Column) -> Column:
     """JSON object of named counters, keys in ascending order."""
     pairs = F.array_sort(F.arrays_zip(names.alias("name"), counts.alias("n")))

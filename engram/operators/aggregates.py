@@ -86,13 +86,13 @@ def summarize_memory(
     time_range: str = "all",
     topics: Sequence[str] | None = None,
     user_id: str | None = None,
-    strict: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """One row: count, mean importance, ten most frequent topics, first five summaries.
 
-    With ``topics`` the strict form takes the 100 most important matches first
-    and only then the user, and does not use the time range; ``strict=False``
-    applies all filters.
+    All filters that are given apply. The strict form with ``topics`` is a report
+    on the 100 most important matches: it takes these first and only then the
+    user, and does not use the time range.
     """
     start = range_start(time_range, as_of)
     in_range = F.col("created_at").between(ntz(start), ntz(as_of))
@@ -228,10 +228,9 @@ def training_needed(
 ) -> DataFrame:
     """One row: enough important conversations, or long enough since the last success, or forced."""
     none = F.lit(None)
-    important = (
-        important_conversations(conversations, POLICY.retrain_importance, POLICY.retrain_count_limit)
-        .agg(F.count(F.lit(1)).alias("n_important"))
-        .select("n_important", none.cast("timestamp_ntz").alias("last_success"))
+    counts = ~F.col("is_archived") & (F.col("importance_score") >= POLICY.retrain_importance)
+    important = conversations.agg(F.count_if(counts).alias("n_important")).select(
+        "n_important", none.cast("timestamp_ntz").alias("last_success")
     )
     last = latest_successful_training(history).select(
         none.cast("bigint").alias("n_important"), F.col("completed_at").alias("last_success")

@@ -6,20 +6,19 @@ from pyspark.sql import functions as F
 from engram.functions.text import importance_from, parse_messages, summary_from
 from engram.policy import ASKED_CHARS
 
-PART_TURNS = 1000
 
-
-def build_conversations(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def build_conversations(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
     """Ordered messages per conversation: (conversation_id, part, messages).
 
     ``turns`` has (conversation_id, turn, role, text), turns counted from 0 and
-    unique in a conversation. A conversation of at most ``part_turns`` turns is
-    one row with part 0; a longer one goes on in further parts, so no row and
-    no task ever holds an unbounded array.
+    unique in a conversation. A conversation is one row, as the stored table has
+    it, whatever its length. With ``part_turns`` its messages are cut into parts
+    of so many turns: part k begins with turn k * part_turns. What holds for a
+    whole conversation comes from ``conversation_headers``, without its messages.
     """
     message = F.struct("turn", F.col("role").alias("role"), F.col("text").alias("content"))
     return (
-        turns.withColumn("part", F.floor(F.col("turn") / part_turns).cast("int"))
+        turns.withColumn("part", F.lit(0) if part_turns is None else F.floor(F.col("turn") / part_turns).cast("int"))
         .groupBy("conversation_id", "part")
         .agg(F.array_sort(F.collect_list(message)).alias("ordered"))
         .select(
@@ -58,8 +57,17 @@ def conversation_headers(turns: DataFrame, tool_turn: Column) -> DataFrame:
     )
 
 
-def parsed_messages(df: DataFrame, key: str, content: str) -> DataFrame:
-    """One row per message of a stored content: (key, position, role, content)."""
-    return df.select(key, F.posexplode(parse_messages(F.col(content))).alias("position", "message")).select(
-        key, "position", F.col("message.role").alias("role"), F.col("message.content").alias("content")
+def parsed_messages(df: DataFrame, key: str, content: str, first: Column | None = None) -> DataFrame:
+    """One row per message of a stored content: (key, position, role, content).
+
+    ``first`` is the position of a content's first message, for contents that
+    are parts of a conversation; without it positions count from 0.
+    """
+    begin = (F.lit(0) if first is None else first).cast("int").alias("_first")
+    exploded = df.select(key, begin, F.posexplode(parse_messages(F.col(content))).alias("_place", "message"))
+    return exploded.select(
+        key,
+        (F.col("_first") + F.col("_place")).alias("position"),
+        F.col("message.role").alias("role"),
+        F.col("message.content").alias("content"),
     )

@@ -28,14 +28,15 @@ def lookup(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is among the keys; key payload columns are added.
 
     The keys are joined by size: Spark broadcasts them only below its own limit.
+    They may repeat: each is passed on once, so a hot key meets one row.
     """
     if keys.columns == [key]:
-        return df.join(keys, key, "left_semi")
+        return df.join(keys.distinct(), key, "left_semi")
     return df.join(keys, key)
 
 
 def facts_of(facts: DataFrame, conversations: DataFrame) -> DataFrame:
-    return facts.join(conversations.select("conversation_id"), "conversation_id", "left_semi")
+    return facts.join(conversations.select("conversation_id").distinct(), "conversation_id", "left_semi")
 
 
 def by_date_range(conversations: DataFrame, start: datetime, end: datetime) -> DataFrame:

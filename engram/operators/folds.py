@@ -12,7 +12,7 @@ def latest_given(value: Column, order: Column, given: Column | None = None) -> C
     return F.max_by(value, F.when(there, order))
 
 
-def task_changes(updates: DataFrame, order: Sequence[str], key: Sequence[str] = ("id",)) -> DataFrame:
+def task_changes(updates: DataFrame, order: Sequence[str], key: Sequence[str] = ("id", "session_id")) -> DataFrame:
     """Per task what its update log amounts to; null means never given.
 
     ``updates`` has the key, status, progress, metadata and ts. An empty JSON
@@ -34,9 +34,12 @@ def task_changes(updates: DataFrame, order: Sequence[str], key: Sequence[str] =
 
 
 def task_current(
-    tasks: DataFrame, updates: DataFrame, order: Sequence[str], key: Sequence[str] = ("id",)
+    tasks: DataFrame, updates: DataFrame, order: Sequence[str], key: Sequence[str] = ("id", "session_id")
 ) -> tuple[DataFrame, DataFrame]:
-    """(tasks after their updates, changes of unknown tasks)."""
+    """(tasks after their updates, changes of unknown tasks).
+
+    An update that names another session than the task's is one of an unknown task.
+    """
     changes = task_changes(updates, order, key)
     fields = ["status", "progress", "metadata", "completed_at", "updated_at"]
     joined = tasks.join(changes, list(key), "left")

@@ -14,8 +14,8 @@ def conversation_facts(conversations: DataFrame, facts: DataFrame, how: str = "i
 
 
 def cascade_delete(children: DataFrame, deleted: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """Children whose parent is not deleted; a child without parent stays."""
-    return children.join(deleted.select(F.col(key)), key, "left_anti")
+    """Children whose parent is not deleted; a child without parent stays. Keys may repeat."""
+    return children.join(deleted.select(F.col(key)).distinct(), key, "left_anti")
 
 
 def session_overview(

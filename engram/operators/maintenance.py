@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions.hooks import Hook, default_tokenizer
 from engram.functions.text import parse_messages, thread_id
-from engram.functions.values import ntz, set_key
+from engram.functions.values import ntz, set_keys
 from engram.operators.aggregates import memory_state
 from engram.operators.joins import cascade_delete
 from engram.policy import POLICY
@@ -123,12 +123,16 @@ def delete_facts(facts: DataFrame, keys: DataFrame) -> DataFrame:
     return cascade_delete(facts, keys, "fact_id")
 
 
+def quarantine_id(item: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit("quarantine"), item))
+
+
 def quarantine(
     items: DataFrame, predicate: Column, reason: str, as_of: datetime, tokenizer: Hook = default_tokenizer
 ) -> DataFrame:
     """Quarantine rows for the matching items, which stay as they are."""
     return items.where(predicate).select(
-        F.md5(F.concat_ws("|", F.lit("quarantine"), "id")).alias("id"),
+        quarantine_id(F.col("id")).alias("id"),
         "session_id",
         thread_id(F.col("id")).alias("thread_id"),
         F.col("content_type").alias("context_type"),
@@ -148,21 +152,24 @@ def thread_collisions(quarantined: DataFrame) -> DataFrame:
 
 
 def without_quarantined(items: DataFrame, quarantined: DataFrame, item_key: str = "id") -> DataFrame:
-    """Items whose thread is not in active quarantine, for callers that want them out of a search."""
-    threads = quarantined.where(F.col("is_active")).select("thread_id")
-    return (
-        items.withColumn("thread_id", thread_id(F.col(item_key)))
-        .join(threads, "thread_id", "left_anti")
-        .drop("thread_id")
-    )
+    """Items that are not in active quarantine, for callers that want them out of a search.
+
+    They are found by the row id that ``quarantine`` gives an item, 128 bits of
+    a hash; the 32 bits of a thread id are for display and clash.
+    """
+    isolated = quarantined.where(F.col("is_active")).select(F.col("id").alias("_isolated")).distinct()
+    return items.join(isolated, quarantine_id(items[item_key]) == isolated["_isolated"], "left_anti")
 
 
 def answer_hil(interactions: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(interactions after their last response, responses to unknown requests).
 
-    ``responses`` has (id, response, ts); a later answer replaces an earlier one.
+    ``responses`` has (id, session_id, response, ts); a later answer replaces an
+    earlier one. A response that names another session than the request's is
+    one to an unknown request.
     """
-    last = responses.groupBy("id").agg(
+    key = ["id", "session_id"]
+    last = responses.groupBy(*key).agg(
         F.max_by("response", F.struct("ts", "response")).alias("_response"), F.max("ts").alias("_at")
     )
     answered = F.col("_at").isNotNull()
@@ -171,11 +178,11 @@ def answer_hil(interactions: DataFrame, responses: DataFrame) -> tuple[DataFrame
         "status": F.when(answered, "answered").otherwise(F.col("status")),
         "answered_at": F.when(answered, F.col("_at")).otherwise(F.col("answered_at")),
     }
-    after = interactions.join(last, "id", "left").select(
+    after = interactions.join(last, key, "left").select(
         *[new[c].alias(c) if c in new else F.col(c) for c in interactions.columns]
     )
-    unmatched = last.join(interactions.select("id"), "id", "left_anti").select(
-        "id", F.col("_response").alias("response"), F.col("_at").alias("ts")
+    unmatched = last.join(interactions.select(*key).distinct(), key, "left_anti").select(
+        *key, F.col("_response").alias("response"), F.col("_at").alias("ts")
     )
     return after, unmatched
 
@@ -224,15 +231,30 @@ def training_status(history: DataFrame, updates: DataFrame) -> tuple[DataFrame,
     return after, found
 
 
+def content_key() -> Column:
+    """A hash of user and content; the user's length keeps the two apart."""
+    user = F.coalesce("user_id", F.lit(""))
+    return F.md5(F.concat_ws("|", F.length(user), user, "content"))
+
+
+def stored_once(contents: DataFrame) -> DataFrame:
+    """One row per user and content, with its key; of repeated ones the greatest importance and its tags."""
+    held = F.max(F.struct("importance", "tags"))
+    return (
+        contents.groupBy(content_key().alias("_key"))
+        .agg(F.first("user_id").alias("user_id"), F.first("content").alias("content"), held.alias("_held"))
+        .select("_key", "user_id", "content", F.col("_held.importance").alias("importance"), F.col("_held.tags").alias("tags"))
+    )
+
+
 def store_conversations(contents: DataFrame, as_of: datetime) -> DataFrame:
-    """Conversations for stored contents, keyed by a hash of user and content.
+    """Conversations for stored contents, keyed by a hash of user and content, one for each.
 
     ``contents`` has (content, importance, tags, user_id). JSON content is read
     as messages, any other content is one user message; tags become the topics.
     """
-    key = F.md5(F.concat_ws("|", F.coalesce("user_id", F.lit("")), "content"))
-    return contents.select(
-        F.concat(F.lit("conv_"), key).alias("conversation_id"),
+    return stored_once(contents).select(
+        F.concat(F.lit("conv_"), "_key").alias("conversation_id"),
         ntz(as_of).alias("created_at"),
         parse_messages(F.col("content")).alias("messages"),
         F.coalesce(F.col("importance"), F.lit(0.5)).alias("importance_score"),
@@ -246,10 +268,9 @@ def store_facts(contents: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFr
 
     ``contents`` has (content, importance, tags, user_id). The conversation is
     one system message of importance 0.3; the fact's confidence is the given
-    importance.
+    importance, 0.5 where none is given. A fact that comes twice is stored once.
     """
-    key = F.md5(F.concat_ws("|", F.coalesce("user_id", F.lit("")), "content"))
-    keyed = contents.withColumn("_key", key)
+    keyed = stored_once(contents)
     conversation_id = F.concat(F.lit("conv_"), "_key").alias("conversation_id")
     message = F.struct(F.lit("system").alias("role"), F.col("content"))
     conversations = keyed.select(
@@ -263,7 +284,7 @@ def store_facts(contents: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFr
         F.concat(F.lit("fact_"), "_key").alias("fact_id"),
         conversation_id,
         F.col("content").alias("fact"),
-        F.col("importance").alias("confidence"),
+        F.coalesce(F.col("importance"), F.lit(0.5)).alias("confidence"),
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
         ntz(as_of).alias("created_at"),
     )
@@ -278,15 +299,22 @@ def user_context(updates: DataFrame) -> DataFrame:
 
 
 def set_preferences(preferences: DataFrame, changes: DataFrame, as_of: datetime) -> DataFrame:
-    """One key set per change row (user_id, key, value); users without a row get one.
+    """All keys set that the changes (user_id, key, value) name; users without a row get one.
 
-    ``changes`` has at most one row per user; ``replace_preferences`` swaps the whole map.
+    A user may set several keys; of several values for one key the last by
+    ``ts``, if there is such a column, and then the greatest counts.
+    ``replace_preferences`` swaps the whole map.
     """
-    joined = preferences.join(changes, "user_id", "full_outer")
-    changed = F.col("key").isNotNull()
+    order = [c for c in ("ts", "value") if c in changes.columns]
+    latest = changes.where(F.col("key").isNotNull()).groupBy("user_id", "key").agg(F.max_by("value", F.struct(*order)).alias("value"))
+    folded = latest.groupBy("user_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("_changes")
+    )
+    joined = preferences.join(folded, "user_id", "full_outer")
+    changed = F.col("_changes").isNotNull()
     return joined.select(
         "user_id",
-        F.when(changed, set_key(F.col("preferences"), F.col("key"), F.col("value")))
+        F.when(changed, set_keys(F.col("preferences"), F.col("_changes")))
         .otherwise(F.col("preferences"))
         .alias("preferences"),
         F.when(changed, ntz(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),

@@ -190,7 +190,7 @@ def fit_to_window(
     """
     available = max_tokens - reserve
     body = F.col(text)
-    fits = estimate_tokens(body) <= available
+    fits = F.coalesce(estimate_tokens(body) <= available, F.lit(True))  # a null text stays null
     chunked = chunk_text(body, size, overlap)
     if query is None:
         cut = once(chunked, lambda chunks: _leading(chunks, available))

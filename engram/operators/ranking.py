@@ -115,7 +115,9 @@ def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -
 
 
 def latest_state(states: DataFrame) -> DataFrame:
-    return latest_per_key(states, ["session_id"], [F.col("updated_at")])
+    """The newest row of each session; of equally new ones the greatest by its other columns."""
+    rest = [c for c in states.columns if c not in ("session_id", "updated_at")]
+    return latest_per_key(states, ["session_id"], [F.col("updated_at"), F.to_json(F.struct(*rest))])
 
 
 def recent_trainings(history: DataFrame, limit: int = 10) -> DataFrame:

@@ -58,8 +58,9 @@ class _Best:
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         if (self.lengths == 0).any():
             self.some_ids = self._lowest(self.some_ids, ids)
-        self.zero_ids = self._lowest(self.zero_ids, ids[lengths == 0])
-        real = lengths > 0
+        real = np.isfinite(lengths) & (lengths > 0)
+        # Zero vectors and those with an element that is no number have no distance: NaN, after all numbers.
+        self.zero_ids = self._lowest(self.zero_ids, ids[~real])
         ids, vectors, lengths = ids[real], vectors[real], lengths[real]
         if not len(ids):
             return

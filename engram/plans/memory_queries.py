@@ -12,7 +12,7 @@ from engram.operators import ingest as I
 from engram.operators import maintenance as M
 from engram.operators import packing as P
 from engram.operators import search as SE
-from engram.operators.conversations import build_conversations
+from engram.operators.conversations import conversation_headers
 from engram.plans import views as V
 from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.plans.sql_views import AS_OF_SQL
@@ -101,17 +101,13 @@ def x7(spark, d):
     ["convs"],
 )
 def x8(spark, d):
-    messages = build_conversations(V.turns(spark, d))
-    has_system = F.exists("messages", lambda m: m["role"] == "system")
-    return messages.select(
-        "conversation_id", X.importance_score(F.col("messages"), has_system).alias("importance_score")
-    )
+    heads = conversation_headers(V.turns(spark, d), F.col("role") == "system")
+    return heads.select("conversation_id", "importance_score")
 
 
 @query("x9_first_user_summary", "SELECT conversation_id, summary FROM convs", ["convs"])
 def x9(spark, d):
-    messages = build_conversations(V.turns(spark, d))
-    return messages.select("conversation_id", X.first_user_summary(F.col("messages")).alias("summary"))
+    return conversation_headers(V.turns(spark, d), F.lit(False)).select("conversation_id", "summary")
 
 
 @query(
@@ -159,18 +155,28 @@ def x12(spark, d):
     "x13_set_preferences",
     f"""SELECT CAST(c_custkey AS VARCHAR) AS user_id,
         CASE WHEN n > 0 THEN 'orders=' || n ELSE c_mktsegment END AS segment,
-        CAST(c_nationkey AS VARCHAR) AS nation,
+        CASE WHEN n > 0 THEN 'n' || (n % 3) ELSE CAST(c_nationkey AS VARCHAR) END AS nation,
         {sql_stamp(f"CASE WHEN n > 0 THEN {AS_OF_SQL} END")} AS updated_at
     FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey
-    UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders=' || count(*), NULL, {sql_stamp(AS_OF_SQL)}
+    UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'orders=' || count(*), 'n' || (count(*) % 3), {sql_stamp(AS_OF_SQL)}
     FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey""",
 )
 def x13(spark, d):
     changes = (
         V.raw(spark, d, "orders")
         .groupBy(F.col("o_custkey").cast("string").alias("user_id"))
-        .agg(F.concat(F.lit("orders="), F.count(F.lit(1)).cast("string")).alias("value"))
-        .select("user_id", F.lit("segment").alias("key"), "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            "user_id",
+            F.explode(
+                F.create_map(
+                    F.lit("segment"),
+                    F.concat(F.lit("orders="), F.col("n").cast("string")),
+                    F.lit("nation"),
+                    F.concat(F.lit("n"), (F.col("n") % 3).cast("string")),
+                )
+            ).alias("key", "value"),
+        )
     )
     after = M.set_preferences(V.user_preferences(spark, d), changes, V.AS_OF)
     return after.select(
@@ -576,7 +582,7 @@ def w3(spark, d):
     ["tasks", "task_updates"],
 )
 def w4(spark, d):
-    current, _ = FO.task_current(V.tasks(spark, d), V.task_updates(spark, d), V.UPDATE_ORDER)
+    current, _ = FO.task_current(V.tasks(spark, d), V.task_updates(spark, d), V.UPDATE_ORDER, ["id"])
     return current.select("id", "status", "progress", stamp(F.col("completed_at")).alias("completed_at"))
 
 
@@ -587,7 +593,7 @@ def w4(spark, d):
     ["tasks", "task_updates"],
 )
 def w4_unmatched(spark, d):
-    _, unknown = FO.task_current(V.tasks(spark, d), V.task_updates(spark, d), V.UPDATE_ORDER)
+    _, unknown = FO.task_current(V.tasks(spark, d), V.task_updates(spark, d), V.UPDATE_ORDER, ["id"])
     return unknown.select("id", F.col("new_progress").isNotNull().alias("has_progress"))
 
 
@@ -759,7 +765,7 @@ def m6_collisions(spark, d):
     "m7_answer_hil",
     f"""SELECT h.id, coalesce(r.response, h.response) AS response,
         CASE WHEN r.id IS NOT NULL THEN 'answered' ELSE h.status END AS status, {sql_stamp('r.ts')} AS answered_at
-    FROM hil h LEFT JOIN hil_responses r ON r.id = h.id""",
+    FROM hil h LEFT JOIN hil_responses r ON r.id = h.id AND r.session_id = h.session_id""",
     ["hil", "hil_responses"],
 )
 def m7(spark, d):
@@ -769,12 +775,13 @@ def m7(spark, d):
 
 @query(
     "m7_unmatched_responses",
-    "SELECT id, response FROM hil_responses WHERE id NOT IN (SELECT id FROM hil)",
+    """SELECT r.id, r.session_id, r.response FROM hil_responses r LEFT JOIN hil h ON r.id = h.id AND r.session_id = h.session_id
+    WHERE h.id IS NULL""",
     ["hil", "hil_responses"],
 )
 def m7_unmatched(spark, d):
     _, unmatched = M.answer_hil(V.hil_interactions(spark, d), V.hil_responses(spark, d))
-    return unmatched.select("id", "response")
+    return unmatched.select("id", "session_id", "response")
 
 
 @query(
@@ -839,7 +846,7 @@ def m9(spark, d):
     return after.select("training_id", "status", stamp(F.col("completed_at")).alias("completed_at"), "error_message")
 
 
-_STORED_KEY = "md5(source || '|' || text || '#' || doc_id)"
+_STORED_KEY = "md5(length(source) || '|' || source || '|' || text || '#' || doc_id)"
 
 
 @query(
@@ -879,7 +886,7 @@ def m10(spark, d):
 
 @query(
     "m10_store_conversations",
-    """SELECT 'conv_' || md5(conv_id || '|' || text || '#' || turn) AS conversation_id, 0.5::DOUBLE AS importance_score,
+    """SELECT 'conv_' || md5(length(conv_id::VARCHAR) || '|' || conv_id || '|' || text || '#' || turn) AS conversation_id, 0.5::DOUBLE AS importance_score,
         'user: ' || text || '#' || turn AS body, role AS topics, CAST(conv_id AS VARCHAR) AS user_id FROM conversations""",
 )
 def m10_conversations(spark, d):

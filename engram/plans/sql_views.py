@@ -132,7 +132,9 @@ VIEWS = {
     ),
     "hil_responses": (
         [],
-        """SELECT CAST(event_id - 10 AS VARCHAR) AS id, 'answer ' || event_id AS response, ts
+        """SELECT CAST(event_id - 10 AS VARCHAR) AS id,
+            's' || ((user_id + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) % 8) AS session_id,
+            'answer ' || event_id AS response, ts
         FROM events WHERE event_type = 'purchase'""",
     ),
     "training_history": (

@@ -46,6 +46,10 @@ def s2(spark, d):
     return accepted.select("fact_id", "conversation_id", "confidence", "source_type")
 
 
+# Parts short enough to show that positions go on from part to part.
+PART_TURNS = 3
+
+
 @query(
     "s3_parse_messages",
     """SELECT 'c' || conv_id AS source_id,
@@ -55,14 +59,17 @@ def s2(spark, d):
 )
 def s3(spark, d):
     said = V.turns(spark, d)
-    stored = build_conversations(said).select(
-        F.concat(F.lit("c"), "conversation_id").alias("source_id"), F.to_json("messages").alias("content")
+    stored = build_conversations(said, PART_TURNS).select(
+        F.concat(F.lit("c"), "conversation_id").alias("source_id"),
+        (F.col("part") * PART_TURNS).alias("first"),
+        F.to_json("messages").alias("content"),
     )
     plain = said.select(
         F.concat(F.lit("t"), "conversation_id", F.lit("_"), F.col("turn").cast("string")).alias("source_id"),
+        F.lit(0).alias("first"),
         F.col("text").alias("content"),
     )
-    return parsed_messages(stored.unionByName(plain), "source_id", "content")
+    return parsed_messages(stored.unionByName(plain), "source_id", "content", F.col("first"))
 
 
 @query(
@@ -656,10 +663,22 @@ def a5_month(spark, d):
     ),
 )
 def a5_topics(spark, d):
-    found = A.summarize_memory(V.conversations(spark, d), V.AS_OF, "week", ["t1", "t2"], "u3")
+    found = A.summarize_memory(V.conversations(spark, d), V.AS_OF, "week", ["t1", "t2"], "u3", strict=True)
     return _summary(found)
 
 
+@query(
+    "a5_summarize_topics_all",
+    _with_found(
+        f"""SELECT * FROM convs WHERE list_has_any(topics, ['t1', 't2']) AND user_id = 'u3'
+        AND created_at BETWEEN {AS_OF_SQL} - INTERVAL 30 DAY AND {AS_OF_SQL}""",
+        "created_at DESC NULLS FIRST",
+    ),
+)
+def a5_topics_all(spark, d):
+    return _summary(A.summarize_memory(V.conversations(spark, d), V.AS_OF, "month", ["t1", "t2"], "u3"))
+
+
 @query(
     "a6_token_usage",
     """SELECT session_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
@@ -700,7 +719,7 @@ def a8(spark, d):
 @query(
     "a9_training_needed",
     f"""SELECT n_important, hours_since, n_important >= 25 OR hours_since >= 24 AS should_train FROM (SELECT
-        (SELECT count(*) FROM (SELECT 1 FROM convs WHERE NOT is_archived AND importance_score >= 0.7 LIMIT 1000)) AS n_important,
+        (SELECT count(*) FROM (SELECT 1 FROM convs WHERE NOT is_archived AND importance_score >= 0.7)) AS n_important,
         coalesce((SELECT date_diff('second', max(completed_at), {AS_OF_SQL}) / 3600 FROM training_history
             WHERE status = 'completed'), 'inf'::DOUBLE) AS hours_since)""",
     ["convs", "training_history"],

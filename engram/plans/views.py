@@ -93,7 +93,7 @@ def conversations(
         F.lit(False).alias("is_compressed"),
     )
     if messages:
-        table = table.join(build_conversations(said), "conversation_id")
+        table = table.join(build_conversations(said).drop("part"), "conversation_id")
     if vectors:
         v = _vectors(spark, sf_dir).withColumn("conversation_id", F.col("vec_id").cast("string"))
         table = table.join(v.drop("vec_id"), "conversation_id", "left")
@@ -239,9 +239,10 @@ def hil_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hil_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as responses to the request ten events before them."""
+    """Purchases as responses to the request ten events before them, many naming another session than the request's."""
     return raw(spark, sf_dir, "events").where(F.col("event_type") == "purchase").select(
         (F.col("event_id") - 10).cast("string").alias("id"),
+        _session(F.when(F.col("event_id") % 3 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))).alias("session_id"),
         F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("response"),
         "ts",
     )

@@ -83,7 +83,6 @@ class Policy:
     retrain_conversations: int = 25
     retrain_hours: float = 24.0
     retrain_importance: float = 0.7
-    retrain_count_limit: int = 1000
     # Not fixed: the rule is named without a number, and the factor is our choice.
     important_multiplier: float = 2.0
 

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's checkpoint folder.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a session of one machine and without that setting gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/engram-{purpose}-{uuid.uuid4().hex}"

@@ -82,11 +82,17 @@ def split_by_dimension(df: DataFrame, vector: str, dimension: int) -> tuple[Data
 def upsert(
     base: DataFrame, changes: DataFrame, key: str, as_of: datetime, stamp: str | None = "updated_at"
 ) -> DataFrame:
-    """Base with changed rows replaced and new rows added, one row per key in ``changes``.
+    """Base with changed rows replaced and new rows added.
 
-    A null in a changed row leaves the old value. ``stamp`` is set to ``as_of``
+    A null in a changed row leaves the old value. Of several changed rows of a
+    key each column takes its greatest value, so that the result has one row
+    per key. ``stamp`` is set to ``as_of``
     on rows that were there before and matched; new rows keep their own value.
     """
+    repeated = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) & F.col(key).isNotNull())
+    if not repeated.isEmpty():
+        rest = [c for c in changes.columns if c != key]
+        changes = changes.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(c).alias(c) for c in rest)).select(*changes.columns)
     b, c = base.alias("b"), changes.alias("c")
     old, new = F.col(f"b.{key}").isNotNull(), F.col(f"c.{key}").isNotNull()
     columns = []

@@ -47,13 +47,20 @@ def access_totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_access(spark: SparkSession, path: str, new_path: str, upto: int) -> None:
-    """A new log whose batch ``upto`` holds the totals up to it, later batches copied."""
+    """A new log whose batch -1 holds the totals up to batch ``upto``, later batches copied.
+
+    The last batch of a log can be replayed by its stream and then replaces its
+    folder, so ``upto`` has to be an earlier one.
+    """
     rows = read_batches(spark, path, ACCESS)
+    last = rows.agg(F.max("batch_id").alias("last")).first()["last"]
+    if last is None or upto >= last:
+        raise ValueError(f"batch {upto} can still be replayed; the last one in the log is {last}")
     folded = (
         rows.where(F.col("batch_id") <= upto)
         .groupBy("item_id", "session_id")
         .agg(F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"))
-        .withColumn("batch_id", F.lit(upto).cast("bigint"))
+        .withColumn("batch_id", F.lit(-1).cast("bigint"))
     )
     later = rows.where(F.col("batch_id") > upto)
     folded.unionByName(later).write.mode("errorifexists").partitionBy("batch_id").parquet(new_path)
@@ -113,8 +120,10 @@ def ring_log(conversations: DataFrame, path: str, n: int = POLICY.ring_size) ->
 
 
 def last_n_of(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> DataFrame:
-    """The last n conversations per user out of the written rings."""
-    rows = read_batches(spark, path, RING).drop("batch_id").distinct()
+    """The last n conversations per user out of the written rings; of one seen again its newest state counts."""
+    newest_state = F.max_by(F.struct("created_at", "summary"), F.struct("batch_id", "created_at", "summary")).alias("s")
+    seen = read_batches(spark, path, RING).groupBy("user_id", "conversation_id").agg(newest_state)
+    rows = seen.select("user_id", "conversation_id", "s.created_at", "s.summary")
     return top_per_group(rows, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n)
 
 
