@@ -1,4 +1,4 @@
-"""Memory and context analytics as Spark DataFrame operators."""
+"""Conversation and context analytics as Spark DataFrame operators."""
 
 import sys
 

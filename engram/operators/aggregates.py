@@ -49,7 +49,7 @@ def with_model_limits(df: DataFrame, models: DataFrame | None = None) -> tuple[D
     return joined.where(~unknown), joined.where(unknown).select(df.columns)
 
 
-def memory_state(items: DataFrame, sessions: DataFrame) -> DataFrame:
+def session_state(items: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per session: active totals, and context used, left and utilized.
 
     ``sessions`` has (session_id, model). Used context is the sum of the
@@ -80,7 +80,7 @@ def memory_state(items: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def summarize_memory(
+def summarize_conversations(
     conversations: DataFrame,
     as_of: datetime,
     time_range: str = "all",
@@ -204,7 +204,7 @@ def performance_metrics(increments: DataFrame) -> DataFrame:
     )
 
 
-def working_memory_stats(
+def recent_entry_stats(
     entries: DataFrame, contexts: DataFrame, max_size: int = POLICY.ring_size
 ) -> DataFrame:
     """One row over the ring entries (timestamp) and the per-user contexts (user_id, last_updated)."""

@@ -81,7 +81,7 @@ def export_state(
 ) -> DataFrame:
     """(session_id, section, page, document) for every session in ``states``.
 
-    Section ``memory_state`` is one document per session; the other sections
+    Section ``session_state`` is one document per session; the other sections
     are present where the session has rows for them. Each child table is paged
     on its own, so no two of them are ever joined. The states are written out
     first, as every section is matched with them.
@@ -90,7 +90,7 @@ def export_state(
     head = F.struct(*[c for c in states.columns if c != "session_id"])
     state = states.select(
         "session_id",
-        F.lit("memory_state").alias("section"),
+        F.lit("session_state").alias("section"),
         F.lit(0).alias("page"),
         F.lit(1).alias("n_rows"),
         F.to_json(head, {"ignoreNullFields": "false"}).alias("body"),

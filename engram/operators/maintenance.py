@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions.hooks import Hook, default_tokenizer
 from engram.functions.text import parse_messages, thread_id
 from engram.functions.values import ntz, set_keys
-from engram.operators.aggregates import memory_state
+from engram.operators.aggregates import session_state
 from engram.operators.joins import cascade_delete
 from engram.policy import POLICY
 from engram.schemas import MESSAGES
@@ -50,7 +50,7 @@ def hygiene(
     (session_id, model).
     """
     pruned = prune(items, as_of)
-    return pruned, hygiene_metrics(items, as_of), memory_state(pruned, sessions)
+    return pruned, hygiene_metrics(items, as_of), session_state(pruned, sessions)
 
 
 def compress_old(

@@ -300,7 +300,7 @@ def topic_matches(queries: DataFrame, conversations: DataFrame, k: int = 5) -> D
     return top_per_group(matched, ["query_id"], order, k).drop("importance_score")
 
 
-def memory_search(
+def stored_search(
     queries: DataFrame,
     conversations: DataFrame,
     facts: DataFrame,

@@ -420,7 +420,7 @@ _FACT_KIND = _kind_sql("fact", "memory_facts", "fact_id", "fact", "confidence >=
 
 
 def _search(spark, d, query_type):
-    found = SE.memory_search(
+    found = SE.stored_search(
         V.vector_queries(spark, d),
         V.conversations(spark, d, vectors=True),
         V.memory_facts(spark, d, vectors=True),
@@ -430,7 +430,7 @@ def _search(spark, d, query_type):
 
 
 @query(
-    "v6_memory_search_semantic",
+    "v6_stored_search_semantic",
     _kind_sql("conversation", "convs", "conversation_id", "summary", "NOT is_archived") + " UNION ALL " + _FACT_KIND,
     ["vector_queries", "convs", "memory_facts"],
 )
@@ -438,13 +438,13 @@ def v6_semantic(spark, d):
     return _search(spark, d, "semantic")
 
 
-@query("v6_memory_search_factual", _FACT_KIND, ["vector_queries", "memory_facts"])
+@query("v6_stored_search_factual", _FACT_KIND, ["vector_queries", "memory_facts"])
 def v6_factual(spark, d):
     return _search(spark, d, "factual")
 
 
 @query(
-    "v6_memory_search_temporal",
+    "v6_stored_search_temporal",
     """SELECT query_id, 'conversation' AS kind, CAST(row_number() OVER (PARTITION BY query_id
             ORDER BY importance_score DESC NULLS FIRST, conversation_id) AS INTEGER) AS position,
         conversation_id AS id, summary AS text, CAST(NULL AS DOUBLE) AS score

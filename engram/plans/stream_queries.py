@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from engram.plans import views as V
-from engram.plans.memory_queries import PACKING_MODEL, arrivals
+from engram.plans.item_queries import PACKING_MODEL, arrivals
 from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.sources.shared import shared_folder
 from engram.streaming import rollups as RO

@@ -16,7 +16,7 @@ from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.plans.sql_views import AS_OF_SQL
 from engram.sources import tables as S
 from engram.sources.shared import shared_folder
-from engram.sources.working_memory import read_working_memory, write_working_memory
+from engram.sources.recent_entries import read_recent_entries, write_recent_entries
 
 WEEK_AGO = V.AS_OF - timedelta(days=7)
 
@@ -86,7 +86,7 @@ def s4(spark, d):
 
 
 @query(
-    "s5_working_memory",
+    "s5_recent_entries",
     f"""SELECT conversation_id, user_id, summary, {sql_stamp('created_at')} AS timestamp,
         CAST(n_messages AS INTEGER) AS n_messages FROM convs
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS FIRST, conversation_id) <= 10""",
@@ -96,9 +96,9 @@ def s5(spark, d):
     ring = R.last_n_per_user(V.conversations(spark, d, messages=True)).withColumn(
         "timestamp", stamp(F.col("created_at"))
     )
-    path = shared_folder(spark, "working-memory")
-    write_working_memory(ring, path)
-    entries, _ = read_working_memory(spark, path)
+    path = shared_folder(spark, "recent-entries")
+    write_recent_entries(ring, path)
+    entries, _ = read_recent_entries(spark, path)
     return entries.select(
         "conversation_id", "user_id", "summary", "timestamp", F.size("messages").alias("n_messages")
     )
@@ -124,8 +124,8 @@ def _iso(column):
 
 @query(
     "s6_export_state",
-    """SELECT session_id, 'memory_state' AS section, 0 AS page, 1 AS n_rows,
-        '{"session_id":"' || session_id || '","section":"memory_state","page":0,"body":'
+    """SELECT session_id, 'session_state' AS section, 0 AS page, 1 AS n_rows,
+        '{"session_id":"' || session_id || '","section":"session_state","page":0,"body":'
         || CAST(to_json(struct_pack(model_name := any_value(model), total_context := any_value(context_length),
             used_context := CAST(coalesce(sum(compressed_token_count) FILTER (WHERE is_active), 0) AS BIGINT),
             available_context := CAST(any_value(context_length)
@@ -178,7 +178,7 @@ def _iso(column):
 )
 def s6(spark, d):
     items = V.memory_items(spark, d)
-    states = A.memory_state(items, V.session_models(spark, d)).select(
+    states = A.session_state(items, V.session_models(spark, d)).select(
         "session_id",
         "model_name",
         F.col("total_context_length").alias("total_context"),
@@ -580,7 +580,7 @@ def a2(spark, d):
 
 
 @query(
-    "a3_memory_state",
+    "a3_session_state",
     """SELECT session_id, any_value(model) AS model_name, any_value(context_length) AS total_context_length,
         CAST(sum(CASE WHEN is_active THEN compressed_token_count ELSE 0 END) AS BIGINT) AS used_context_length,
         CAST(any_value(context_length) - sum(CASE WHEN is_active THEN compressed_token_count ELSE 0 END) AS BIGINT)
@@ -593,7 +593,7 @@ def a2(spark, d):
     ["session_models", "models", "memory_items"],
 )
 def a3(spark, d):
-    state = A.memory_state(V.memory_items(spark, d), V.session_models(spark, d))
+    state = A.session_state(V.memory_items(spark, d), V.session_models(spark, d))
     percent = "context_utilization_percentage"
     return state.withColumn(percent, r6(F.col(percent)))
 
@@ -651,7 +651,7 @@ def _with_found(found, order):
     ),
 )
 def a5_month(spark, d):
-    return _summary(A.summarize_memory(V.conversations(spark, d), V.AS_OF, "month"))
+    return _summary(A.summarize_conversations(V.conversations(spark, d), V.AS_OF, "month"))
 
 
 @query(
@@ -663,7 +663,7 @@ def a5_month(spark, d):
     ),
 )
 def a5_topics(spark, d):
-    found = A.summarize_memory(V.conversations(spark, d), V.AS_OF, "week", ["t1", "t2"], "u3", strict=True)
+    found = A.summarize_conversations(V.conversations(spark, d), V.AS_OF, "week", ["t1", "t2"], "u3", strict=True)
     return _summary(found)
 
 
@@ -676,7 +676,7 @@ def a5_topics(spark, d):
     ),
 )
 def a5_topics_all(spark, d):
-    return _summary(A.summarize_memory(V.conversations(spark, d), V.AS_OF, "month", ["t1", "t2"], "u3"))
+    return _summary(A.summarize_conversations(V.conversations(spark, d), V.AS_OF, "month", ["t1", "t2"], "u3"))
 
 
 @query(
@@ -704,7 +704,7 @@ def a7(spark, d):
 
 
 @query(
-    "a8_working_memory_stats",
+    "a8_recent_entry_stats",
     f"""SELECT (SELECT count(*) FROM (SELECT 1 FROM convs LIMIT 10)) AS num_conversations, 10 AS max_size,
         (SELECT count(DISTINCT c_custkey) FROM customer) AS num_users,
         {sql_stamp('max(created_at)')} AS last_updated FROM convs""",
@@ -713,7 +713,7 @@ def a7(spark, d):
 def a8(spark, d):
     ring = R.last_n(V.conversations(spark, d)).select(F.col("created_at").alias("timestamp"))
     contexts = V.user_preferences(spark, d).select("user_id", F.col("updated_at").alias("last_updated"))
-    return A.working_memory_stats(ring, contexts).withColumn("last_updated", stamp(F.col("last_updated")))
+    return A.recent_entry_stats(ring, contexts).withColumn("last_updated", stamp(F.col("last_updated")))
 
 
 @query(

@@ -106,7 +106,7 @@ SCHEMAS = {
             "compressed_token_count",
         },
     ),
-    "memory_state": _schema(
+    "session_state": _schema(
         [
             ("session_id", STR),
             ("model_name", STR),

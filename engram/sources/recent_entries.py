@@ -1,4 +1,4 @@
-"""Working memory as JSON: recent conversations and per-user context."""
+"""Recent conversations as JSON, one object per line."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +19,12 @@ ENTRY = T.StructType(
 CORRUPT = "_corrupt_record"
 
 
-def write_working_memory(entries: DataFrame, path: str) -> None:
+def write_recent_entries(entries: DataFrame, path: str) -> None:
     """One JSON object per line; the folder is replaced."""
     entries.select(*[F.col(f.name).cast(f.dataType) for f in ENTRY.fields]).write.mode("overwrite").json(path)
 
 
-def read_working_memory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_recent_entries(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, corrupt lines); a missing folder gives two empty frames."""
     try:
         lines = spark.read.text(path)

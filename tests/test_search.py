@@ -191,7 +191,7 @@ def test_answer_lookup(spark):
     assert len(preview) == 200
 
 
-def test_memory_search_kinds(spark):
+def test_stored_search_kinds(spark):
     convs = spark.createDataFrame(
         [("c1", "sum", 0.5, ["t1"], False, "u1", [1.0, 0.0]), ("c2", "two", 0.9, ["t1"], False, "u2", [0.0, 1.0])],
         "conversation_id string, summary string, importance_score double, topics array<string>, "
@@ -206,7 +206,7 @@ def test_memory_search_kinds(spark):
     )
 
     def ids(kind, **more):
-        return [(r["kind"], r["id"]) for r in S.memory_search(asked, convs, facts, kind, **more).orderBy("kind", "position").collect()]
+        return [(r["kind"], r["id"]) for r in S.stored_search(asked, convs, facts, kind, **more).orderBy("kind", "position").collect()]
 
     assert ids("semantic") == [("conversation", "c1"), ("conversation", "c2"), ("fact", "f1")]
     assert ids("factual") == [("fact", "f1")]

@@ -18,7 +18,7 @@ from engram.operators import ranking as R
 from engram.operators.conversations import build_conversations, conversation_headers, parsed_messages
 from engram.sources import tables as S
 from engram.sources.shared import shared_folder
-from engram.sources.working_memory import read_working_memory, write_working_memory
+from engram.sources.recent_entries import read_recent_entries, write_recent_entries
 
 T0 = datetime(2024, 1, 1)
 AS_OF = datetime(2024, 2, 2)
@@ -146,17 +146,17 @@ def test_upsert_and_idempotence(spark):
     assert twice == {"1": "a", "2": "B", "3": "c"}
 
 
-def test_working_memory_files(spark):
+def test_recent_entry_files(spark):
     path = shared_folder(spark, "test-wm")
-    good, bad = read_working_memory(spark, path)
+    good, bad = read_recent_entries(spark, path)
     assert good.count() == 0 and bad.count() == 0
     entries = spark.createDataFrame(
         [("c", "u", "s", [("user", "hé")], "2024")],
         "conversation_id string, user_id string, summary string, messages array<struct<role:string,content:string>>, timestamp string",
     )
-    write_working_memory(entries, path)
+    write_recent_entries(entries, path)
     spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(path)
-    good, bad = read_working_memory(spark, path)
+    good, bad = read_recent_entries(spark, path)
     assert good.first()["messages"][0]["content"] == "hé"
     assert [r[0] for r in bad.collect()] == ["{broken"]
 
@@ -178,13 +178,13 @@ def test_unknown_model_is_rejected(spark):
     assert A.token_usage(log).first()["total_cost"] == pytest.approx(0.09)
 
 
-def test_memory_state_edges(spark):
+def test_session_state_edges(spark):
     items = spark.createDataFrame(
         [("a", 9000, 9000, True), ("a", 5, 5, False), ("b", 5, 5, False)],
         "session_id string, token_count int, compressed_token_count int, is_active boolean",
     )
     sessions = spark.createDataFrame([("a", "gpt-4"), ("b", "gpt-4"), ("c", "gpt-4")], "session_id string, model string")
-    got = {r["session_id"]: r for r in A.memory_state(items, sessions).collect()}
+    got = {r["session_id"]: r for r in A.session_state(items, sessions).collect()}
     assert got["a"]["available_context_length"] == -808
     assert got["b"]["used_context_length"] == 0 and got["c"]["active_count"] == 0
 
@@ -216,11 +216,11 @@ def test_summary_strict_and_not(spark):
     convs = spark.createDataFrame(
         rows, "conversation_id string, created_at timestamp_ntz, importance_score double, topics array<string>, user_id string, summary string"
     )
-    strict = A.summarize_memory(convs, AS_OF, "day", ["x"], "u0", strict=True).first()
+    strict = A.summarize_conversations(convs, AS_OF, "day", ["x"], "u0", strict=True).first()
     assert strict["total_conversations"] == 50 and strict["recent_summaries"][0] == "s148"
-    loose = A.summarize_memory(convs, AS_OF, "week", ["x"], "u0", strict=False).first()
+    loose = A.summarize_conversations(convs, AS_OF, "week", ["x"], "u0", strict=False).first()
     assert loose["total_conversations"] == 4 and loose["recent_summaries"] == ["s2", "s4", "s6"]
-    empty = A.summarize_memory(convs.where("false"), AS_OF).first()
+    empty = A.summarize_conversations(convs.where("false"), AS_OF).first()
     assert (empty["total_conversations"], empty["average_importance"], empty["top_topics"]) == (0, 0.0, [])
     assert empty["start_date"] == "2000-01-01T00:00:00"
 
