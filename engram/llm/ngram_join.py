@@ -83,16 +83,27 @@ class Sets:
         return rows
 
 
-def bitmaps(sets: Sets) -> np.ndarray:
-    """The parity of the number of a set's tokens at each of 512 places, a row of 8 words for each set.
+def parities(places: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """A row of ``words`` words for each set: bit k is the parity of the number of its tokens at place k."""
+    counts = np.bincount(owner * (64 * words) + places % (64 * words), minlength=rows * 64 * words)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(rows, 64 * words), axis=1, bitorder="little").view(np.int64)
 
-    Two bitmaps differ in at most as many bits as the sets differ in tokens.
+
+def bitmaps(sets: Sets) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each set a bitmap of 512 bits, and one of a power of two of bits, two for a token at least.
+
+    Two bitmaps of one size differ in at most as many bits as the sets differ in
+    tokens; a bitmap's two halves, taken exclusively or, are that of half the size.
     """
-    words, rows = 64 * BITMAP_WORDS, len(sets.sizes)
-    place = (mixed(sets.tokens, 5) >> np.uint64(40)).astype(np.int64) % words
-    owner = np.repeat(np.arange(rows), sets.sizes)
-    parity = (np.bincount(owner * words + place, minlength=rows * words) & 1).astype(np.uint8).reshape(rows, words)
-    return np.packbits(parity, axis=1).view(np.int64)
+    places = (mixed(sets.tokens, 5) >> np.uint64(40)).astype(np.int64)
+    owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
+    brief = parities(places, owner, len(sets.sizes), BITMAP_WORDS)
+    wide = []
+    for i, n in enumerate(sets.sizes.tolist()):
+        words = max(BITMAP_WORDS, 1 << max(0, (n - 1).bit_length() - 5))
+        own = places[sets.at[i] : sets.at[i + 1]]
+        wide.append(brief[i] if words == BITMAP_WORDS else parities(own, np.zeros(len(own), np.int64), 1, words)[0])
+    return brief, wide
 
 
 def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,12 +117,12 @@ def fixed_lists(values: np.ndarray) -> pa.Array:
 
 
 def outlined(hashed: DataFrame, words: int) -> DataFrame:
-    """kind 0: a = key, b = node, c = n and the bitmap of each row; kind 1: a = token, b = texts with it, by slices of a task.
+    """kind 0: a = key, b = node, c = n and the two bitmaps of each row; kind 1: a = token, b = texts with it, by slices of a task.
 
     Tokens that a slice has once are not counted: this only decides which
     tokens are taken for frequent, and those are frequent in many slices.
     """
-    names = ["kind", "a", "b", "c", "bitmap"]
+    names = ["kind", "a", "b", "c", "bitmap", "wide"]
     listed = pa.list_(pa.int64())
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -119,7 +130,7 @@ def outlined(hashed: DataFrame, words: int) -> DataFrame:
         token, count = token[count > 1], count[count > 1]
         kind = pa.array(np.ones(len(token), np.int32))
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([kind, pa.array(token), pa.array(count.astype(np.int64)), none, pa.nulls(len(token), listed)], names=names)
+        return pa.RecordBatch.from_arrays([kind, pa.array(token), pa.array(count.astype(np.int64)), none, *[pa.nulls(len(token), listed)] * 2], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -131,7 +142,9 @@ def outlined(hashed: DataFrame, words: int) -> DataFrame:
                 sets = Sets(part, words)
                 kind = pa.array(np.zeros(part.num_rows, np.int32))
                 node = pa.array(sets.nodes, mask=~sets.usable)
-                yield pa.RecordBatch.from_arrays([kind, part.column(0), node, pa.array(sets.sizes), fixed_lists(bitmaps(sets))], names=names)
+                brief, wide = bitmaps(sets)
+                columns = [kind, part.column(0), node, pa.array(sets.sizes), fixed_lists(brief), pa.array(wide, listed)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 for i in sets.fresh(seen):
                     held.append(sets.of(i))
                     size += len(held[-1])
@@ -141,7 +154,7 @@ def outlined(hashed: DataFrame, words: int) -> DataFrame:
         if held:
             yield counted(held)
 
-    return hashed.mapInArrow(run, "kind int, a long, b long, c long, bitmap array<bigint>")
+    return hashed.mapInArrow(run, "kind int, a long, b long, c long, bitmap array<bigint>, wide array<bigint>")
 
 
 def levels_of(n: int) -> list[tuple[int, int]]:
@@ -340,19 +353,27 @@ def alike(most: Column, total: Column) -> Column:
 
 def may_link(x: str, y: str) -> Column:
     """False only for pairs whose sizes or bitmaps show that they cannot be alike."""
-    differ = F.aggregate(
-        F.zip_with(f"{x}.bitmap", f"{y}.bitmap", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v
-    )
+    a, b = F.col(f"{x}.wide"), F.col(f"{y}.wide")
+
+    def halved(m: Column) -> Column:
+        half = (F.size(m) / 2).cast("int")
+        return F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    def differing(u: Column, v: Column) -> Column:
+        return F.aggregate(F.zip_with(u, v, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+    # Sets whose sizes allow a link have bitmaps of the same size or of twice the size.
+    differ = F.when(F.size(a) == F.size(b), differing(a, b)).when(F.size(a) > F.size(b), differing(halved(a), b)).otherwise(differing(a, halved(b)))
     total = F.col(f"{x}.n") + F.col(f"{y}.n")
-    most = F.least(F.floor((total - differ) / 2), F.col(f"{x}.n"), F.col(f"{y}.n"))
-    return alike(most, total)
+    least = F.least(F.col(f"{x}.n"), F.col(f"{y}.n"))
+    return F.when(alike(least, total), alike(F.least(F.floor((total - differ) / 2), least), total)).otherwise(F.lit(False))
 
 
 def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
     """The pairs a, b that sizes and bitmaps allow."""
-    brief = briefs.select("node", F.struct("n", "bitmap").alias("brief"))
+    brief = briefs.select("node", F.struct("n", "wide").alias("brief"))
     left, right = (brief.select(F.col("node").alias(c), F.col("brief").alias(f"{c}_brief")) for c in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
@@ -486,26 +507,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     hashed = hashed_words(df, key, text)
     outline = settled(outlined(hashed, words), "outline")
-    rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"), "bitmap")
+    rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"), "bitmap", "wide")
     often = outline.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > COMMON)
     frequent = np.array([r["a"] for r in often.orderBy(F.desc("n"), "a").limit(COMMON_TOKENS).collect()], np.int64).view(np.uint64)
 
     shared = settled(shared_lists(indexed(hashed, np.sort(frequent), words)), "lists")
     entries = shared.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
     nodes = shared.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct()
-    described = [F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")]
+    described = [F.min("key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide"))]
     briefs = settled(rows.where("n > 1").join(nodes, "node", "left_semi").groupBy("node").agg(*described), "briefs")
-    short = likely(shared.where("kind = 0").select("a", "b").distinct(), briefs).withColumn("forest", F.lit(False))
-    long = list_pairs(entries, briefs, None, forest=True).withColumn("forest", F.lit(True))
-    pairs = settled(short.unionByName(long).groupBy("a", "b").agg(F.max("forest").alias("forest")), "pairs")
+    short = shared.where("kind = 0").select("a", "b").distinct().withColumn("forest", F.lit(False))
+    forest = settled(list_pairs(entries, briefs, None, forest=True), "forest")
+    found = short.unionByName(forest.withColumn("forest", F.lit(True))).groupBy("a", "b").agg(F.max("forest").alias("forest"))
+    pairs = settled(likely(found, briefs), "pairs")
 
     tried = settled(nearest_pairs(pairs), "tried")
     links = verified(tried, briefs, hashed, words)
     roots = connected(links.where("linked"))
-    left = between(pairs, roots)
-    rest = left.select("a", "b")
-    if not left.where("forest").isEmpty():
-        rest = rest.union(list_pairs(entries, briefs, roots, forest=False)).distinct()
+    rest = between(pairs, roots).select("a", "b")
+    if not between(forest, roots).isEmpty():
+        rest = rest.union(likely(list_pairs(entries, briefs, roots, forest=False), briefs)).distinct()
     rest = settled(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(verified(rest, briefs, hashed, words))
