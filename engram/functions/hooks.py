@@ -32,7 +32,8 @@ def _model_hook(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: s
     """One ``load()`` per Python worker task, calls of at most ``batch_size`` texts.
 
     A batch that raises is tried again text by text, and a text that raises
-    alone becomes null, so one bad row costs only itself.
+    alone becomes null, so one bad row costs only itself. Spark may not work a
+    call out a second time where its result is used more than once.
     """
 
     def one(model, text):
@@ -57,7 +58,7 @@ def _model_hook(load: Callable[[], Callable[[pd.Series], pd.Series]], returns: s
             yield pd.Series(out, index=texts.index, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, returns)
+    return F.pandas_udf(run, returns).asNondeterministic()
 
 
 def embedder_hook(load: Callable[[], Callable[[pd.Series], pd.Series]], batch_size: int = 32) -> Hook:
@@ -79,15 +80,11 @@ def embed_new_texts(
 ) -> DataFrame:
     """Vectors of the distinct texts not yet known, as (text_hash, embedding).
 
-    Copies are merged before the shuffle, so a text held by many rows is
-    embedded once.
+    Known texts leave before anything is merged. Copies are merged before the
+    shuffle, so a text held by many rows is embedded once.
     """
-    distinct = (
-        df.where(F.col(text).isNotNull())
-        .select(F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("text"))
-        .groupBy("text_hash")
-        .agg(F.first("text").alias("text"))
-    )
+    hashed = df.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("text"))
     if known is not None:
-        distinct = distinct.join(known.select("text_hash"), "text_hash", "left_anti")
+        hashed = hashed.join(known.select("text_hash").distinct(), "text_hash", "left_anti")
+    distinct = hashed.groupBy("text_hash").agg(F.first("text").alias("text"))
     return distinct.select("text_hash", embedder(F.col("text")).alias("embedding"))

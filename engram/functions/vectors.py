@@ -2,8 +2,8 @@
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -54,24 +54,24 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """
     word = re.compile(r"[^ \t\n\r]+")
 
-    def vector(found: str | None, places: dict[str, int]) -> np.ndarray | None:
-        if found is None:
-            return None
-        counts = np.zeros(dimension)
-        for w, n in Counter(word.findall(found.lower())).items():
-            place = places.get(w)
-            if place is None:
-                place = places[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension
-            counts[place] += n
-        length = np.sqrt((counts * counts).sum())
-        return (counts / length if length > 0 else counts).astype(np.float32)
+    def place(w: str) -> int:
+        return int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         places: dict[str, int] = {}
         for texts in batches:
             if len(places) > KNOWN_WORDS:
                 places = {}
-            yield pd.Series([vector(t, places) for t in texts], index=texts.index, dtype=object)
+            split = [[] if t is None else word.findall(t.lower()) for t in texts]
+            flat = list(chain.from_iterable(split))
+            places.update((w, place(w)) for w in set(flat).difference(places))
+            owner = np.repeat(np.arange(len(split)), [len(ws) for ws in split])
+            at = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+            counts = np.bincount(owner * dimension + at, minlength=len(split) * dimension).reshape(-1, dimension).astype(float)
+            lengths = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors = (counts / np.where(lengths > 0, lengths, 1.0)).astype(np.float32)
+            rows = [None if t is None else v for t, v in zip(texts, vectors, strict=True)]
+            yield pd.Series(rows, index=texts.index, dtype=object)
 
     embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(embed, "array<float>")(text)

@@ -66,14 +66,19 @@ def ingest_items(
     summary is its first 500 characters. Stored sizes never shrink a session's
     total, so a session over the trigger stays over: one crossing item per
     session decides for all items after it. The crossing items are written out
-    first, so that where they are few the texts are not shuffled.
+    first, so that where they are few the texts are not shuffled. Summaries of
+    long texts, needed to find them, are written out with the items, so that a
+    text is summarized once.
     """
     limits = model_limits(model)
     text = F.col("full_content")
     counted = new_items.withColumn("token_count", tokenizer(text))
     is_long = F.col("token_count") > POLICY.always_compress_above
+    counted = counted.withColumn("_long_summary", F.when(is_long, summarizer(F.when(is_long, text))))
+    if summarizer is not default_summarizer:
+        counted = settled(counted, "summaries")
     if auto_compress:
-        below = F.when(is_long, summarizer(F.when(is_long, text))).otherwise(truncate_summary(text))
+        below = F.when(is_long, F.col("_long_summary")).otherwise(truncate_summary(text))
         sized = counted.select("session_id", "arrived_at", "id", tokenizer(below).alias("size"))
         points = trigger_points(sized, limits.context_length, limits.compression_trigger, prior, salts)
         marked = counted.join(settled(points, "trigger-points"), "session_id", "left")
@@ -88,7 +93,8 @@ def ingest_items(
     else:
         marked = counted.withColumn("over_trigger", F.lit(False))
     compress = F.col("over_trigger") | is_long
-    summary = F.when(compress, summarizer(F.when(compress, text))).otherwise(truncate_summary(text))
+    late = F.col("over_trigger") & ~is_long
+    summary = F.when(is_long, F.col("_long_summary")).when(late, summarizer(F.when(late, text))).otherwise(truncate_summary(text))
     return (
         marked.withColumn("was_compressed", compress)
         .withColumn("compressed_summary", summary)
@@ -97,4 +103,5 @@ def ingest_items(
             "compression_ratio", compression_ratio(F.col("compressed_token_count"), F.col("token_count"))
         )
         .withColumn("embedding", embedder(F.col("compressed_summary")))
+        .drop("_long_summary")
     )

@@ -489,6 +489,18 @@ def w1(spark, d):
     return P.working_context(V.memory_items(spark, d), BUDGET)
 
 
+@query(
+    "w1_session_budgets",
+    """SELECT session_id, id, form, CASE form WHEN 'full' THEN f ELSE c END AS tokens FROM packed_models
+    WHERE form IS NOT NULL""",
+    ["packed_models"],
+)
+def w1_session_budgets(spark, d):
+    known, _ = A.with_model_limits(V.session_models(spark, d))
+    limit = F.floor(F.col("context_length") * F.col("safe_threshold")).cast("int")
+    return P.working_context(V.memory_items(spark, d), known.select("session_id", limit.alias("max_tokens")))
+
+
 @query(
     "w1_context_totals",
     """SELECT session_id, count(*) FILTER (WHERE form = 'full') AS full_items,

@@ -175,6 +175,24 @@ VIEWS = {
                  ELSE p.remaining END
         FROM packed_6963 p JOIN ranked_items r ON r.session_id = p.session_id AND r.position = p.position + 1""",
     ),
+    # The same with the budget of each session's own model.
+    "packed_models": (
+        ["ranked_items", "session_models", "models"],
+        """SELECT session_id, id, position, token_count AS f, compressed_token_count AS c,
+            CASE WHEN token_count <= b THEN 'full' WHEN compressed_token_count <= b THEN 'compressed' END AS form,
+            CASE WHEN token_count <= b THEN b - token_count WHEN compressed_token_count <= b THEN b - compressed_token_count
+                 ELSE b END AS remaining
+        FROM (SELECT r.*, CAST(floor(context_length * safe_threshold) AS BIGINT) AS b
+            FROM ranked_items r JOIN session_models USING (session_id) JOIN models USING (model)) WHERE position = 1
+        UNION ALL
+        SELECT r.session_id, r.id, r.position, r.token_count, r.compressed_token_count,
+            CASE WHEN r.token_count <= p.remaining THEN 'full'
+                 WHEN r.compressed_token_count <= p.remaining THEN 'compressed' END,
+            CASE WHEN r.token_count <= p.remaining THEN p.remaining - r.token_count
+                 WHEN r.compressed_token_count <= p.remaining THEN p.remaining - r.compressed_token_count
+                 ELSE p.remaining END
+        FROM packed_models p JOIN ranked_items r ON r.session_id = p.session_id AND r.position = p.position + 1""",
+    ),
     "arrivals": (
         ["memory_items"],
         """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS seq,

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from engram.functions.hooks import summarizer_hook
 from engram.functions.text import importance_score
 from engram.operators import filters as L
 from engram.operators import folds as FO
@@ -13,6 +14,7 @@ from engram.operators import maintenance as M
 from engram.operators import ranking as R
 from engram.operators import search as SE
 from engram.operators.conversations import build_conversations, conversation_headers, parsed_messages
+from engram.operators.ingest import ingest_items
 from engram.operators.packing import fit_to_window
 from engram.sources import shared
 from engram.sources.tables import upsert
@@ -129,3 +131,20 @@ def test_repeated_keys(spark):
 
 def test_the_shared_folder_is_the_one_that_is_set(spark):
     assert shared.shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/")
+
+
+def test_a_text_is_summarized_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            calls.add(len(texts))
+            return texts.str[:10]
+
+        return model
+
+    rows = [(f"{i:02d}", "s", T0, "w" * (9000 if i < 11 else 40)) for i in range(30)]
+    new = spark.createDataFrame(rows, "id string, session_id string, arrived_at timestamp_ntz, full_content string")
+    done = ingest_items(new, "gpt-4o", summarizer=summarizer_hook(load)).collect()
+    assert len(done) == 30 and sum(r["was_compressed"] for r in done) == 11
+    assert calls.value == 11
