@@ -43,8 +43,9 @@ def features() -> Column:
 def sample(df: DataFrame, keys: DataFrame, key: str, text: str, rows: int) -> np.ndarray:
     """The features of the rows of at most ``rows`` keys, chosen by a hash of the key."""
     chosen = keys.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(rows)
-    texts = df.select(key, text).join(F.broadcast(chosen.distinct()), key).limit(2 * rows)
-    found = with_counts(texts, text, F.col(key)).select(features().alias("x")).collect()
+    texts = df.select(key, text).join(F.broadcast(chosen.distinct()), key)
+    counted = with_counts(texts, text, F.col(key)).select(key, features().alias("x"))
+    found = counted.groupBy(key).agg(F.min("x").alias("x")).collect()  # of repeated keys one row
     return np.array([r["x"] for r in found], float)
 
 
