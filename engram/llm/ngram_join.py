@@ -19,7 +19,7 @@ SHORT_LIST = 8
 BLOCK = 2048
 ROWS = 1024
 FILTER_BITS = 23
-BITMAP_WORDS = 8
+BITMAP_WORDS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)  # an odd number: the golden ratio's fraction
 
 
@@ -90,7 +90,7 @@ def parities(places: np.ndarray, owner: np.ndarray, rows: int, words: int) -> np
 
 
 def bitmaps(sets: Sets) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each set a bitmap of 512 bits, and one of a power of two of bits, two for a token at least.
+    """Of each set a bitmap of 1,024 bits, and one of a power of two of bits, two for a token at least.
 
     Two bitmaps of one size differ in at most as many bits as the sets differ in
     tokens; a bitmap's two halves, taken exclusively or, are that of half the size.
@@ -392,13 +392,6 @@ def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int)
     return settled(verdicts, "links")
 
 
-def nearest_pairs(pairs: DataFrame) -> DataFrame:
-    """a, b: for each node of the pairs the one with its least partner."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("v"))
-    return least.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-
-
 def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components."""
     left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
@@ -501,9 +494,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Texts are read three times: to outline the sets and find frequent tokens, to
     index prefixes, and to fetch the sets of pairs that sizes and bitmaps allow.
-    Of these pairs each node's first is verified first, and long lists give only
-    pairs that would join components; a fourth reading is for all pairs that are
-    then left between components.
+    Of long lists these pairs are first only those that would join components;
+    where one of them turns out not to, a fourth reading is for all pairs of long
+    lists that are then left between components.
     """
     hashed = hashed_words(df, key, text)
     outline = settled(outlined(hashed, words), "outline")
@@ -521,16 +514,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     found = short.unionByName(forest.withColumn("forest", F.lit(True))).groupBy("a", "b").agg(F.max("forest").alias("forest"))
     pairs = settled(likely(found, briefs), "pairs")
 
-    tried = settled(nearest_pairs(pairs), "tried")
-    links = verified(tried, briefs, hashed, words)
+    links = verified(pairs, briefs, hashed, words)
     roots = connected(links.where("linked"))
-    rest = between(pairs, roots).select("a", "b")
     if not between(forest, roots).isEmpty():
-        rest = rest.union(likely(list_pairs(entries, briefs, roots, forest=False), briefs)).distinct()
-    rest = settled(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, briefs, hashed, words))
-        roots = connected(links.where("linked"))
+        crossing = likely(list_pairs(entries, briefs, roots, forest=False), briefs)
+        rest = settled(crossing.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            links = links.unionByName(verified(rest, briefs, hashed, words))
+            roots = connected(links.where("linked"))
 
     rows = rows.select("key", "node", "n").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
     grouped = settled(rows, "roots")
