@@ -231,7 +231,7 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
 
 
 def test_classifiers_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # a few hundred toxic labels; with a few dozen a third of the words stay unknown
     documents, marks = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     scored = quality_model.quality_scores(documents, marks).select("row.doc_id", "held_out", "predicted").join(marks, "doc_id").collect()
     own = [r for r in scored if r["held_out"]]
@@ -240,7 +240,7 @@ def test_classifiers_on_held_out_rows(spark):
     toxic = toxicity.toxicity_scores(documents, outside).join(marks.where(quality_model.held_out(F.col("doc_id"))), "doc_id").collect()
     clean = [r["is_toxic"] for r in toxic if not r["toxic"]]
     caught = [r["is_toxic"] for r in toxic if r["toxic"]]
-    assert sum(clean) <= 0.02 * len(clean) and sum(caught) >= 0.7 * len(caught)
+    assert sum(clean) <= 0.02 * len(clean) and sum(caught) >= 0.85 * len(caught)
 
 
 def test_held_out_is_by_the_id_as_text(spark):
