@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import chat
+from engram.llm.alignment import align_tokens
 from engram.llm.bpe import encode_and_decode
 from engram.llm.common import documents
 from engram.llm.fingerprints import edited_fingerprints
+from engram.llm.line_dedup import dedup_lines
 from engram.llm.ngram_join import near_duplicates
 from engram.llm.packing import pack
 from engram.llm.quality_model import quality_scores
@@ -17,6 +19,7 @@ from engram.llm.rules import quality_verdicts
 from engram.llm.sharding import place
 from engram.llm.token_counts import count_tokens
 from engram.llm.toxicity import toxicity_scores
+from engram.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,3 +185,32 @@ def op9(spark, d):
 @query("op10_ngram_join")
 def op10(spark, d):
     return near_duplicates(documents(spark, d))
+
+
+@query("op11_token_alignment")
+def op11(spark, d):
+    return align_tokens(documents(spark, d), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op12_line_dedup",
+    """WITH lines AS (
+        SELECT doc_id, pos, list[pos] AS line,
+            translate(trim(list[pos], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM (SELECT doc_id, unnest(range(1, len(list) + 1)) AS pos, list
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS list FROM documents))),
+    owners AS (SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10 GROUP BY key),
+    marked AS (SELECT doc_id, pos, line, owner IS NOT NULL AND owner <> doc_id AS gone FROM lines LEFT JOIN owners USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id""",
+)
+def op12(spark, d):
+    kept = dedup_lines(documents(spark, d))
+    return kept.select("doc_id", "n_lines", "n_dropped", hex_digest(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark, d):
+    return whiten(spark.read.parquet(f"{d}/embeddings.parquet"))
