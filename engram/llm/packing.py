@@ -8,12 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from engram.llm.bpe import WordEncoder
+from engram.llm.bpe import KNOWN, WordEncoder
 from engram.llm.common import settled
+from engram.llm.vocab import composed, lowered
 from engram.operators.spread import salts_for
 
 WINDOW = 4096
@@ -21,23 +24,115 @@ END_ID = 2
 DEPTH = 6
 TRIES = 4
 ROUNDS = 200
-ROWS = 256
+ROWS = 1024
+# The pieces encoded in one text.
+JOINED = 1000
 
 
-class LibraryEncoder(WordEncoder):
-    """The same ids, words not met before coming from the tokenizers library."""
+class LibraryEncoder:
+    """The ids of many texts as one row of numbers, pieces not met before coming from the tokenizers library.
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    Words are told apart by Arrow, a text is a ragged take from the ids of its
+    distinct words. A new word is normalized and cut into pieces by the
+    vocabulary's pattern; new pieces are encoded many in one text, with blanks
+    between: a blank ends a piece, and only the last token of a piece has the
+    word end. What is stored is bounded by ``known`` words and starts anew
+    beyond, which changes no result.
+    """
+
+    def __init__(self, path: str, end_id: int, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-
-    def missing(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        listed = list(words)
-        coded = self.library.encode_batch_fast(listed, add_special_tokens=False)
-        return {w: tuple(e.ids) for w, e in zip(listed, coded, strict=True)}
+        self.library, self.end_id, self.known = Tokenizer.from_file(path), end_id, known
+        self.words_of = WordEncoder(path)
+        vocabulary = self.words_of.vocabulary
+        tokens = vocabulary.tokens()
+        self.ending = np.array([tokens.get(i, "").endswith(vocabulary.suffix) for i in range(max(tokens) + 1)])
+        self.lines = regex.compile(f"{vocabulary.pattern}|\n")
+        self.special = [(s, i) for s, i in vocabulary.special.items()]
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = Stored([s for s, _ in self.special], np.array([i for _, i in self.special], "<u4"), np.ones(len(self.special), np.int64))
+        self.pieces = Stored(["\n"], np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def encode_pieces(self, pieces: list[str]) -> None:
+        blocks = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        coded = self.library.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
+        for block, found in zip(blocks, coded, strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids])
+            if len(ends) != len(block):
+                raise ValueError("the vocabulary does not end each piece with one token")
+            self.pieces.add(block, ids, np.diff(ends, prepend=-1))
+
+    def learn(self, words: list[str]) -> None:
+        """The ids of words from those of their pieces; every word is a line of one text."""
+        text = "\n".join([*words, ""])
+        text = composed(text) if self.words_of.compose else text
+        text = lowered(text) if self.words_of.lower else text
+        coded = pa.array(self.lines.findall(text), pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.encode_pieces([p for p in distinct if p not in self.pieces.place])
+        ids, lengths = self.pieces.take(distinct, coded.indices.to_numpy())
+        stops = np.cumsum(lengths)[coded.indices.to_numpy() == distinct.index("\n")]
+        self.words.add(words, ids, np.diff(stops, prepend=0))
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text; other than ASCII white space, which stays inside, is left to the pattern."""
+        if not any(pc.any(pc.match_substring(texts, s)).as_py() for s, _ in self.special):
+            return pc.ascii_split_whitespace(texts)
+        rows = []
+        for text in texts.to_pylist():
+            parts = self.words_of.special.split(text)
+            rows.append([w for p in parts for w in ([p] if p in self.words_of.vocabulary.special else self.words_of.split(p))])
+        return pa.array(rows, pa.list_(pa.string()))
+
+    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and where each text ends; null is empty."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = self.split(pc.fill_null(texts.cast(pa.string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.words.place]
+        if max(len(self.words.place) + len(new), len(self.pieces.place)) > self.known:
+            self.forget()
+            new = [w for w in distinct if w not in self.words.place]
+        if new:
+            self.learn(new)
+        ids, lengths = self.words.take(distinct, coded.indices.to_numpy())
+        stops = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        sizes = np.diff(stops)
+        out = np.empty(len(ids) + len(sizes), "<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+        ends = np.cumsum(sizes + 1)
+        out[ends - 1] = self.end_id
+        return out, ends
+
+
+class Stored:
+    """The ids of strings, in one array."""
+
+    def __init__(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray):
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.add(strings, ids, lengths)
+
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(strings, range(len(self.place), len(self.place) + len(strings)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all coded strings, one after the other, and how many each has."""
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[codes]
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        return self.ids[at + np.arange(len(at))], lengths
 
 
 def cut_documents(
@@ -53,22 +148,23 @@ def cut_documents(
     names = [key, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path)
+        encoder = LibraryEncoder(path, end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 owner, starts, lengths, sums, totals, pieces = [], [], [], [], [], []
-                for row, ids in enumerate(encoder.lists(part.column(1).to_pylist())):
-                    ids.append(end_id)
-                    coded = np.array(ids, "<u4")
-                    for start in range(0, len(ids), window):
-                        piece = coded[start : start + window]
+                coded, ends = encoder.rows(part.column(1))
+                first = 0
+                for row, end in enumerate(ends.tolist()):
+                    for start in range(first, end, window):
+                        piece = coded[start : min(start + window, end)]
                         owner.append(row)
-                        starts.append(start)
+                        starts.append(start - first)
                         lengths.append(len(piece))
-                        sums.append(zlib.crc32(piece.tobytes()))
-                        totals.append(len(ids))
+                        sums.append(zlib.crc32(piece))
+                        totals.append(end - first)
                         pieces.append(piece)
+                    first = end
                 columns = [part.column(0).take(pa.array(owner, pa.int64()))]
                 columns += [pa.array(c, pa.int64()) for c in (starts, lengths, sums, totals)]
                 if with_ids:
