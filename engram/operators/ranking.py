@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from engram.functions.values import iso_timestamp
 from engram.operators.filters import newest, oldest
 from engram.policy import POLICY
+from engram.sources.shared import settled
 
-# Coarse sort keys, each with whether it is descending.
-Bands = Sequence[tuple[Column, bool]]
+# What the orders of the ranked lists look at.
+ORDER_COLUMNS = ["priority", "last_accessed", "created_at"]
 SERVING = ["conversation_id", "summary", "topics", "importance_score", "created_at"]
 
 
@@ -44,67 +45,77 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("position", position).where(F.col("position") <= n)
 
 
-def positions(
-    df: DataFrame, group: Sequence[str], bands: Bands, order: Sequence[Column]
-) -> DataFrame:
-    """Every row with its ``position`` in its group, hot groups spread over many tasks.
+def positions(keys: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Every row of ``keys`` with its ``position`` in its group, by a sample sort.
 
-    ``bands`` are coarse sort keys (expression, descending) that agree with
-    ``order``. Rows are numbered inside a band; a band starts after the counts
-    of the bands before it, and those counts are combined before the shuffle.
-    A band is the work of one task, so bands should be fine enough for the data.
+    Rows are dealt out in ranges of the whole order (group, then ``order``)
+    with sampled bounds, so a hot group, a hot priority or a hot moment is
+    cut wherever its rows need it, and each task numbers its own range. Ranges
+    are then told apart by their row counts: a position is the rows of the
+    group in earlier ranges and the place in the own one. ``order`` should end
+    in a key. The numbered rows are written out once, so ``keys`` should carry
+    keys and not bodies; callers join those afterwards.
     """
-    names = [f"_band{i}" for i in range(len(bands))]
-    # One struct as key: equal where its nulls are equal, and shared by the window and the join.
-    key = F.struct(*group, *[band.alias(name) for (band, _), name in zip(bands, names)])
-    keyed = df.withColumn("_key", key)
-    band_order = [
-        F.desc_nulls_first(f"_key.{name}") if descending else F.asc_nulls_last(f"_key.{name}")
-        for (_, descending), name in zip(bands, names)
-    ]
-    before = W.partitionBy(*[f"_key.{g}" for g in group]).orderBy(*band_order)
-    starts = (
-        keyed.groupBy("_key")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_key", (F.sum("_rows").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("_rows")).alias("_start"))
+    ranged = [*[F.asc_nulls_first(g) for g in group], *order]
+    sorted_rows = keys.repartitionByRange(*ranged).sortWithinPartitions(*ranged)
+    # Partition above, row in the partition in the lower 33 bits.
+    numbered = settled(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), "sorted-keys")
+    numbered = numbered.withColumn("_range", F.shiftright("_place", 33))
+    parts = numbered.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    # At most one row per range for a group that goes over several.
+    earlier = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(
+        F.col("_range").alias("_r"),
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    inside = keyed.withColumn("_inside", F.row_number().over(W.partitionBy("_key").orderBy(*order)))
-    return inside.join(starts, "_key").select(
-        *df.columns, (F.col("_start") + F.col("_inside")).cast("bigint").alias("position")
+    same = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return numbered.join(starts, same).select(
+        *keys.columns, (F.col("_place") + F.col("_shift") + 1).cast("bigint").alias("position")
     )
 
 
+def ranked(df: DataFrame, order: Sequence[str | Column], group: str = "session_id", key: str = "id") -> DataFrame:
+    """All columns of ``df`` and the ``position``: keys and order columns are numbered, the rest is joined by ``key``.
+
+    ``key`` is the table's key. Where the rows have nothing else than what the
+    order needs, nothing is joined.
+    """
+    used = [group, key, *[c for c in ORDER_COLUMNS if c in df.columns and c not in (group, key)]]
+    placed = positions(df.select(*used), [group], order)
+    if set(df.columns) <= set(used):
+        return placed.select(*df.columns, "position")
+    return df.join(placed.select(key, "position"), key).select(*df.columns, "position")
+
+
 def item_order() -> list[Column]:
     """Priority, then last access, highest and newest first."""
     return [newest("priority"), newest("last_accessed"), F.asc("id")]
 
 
-def time_bands(time: str, unit: str, newest_first: bool = True) -> Bands:
-    """Bands of one priority and one span of time."""
-    return [(F.col("priority"), True), (F.date_trunc(unit, F.col(time)), newest_first)]
+def task_order() -> list[Column]:
+    return [newest("priority"), newest("created_at"), F.asc("id")]
 
 
-def bulk_bands(time: str, newest_first: bool = True, prefix: int = 3) -> Bands:
-    """Bands for tables where very many rows share one moment, split by the head of their ids."""
-    return [(F.col("priority"), True), (F.col(time), newest_first), (F.substring("id", 1, prefix), False)]
+def hil_order() -> list[Column]:
+    """Highest priority first, oldest first in it."""
+    return [newest("priority"), oldest("created_at"), F.asc("id")]
 
 
-def ranked_items(items: DataFrame, bands: Bands | None = None) -> DataFrame:
+def ranked_items(items: DataFrame) -> DataFrame:
     """Active items of each session with their position by priority, then last access."""
-    active = items.where(F.col("is_active"))
-    return positions(active, ["session_id"], bands or time_bands("last_accessed", "HOUR"), item_order())
+    return ranked(items.where(F.col("is_active")), item_order())
 
 
-def ranked_tasks(tasks: DataFrame, bands: Bands | None = None) -> DataFrame:
-    order = [newest("priority"), newest("created_at"), F.asc("id")]
-    return positions(tasks, ["session_id"], bands or time_bands("created_at", "DAY"), order)
+def ranked_tasks(tasks: DataFrame) -> DataFrame:
+    return ranked(tasks, task_order())
 
 
-def ranked_hil(interactions: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """Pending requests of each session: highest priority first, oldest first in it."""
-    pending = interactions.where(F.col("status") == "pending")
-    order = [newest("priority"), oldest("created_at"), F.asc("id")]
-    return positions(pending, ["session_id"], bands or time_bands("created_at", "HOUR", False), order)
+def ranked_hil(interactions: DataFrame) -> DataFrame:
+    """Pending requests of each session with their position."""
+    return ranked(interactions.where(F.col("status") == "pending"), hil_order())
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Registered queries over sources, filters, sorted lists, joins and aggregates."""
 
+import json
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -9,11 +10,12 @@ from engram.operators import filters as L
 from engram.operators import joins as J
 from engram.operators import ranking as R
 from engram.operators.conversations import build_conversations, parsed_messages
-from engram.operators.export import export_state
+from engram.operators.export import export_state, state_sections
 from engram.operators.search import hydrate
 from engram.plans import views as V
 from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.plans.sql_views import AS_OF_SQL
+from engram.policy import DEFAULT_SETTINGS, ITEMS_SECTION, STATE_FIELD
 from engram.sources import tables as S
 from engram.sources.shared import shared_folder
 from engram.sources.recent_entries import read_recent_entries, write_recent_entries
@@ -122,19 +124,30 @@ def _iso(column):
     return f"regexp_replace({text}, '\\.000000$', '')"
 
 
+_SETTINGS = json.dumps(DEFAULT_SETTINGS, separators=(",", ":"))[1:-1]
+
+
 @query(
     "s6_export_state",
-    """SELECT session_id, 'session_state' AS section, 0 AS page, 1 AS n_rows,
-        '{"session_id":"' || session_id || '","section":"session_state","page":0,"body":'
-        || CAST(to_json(struct_pack(model_name := any_value(model), total_context := any_value(context_length),
-            used_context := CAST(coalesce(sum(compressed_token_count) FILTER (WHERE is_active), 0) AS BIGINT),
-            available_context := CAST(any_value(context_length)
-                - coalesce(sum(compressed_token_count) FILTER (WHERE is_active), 0) AS BIGINT))) AS VARCHAR)
-        || '}' AS document
-    FROM session_models JOIN models USING (model) JOIN memory_items USING (session_id) GROUP BY session_id
+    f"""SELECT session_id, 'session_state' AS section, 0 AS page, 1 AS n_rows,
+        '{{"session_id":"' || session_id || '","section":"session_state","page":0,"body":{{"model":"' || model
+        || '",{_SETTINGS},"timestamp":"2024-02-02T00:00:00","{STATE_FIELD}":{{"total_context":' || total
+        || ',"used_context":' || used || ',"available_context":' || (total - used) || ',"utilization_percentage":'
+        || round(used / total * 100, 6) || ',"token_usage":' || coalesce(usage, '{{}}')
+        || ',"performance_metrics":' || coalesce(metrics, '{{}}') || '}}}}}}' AS document
+    FROM (SELECT session_id, any_value(model) AS model, any_value(context_length) AS total,
+            CAST(coalesce(sum(compressed_token_count) FILTER (WHERE is_active), 0) AS BIGINT) AS used
+        FROM session_models JOIN models USING (model) JOIN memory_items USING (session_id) GROUP BY session_id)
+    LEFT JOIN (SELECT session_id, CAST(to_json(struct_pack(input_tokens := CAST(sum(input_tokens) AS BIGINT),
+            output_tokens := CAST(sum(output_tokens) AS BIGINT), total_cost := round(
+                sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 6))) AS VARCHAR) AS usage
+        FROM token_log JOIN models USING (model) GROUP BY session_id) USING (session_id)
+    LEFT JOIN (SELECT session_id, '{{"cache_hits":' || count(*) FILTER (WHERE NOT decompress)
+            || ',"compressions":0,"decompressions":' || count(*) FILTER (WHERE decompress) || '}}' AS metrics
+        FROM access_log GROUP BY session_id) USING (session_id)
     UNION ALL """
     + _sql_pages(
-        "active_memory_items",
+        ITEMS_SECTION,
         "memory_items",
         [
             (c, _iso(c) if c == "last_accessed" else c)
@@ -174,17 +187,15 @@ def _iso(column):
         ],
         "created_at DESC NULLS FIRST, id",
     ),
-    ["session_models", "models", "memory_items", "tasks", "agents", "context_quarantine"],
+    ["session_models", "models", "memory_items", "tasks", "agents", "context_quarantine", "token_log", "access_log"],
 )
 def s6(spark, d):
-    items = V.memory_items(spark, d)
-    states = A.session_state(items, V.session_models(spark, d)).select(
-        "session_id",
-        "model_name",
-        F.col("total_context_length").alias("total_context"),
-        F.col("used_context_length").alias("used_context"),
-        F.col("available_context_length").alias("available_context"),
-    )
+    items, events = V.memory_items(spark, d), V.raw(spark, d, "events")
+    percent = "context_utilization_percentage"
+    states = A.session_state(items, V.session_models(spark, d)).withColumn(percent, r6(F.col(percent)))
+    usage = A.token_usage(V.token_log(events)).withColumn("total_cost", r6(F.col("total_cost")))
+    metrics = A.performance_metrics(A.access_metrics(V.access_log(events)))
+    states = state_sections(states, usage, metrics, V.AS_OF)
     return export_state(states, items, V.tasks(spark, d), V.agents(spark, d), V.context_quarantine(spark, d))
 
 

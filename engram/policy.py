@@ -59,6 +59,12 @@ class ModelLimits:
         return int(self.context_length * self.safe_threshold)
 
 
+# Names in the export, and what a session is set to unless it says otherwise.
+ITEMS_SECTION = "active_memory_items"
+STATE_FIELD = "memory_state"
+DEFAULT_SETTINGS = {"memory_approach": "external_llm", "use_slm": False, "use_lora_finetuning": False}
+
+
 @dataclass(frozen=True)
 class Policy:
     """Numbers the operators default to; operators take most of them as arguments."""

@@ -11,6 +11,7 @@ from engram.functions import text as X
 from engram.functions import values as N
 from engram.operators import aggregates as A
 from engram.operators import export as E
+from engram.policy import ITEMS_SECTION, STATE_FIELD
 from engram.operators import filters as L
 from engram.operators import folds as FO
 from engram.operators import maintenance as M
@@ -125,8 +126,32 @@ def test_positions_equal_row_number(spark):
     order = sorted(rows, key=lambda r: ((0, 0) if r[2] is None else (1, -r[2]), T0 - r[3], r[1]))
     assert got == [r[1] for r in order]
     assert R.ranked_items(items).agg(F.max("position")).first()[0] == 120
-    bulk = R.ranked_items(items, R.bulk_bands("last_accessed", prefix=1))
-    assert [r["id"] for r in bulk.orderBy("position").collect()] == got
+
+
+def test_positions_of_one_moment_are_spread(spark):
+    """All rows of one session with one priority and one time: every range gets its share, positions go on over ranges."""
+    n = 4000
+    hot = spark.range(n).selectExpr("'s' AS session_id", "format_string('agent_%05d', id) AS id", "1 AS priority",
+                                    "timestamp_ntz'2024-01-01 00:00:00' AS last_accessed", "true AS is_active")
+    small = spark.range(30).selectExpr("concat('t', id % 3) AS session_id", "concat('x', id) AS id", "1 AS priority",
+                                       "timestamp_ntz'2024-01-01 00:00:00' AS last_accessed", "true AS is_active")
+    lone = spark.range(2).selectExpr("CAST(NULL AS STRING) AS session_id", "concat('n', id) AS id", "CAST(NULL AS INT) AS priority",
+                                     "CAST(NULL AS TIMESTAMP_NTZ) AS last_accessed", "true AS is_active")
+    names = ["spark.sql.adaptive.coalescePartitions.enabled"]
+    spark.conf.set(names[0], "false")
+    try:
+        placed = R.ranked_items(hot.unionByName(small).unionByName(lone)).collect()
+        sizes = [r["count"] for r in R.positions(hot.select("session_id", "id"), ["session_id"], [F.asc("id")])
+                 .groupBy(F.floor((F.col("position") - 1) / (n / 8))).count().collect()]
+        spread = hot.repartitionByRange("session_id", F.asc("id")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(names[0])
+    assert len(sizes) == 8 and max(r["count"] for r in spread) < n / 4
+    got = sorted((r["position"], r["id"]) for r in placed if r["session_id"] == "s")
+    assert got == [(i + 1, f"agent_{i:05d}") for i in range(n)]
+    assert sorted(r["position"] for r in placed if r["session_id"] == "t1") == list(range(1, 11))
+    assert sorted((r["position"], r["id"]) for r in placed if r["session_id"] is None) == [(1, "n0"), (2, "n1")]
+    assert R.ranked_items(small.where("false")).collect() == []
 
 
 def test_null_order_of_limits(spark):
@@ -334,14 +359,24 @@ def test_export_pages(spark):
         F.col("id").cast("int").alias("priority"), F.lit(0).alias("access_count"),
         F.lit(when).cast("timestamp_ntz").alias("last_accessed"), F.lit(True).alias("is_active"),
     )
-    states = spark.createDataFrame([('s"1', 5), ("s2", 0)], "session_id string, used_context int")
+    states = spark.createDataFrame(
+        [('s"1', "m", 9, 5, 4, 55.5), ("s2", "m", 9, 0, 9, 0.0)],
+        "session_id string, model_name string, total_context_length int, used_context_length int, available_context_length int, context_utilization_percentage double",
+    )
+    usage = spark.createDataFrame([('s"1', 3, 4, 0.5)], "session_id string, input_tokens long, output_tokens long, total_cost double")
+    metrics = spark.createDataFrame([('s"1', '{"cache_hits":2}')], "session_id string, performance_metrics string")
+    chosen = spark.createDataFrame([("s2", "slm", True, None)], "session_id string, memory_approach string, use_slm boolean, use_lora_finetuning boolean")
+    states = E.state_sections(states, usage, metrics, AS_OF, chosen)
     empty = items.where("false").select("session_id", "id", "priority", F.col("last_accessed").alias("created_at"), "is_active")
     pages = E.export_state(states, items, empty, empty, empty, page_rows=10)
     docs = [json.loads(r["document"]) for r in pages.orderBy("session_id", "section", "page").collect()]
-    rows = [row for d in docs if d["section"] == "active_memory_items" for row in d["body"]]
+    rows = [row for d in docs if d["section"] == ITEMS_SECTION for row in d["body"]]
     assert [r["priority"] for r in rows] == list(range(24, -1, -1)) and "full_content" not in rows[0]
-    assert sorted(d["page"] for d in docs if d["section"] == "active_memory_items") == [0, 1, 2]
-    assert [d["body"] for d in docs if d["session_id"] == "s2"] == [{"used_context": 0}]
+    assert sorted(d["page"] for d in docs if d["section"] == ITEMS_SECTION) == [0, 1, 2]
+    own = {d["session_id"]: d["body"] for d in docs if d["section"] == "session_state"}
+    assert own['s"1'][STATE_FIELD]["token_usage"] == {"input_tokens": 3, "output_tokens": 4, "total_cost": 0.5}
+    assert own['s"1'][STATE_FIELD]["performance_metrics"] == {"cache_hits": 2} and own["s2"][STATE_FIELD]["token_usage"] == {}
+    assert (own["s2"]["use_slm"], own["s2"]["use_lora_finetuning"]) == (True, False)
     path = shared_folder(spark, "test-export")
     E.write_export(pages, path)
     assert E.read_export(spark, path).count() == len(docs)
