@@ -116,19 +116,20 @@ def _take(best: _Best, ids: pa.Array, vectors: pa.Array) -> None:
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], scope: str) -> pa.RecordBatch:
     query_ids, ids, distances = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays(
         [
             pa.array(query_ids, pa.string()),
             pa.array(ids, pa.string()),
             pa.array(distances, pa.float64(), from_pandas=False),
+            pa.array([scope] * len(ids), pa.string()),
         ],
-        names=["query_id", "id", "distance"],
+        names=["query_id", "id", "distance", "scope"],
     )
 
 
-_FOUND = "query_id string, id string, distance double"
+_FOUND = "query_id string, id string, distance double, scope string"
 
 
 def _query_matrix(vectors: Sequence) -> np.ndarray:
@@ -158,8 +159,8 @@ def _search_small(queries: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
                     best[scope] = _Best(*by_scope[scope], k)
                 rows = pa.array(rows)
                 _take(best[scope], batch.column("id").take(rows), batch.column("embedding").take(rows))
-        for found in best.values():
-            yield _batch(list(found.rows()))
+        for scope, found in best.items():
+            yield _batch(list(found.rows()), scope)
 
     asked = items.where(F.col("scope").isin(list(by_scope)))
     return asked.mapInArrow(score, _FOUND)
@@ -199,6 +200,7 @@ def _search_grouped(
 
     def score(asked: pa.Table, held: pa.Table) -> pa.Table:
         rows: list[tuple] = []
+        scope = asked.column("scope")[0].as_py() if asked.num_rows else ""
         if asked.num_rows and held.num_rows:
             best = _Best(
                 asked.column("query_id").to_pylist(), _query_matrix(asked.column("embedding").to_pylist()), k
@@ -206,7 +208,7 @@ def _search_grouped(
             for batch in held.to_batches():
                 _take(best, batch.column("id"), batch.column("embedding"))
             rows = list(best.rows())
-        return pa.Table.from_batches([_batch(rows)])
+        return pa.Table.from_batches([_batch(rows, scope)])
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, _FOUND)
 
@@ -219,8 +221,9 @@ def nearest(
     scope: str | None = None,
     max_queries: int = MAX_QUERIES,
     group_rows: int = GROUP_ROWS,
+    keep_scope: bool = False,
 ) -> DataFrame:
-    """(query_id, id, distance, position) of the k nearest items of each query.
+    """(query_id, id, distance, position) of the k nearest items of each query, with ``keep_scope`` the scope too.
 
     ``queries`` has (query_id, embedding) and the scope column if one is given;
     a query then sees only items of its own scope. At most ``max_queries``
@@ -242,13 +245,19 @@ def nearest(
         found = _search_small(asked.toPandas(), held, k)
     else:
         found = _search_grouped(asked, held, k, group_rows, max_queries)
+    found = found.withColumnRenamed("scope", scope) if keep_scope and scope else found.drop("scope")
     ranked = top_per_group(found, ["query_id"], [F.asc_nulls_last("distance"), F.asc("id")], k)
     return F.broadcast(ranked) if small and n * k <= MAX_FOUND_ROWS else ranked
 
 
-def hydrate(found: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Found ids with their rows; ids without a row are dropped."""
-    return found.withColumnRenamed("id", key).join(table, key)
+def hydrate(found: DataFrame, table: DataFrame, key: str, scope: str | None = None) -> DataFrame:
+    """Found ids with their rows; ids without a row are dropped.
+
+    With a scope the rows are met by scope and id: of a table partitioned by the
+    scope (sessions, say) only the partitions of found rows are then read, as
+    Spark prunes them by the broadcast side at run time.
+    """
+    return found.withColumnRenamed("id", key).join(table, key if scope is None else [scope, key])
 
 
 def search_items(
@@ -261,8 +270,8 @@ def search_items(
 ) -> DataFrame:
     """Nearest active items in each query's session; items without a vector come last."""
     held = searchable_items(items, content_types=content_types)
-    found = nearest(queries, held, k, "id", scope="session_id", **bounds)
-    return hydrate(found, items, "id") if whole_rows else found
+    found = nearest(queries, held, k, "id", scope="session_id", keep_scope=whole_rows, **bounds)
+    return hydrate(found, items, "id", "session_id") if whole_rows else found
 
 
 def search_conversations(queries: DataFrame, conversations: DataFrame, k: int = 5, **bounds) -> DataFrame:

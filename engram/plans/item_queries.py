@@ -9,6 +9,7 @@ from engram.functions import vectors as VEC
 from engram.operators import aggregates as A
 from engram.operators import folds as FO
 from engram.operators import ingest as I
+from engram.operators import list_index as LI
 from engram.operators import maintenance as M
 from engram.operators import packing as P
 from engram.operators import search as SE
@@ -17,11 +18,12 @@ from engram.plans import views as V
 from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.plans.sql_views import AS_OF_SQL
 from engram.policy import model_limits
+from engram.sources.shared import shared_folder
 
 PACKING_MODEL = "gpt-4"
 BUDGET = model_limits(PACKING_MODEL).packing_budget
 QUERY_TEXT = "the history of the earth and its people"
-LISTS, PROBES = 16, 6
+LISTS, PROBES, INDEX_PROBES = 16, 6, 14
 _QUERY_SQL = f"SELECT '{QUERY_TEXT}' AS asked"
 
 
@@ -385,6 +387,37 @@ def v4_recall(spark, d):
     return SE.recall(_approx(spark, d), exact).withColumn("recall", r6(F.col("recall")))
 
 
+def _index(spark, d, path):
+    items = V.memory_items(spark, d, vectors=True).where("is_active AND embedding IS NOT NULL")
+    return LI.build_list_index(items, path, scope="session_id", lists=LISTS)
+
+
+@query(
+    "v1_search_items_pruned",
+    f"""SELECT query_id, id, round(distance, 6) + 0.0 AS distance, position
+    FROM ({_NEAREST_ITEMS} AND embedding IS NOT NULL) WHERE position <= 5""",
+    ["vector_queries", "memory_items"],
+)
+def v1_pruned(spark, d):
+    index = _index(spark, d, shared_folder(spark, "list-index"))
+    found = LI.search_index_exact(V.vector_queries(spark, d), index, 5, scope="session_id").found
+    return found.withColumn("distance", r6(F.col("distance")))
+
+
+@query(
+    "v4_index_recall",
+    f"""SELECT count(*) AS n_exact, TRUE AS reached FROM ({_NEAREST_ITEMS} AND embedding IS NOT NULL) WHERE position <= 5""",
+    ["vector_queries", "memory_items"],
+)
+def v4_index_recall(spark, d):
+    """Compressed codes against exact search over the same stored rows: nine of ten exact hits at least."""
+    index = _index(spark, d, shared_folder(spark, "list-index"))
+    asked = V.vector_queries(spark, d)
+    approx = LI.search_index_approx(asked, index, 5, probes=INDEX_PROBES, scope="session_id")
+    exact = SE.nearest(asked, index.rows().withColumnRenamed("scope", "session_id"), 5, "id", scope="session_id")
+    return SE.recall(approx, exact).select("n_exact", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(
     "v5_score_chunks",
     f"""SELECT doc_id, position, round(s, 6) + 0.0 AS score,

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors as VEC
+from engram.operators import list_index as LI
 from engram.operators import search as S
 from engram.sources.shared import shared_folder
 
@@ -222,3 +223,66 @@ def test_empty_inputs(spark):
     assert S.search_items(asked.limit(0), df).count() == 0
     assert S.search_items(asked, df.limit(0)).count() == 0
     assert S.nearest(asked, df.limit(0), 3, "id", max_queries=1).count() == 0
+
+
+def index_items(spark, rng):
+    """Clustered vectors of three scopes with ties, repeated vectors, zero and missing ones."""
+    heads = rng.standard_normal((12, 16))
+    rows = []
+    for i in range(900):
+        v = heads[i % 12] + 0.2 * rng.standard_normal(16)
+        rows.append((f"i{i:04d}", f"s{0 if i % 3 else i % 2 + 1}", [float(x) for x in v]))
+    rows += [(f"t{i}", "s0", rows[5][2]) for i in range(9)] + [("z", "s0", [0.0] * 16), ("n", "s0", None), ("bad", "s0", [float("nan")] * 16)]
+    return rows, spark.createDataFrame(rows, "id string, session_id string, embedding array<float>")
+
+
+@pytest.mark.parametrize("block_rows", [40, 20_000])
+def test_pruned_search_equals_brute_force(spark, block_rows):
+    rng = np.random.default_rng(3)
+    rows, items = index_items(spark, rng)
+    index = LI.build_list_index(items, shared_folder(spark, "test-index"), scope="session_id", lists=12, sample_rows=500)
+    assert index.rows().count() == 909
+    asked = [(f"q{i}", s, v) for i, (_, s, v) in enumerate(rows[::7]) if v] + [("none", "s9", rows[0][2]), ("null", "s0", None)]
+    queries = spark.createDataFrame(asked, "query_id string, session_id string, embedding array<float>")
+    search = LI.search_index_exact(queries, index, 6, scope="session_id", block_rows=block_rows)
+    got = sorted((r["query_id"], r["position"], r["id"]) for r in search.found.collect())
+    usable = items.where("id NOT IN ('z', 'n', 'bad')")
+    want = S.nearest(queries.where("query_id NOT IN ('none')"), usable, 6, "id", scope="session_id")
+    assert got == sorted((r["query_id"], r["position"], r["id"]) for r in want.collect())
+    report = search.report().first()
+    lists = {r["scope"]: r["count"] for r in index.blocks().groupBy("scope").count().collect()}
+    assert report["skipped"] > 0.5 and report["n_met"] + report["n_pruned"] == sum(lists.get(a[1], 0) for a in asked if a[2])
+
+
+def test_index_scan_reads_probed_lists_only(spark):
+    rng = np.random.default_rng(4)
+    rows, items = index_items(spark, rng)
+    path = shared_folder(spark, "test-index")
+    LI.build_list_index(items, path, scope="session_id", lists=12, sample_rows=500)
+    index = LI.open_list_index(spark, path)
+    queries = spark.createDataFrame([("q", "s0", rows[1][2])], "query_id string, session_id string, embedding array<float>")
+    found = LI.search_index_approx(queries, index, 5, probes=2, scope="session_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list#" in plan and " IN (" in plan
+    many = spark.createDataFrame([(f"q{i}", s, v) for i, (_, s, v) in enumerate(rows[:300])], "query_id string, session_id string, embedding array<float>")
+    approx = LI.search_index_approx(many, index, 5, probes=4, rerank=8, scope="session_id")
+    exact = S.nearest(many, items.where("id NOT IN ('z', 'n', 'bad')"), 5, "id", scope="session_id")
+    assert S.recall(approx, exact).first()["recall"] >= 0.9
+    empty = LI.build_list_index(items.where("false"), shared_folder(spark, "test-index"), scope="session_id")
+    assert LI.search_index_exact(many, empty, 5).found.collect() == LI.search_index_approx(many, empty, 5).collect() == []
+
+
+def test_rows_are_fetched_from_the_sessions_found(spark):
+    """Of items stored by session only the partitions of found sessions are read, and an id of two sessions is kept apart."""
+    rng = np.random.default_rng(5)
+    rows = [(f"i{i % 50}", f"s{i // 50}", True, "t", f"text {i}", [float(x) for x in rng.standard_normal(4)]) for i in range(400)]
+    path = shared_folder(spark, "test-items")
+    schema = "id string, session_id string, is_active boolean, content_type string, full_content string, embedding array<float>"
+    spark.createDataFrame(rows, schema).write.partitionBy("session_id").parquet(path)
+    items = spark.read.schema(schema).parquet(path)
+    queries = spark.createDataFrame([("q", "s3", rows[151][5])], QUERIES)
+    found = S.search_items(queries, items, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    got = found.orderBy("position").collect()
+    assert len(got) == 3 and {r["session_id"] for r in got} == {"s3"} and got[0]["full_content"] == "text 151"
