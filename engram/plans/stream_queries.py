@@ -5,14 +5,10 @@ from pyspark.sql import functions as F
 from engram.plans import views as V
 from engram.plans.item_queries import PACKING_MODEL, arrivals
 from engram.plans.registry import query, r6, sql_stamp, stamp
-from engram.sources.shared import shared_folder
+from engram.sources.shared import settled, shared_folder
 from engram.streaming import rollups as RO
 from engram.streaming import stateful as ST
 
-# Batch and stream read the same rows; windows still open at the last watermark are not emitted.
-OPEN_AFTER = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
-
 def replay_session(spark):
     """A session of one shuffle partition per core.
 
@@ -30,12 +26,15 @@ def stream_of(spark, d, name):
     return replay_session(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def appended(spark, df, purpose):
-    """The rows a windowed stream appends, through a file sink."""
+def appended(spark, d, roll_up, purpose):
+    """All windows of a roll-up of the events: those the stream appends through a file sink, then those open at its end."""
     path = shared_folder(spark, purpose)
+    df = roll_up(stream_of(spark, d, "events"))
     writer = df.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
-    ST.start_available(writer, f"{path}/checkpoint").awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{path}/out")
+    query = ST.start_available(writer, f"{path}/checkpoint")
+    query.awaitTermination()
+    closed = spark.read.schema(df.schema).parquet(f"{path}/out")
+    return closed.unionByName(RO.still_open(roll_up(V.raw(spark, d, "events")), query, "window_end"))
 
 
 def finished(spark, writer, path):
@@ -49,13 +48,11 @@ def finished(spark, writer, path):
         round(sum(input_tokens / 1000 * cost_per_1k_input + output_tokens / 1000 * cost_per_1k_output), 9) AS total_cost,
         count(*) AS n_events
     FROM token_log JOIN models USING (model)
-    GROUP BY time_bucket(INTERVAL 1 HOUR, ts), session_id
-    HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= {OPEN_AFTER}""",
+    GROUP BY time_bucket(INTERVAL 1 HOUR, ts), session_id""",
     ["token_log", "models"],
 )
 def t1(spark, d):
-    usage = RO.usage_by_window(V.token_log(stream_of(spark, d, "events")))
-    return appended(spark, usage, "t1").select(
+    return appended(spark, d, lambda events: RO.usage_by_window(V.token_log(events)), "t1").select(
         stamp(F.col("window_start")).alias("window_start"),
         "session_id",
         "input_tokens",
@@ -140,18 +137,49 @@ def t4_alarms(spark, d):
 
 @query(
     "t5_daily_stats",
-    f"""SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS total_conversations, round(avg(value), 6) AS avg_importance
-    FROM events GROUP BY time_bucket(INTERVAL 1 DAY, ts), 1
-    HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {OPEN_AFTER}""",
+    """SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS total_conversations, round(avg(value), 6) AS avg_importance,
+        TRUE AS users_within_error
+    FROM events GROUP BY 1""",
 )
 def t5(spark, d):
-    """The approximate distinct users are left out here: SQL has no equal sketch."""
-    said = stream_of(spark, d, "events").select(
-        F.col("ts").alias("created_at"), F.col("value").alias("importance_score"), "user_id"
-    )
-    daily = appended(spark, RO.daily_conversation_stats(said), "t5")
-    return daily.select(
+    """Approximate distinct users are held against the exact count: within three of the stated errors, or one user."""
+    error = 0.05
+
+    def said(events):
+        return events.select(F.col("ts").alias("created_at"), F.col("value").alias("importance_score"), "user_id")
+
+    daily = appended(spark, d, lambda events: RO.daily_conversation_stats(said(events), error=error), "t5")
+    exact = V.raw(spark, d, "events").groupBy(F.to_date("ts").alias("date")).agg(F.countDistinct("user_id").alias("n"))
+    within = F.abs(F.col("unique_users") - F.col("n")) <= F.greatest(F.lit(1.0), 3 * error * F.col("n"))
+    return daily.join(exact, "date").select(
         F.col("date").cast("string").alias("date"),
         "total_conversations",
         r6(F.col("avg_importance")).alias("avg_importance"),
+        within.alias("users_within_error"),
     )
+
+
+@query(
+    "t5_distinct_users",
+    """SELECT unit, strftime(start, '%Y-%m-%d') AS start, count(DISTINCT user_id) AS n_exact, TRUE AS within_error
+    FROM (SELECT 'week' AS unit, date_trunc('week', ts) AS start, user_id FROM events
+        UNION ALL SELECT 'month', date_trunc('month', ts), user_id FROM events) GROUP BY 1, 2""",
+)
+def t5_users(spark, d):
+    """Daily sketches, of a stream and of the table for the days it left open, united by week and month."""
+
+    def said(events):
+        return events.select(F.col("ts").alias("created_at"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"))
+
+    daily = settled(appended(spark, d, lambda events: RO.daily_user_sketches(said(events)), "t5-users"), "user-sketches")
+    events = V.raw(spark, d, "events")
+
+    def held(unit):
+        start = F.to_date(F.date_trunc(unit, "ts")).alias("start")
+        exact = events.groupBy(start).agg(F.countDistinct("user_id").alias("n_exact"))
+        # Four standard errors of a sketch of this size.
+        within = F.abs(F.col("users") - F.col("n_exact")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 2 ** (RO.SKETCH_BITS / 2) * F.col("n_exact"))
+        both = RO.distinct_users(daily, unit).join(exact, "start")
+        return both.select(F.lit(unit).alias("unit"), F.col("start").cast("string").alias("start"), "n_exact", within.alias("within_error"))
+
+    return held("week").unionByName(held("month"))

@@ -6,18 +6,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from engram.operators.filters import newest
 from engram.operators.ingest import ingest_items
 from engram.operators.ranking import top_per_group
 from engram.policy import POLICY, model_limits
-from engram.streaming.batch_log import read_batches, write_batch
+from engram.streaming.batch_log import TieredLog, write_batch
 
 ACCESS = "item_id string, session_id string, reads long, last_read timestamp_ntz"
 RING = "user_id string, conversation_id string, created_at timestamp_ntz, summary string"
 USAGE = "session_id string, used long"
 RING_SALTS = 8
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def start_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
@@ -25,77 +26,93 @@ def start_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def access_log(spark: SparkSession, path: str) -> TieredLog:
+    """Reads and last read per item and batch, summed where batches are folded."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("item_id", "session_id").agg(
+            F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"), F.max("batch_id").alias("batch_id")
+        )
+
+    return TieredLog(spark, path, ACCESS, fold)
+
+
 def access_counts(log: DataFrame, path: str) -> DataStreamWriter:
-    """Reads and last read per item and batch, written to a batch log."""
+    """Reads and last read per item and batch, written to a tiered log."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         counted = batch.groupBy("item_id", "session_id").agg(
             F.count(F.lit(1)).alias("reads"), F.max("ts").alias("last_read")
         )
-        write_batch(counted, path, batch_id)
+        access_log(batch.sparkSession, path).write(counted, batch_id)
 
     return log.writeStream.foreachBatch(save)
 
 
 def access_totals(spark: SparkSession, path: str) -> DataFrame:
     """Running totals over all batches so far."""
-    return (
-        read_batches(spark, path, ACCESS)
-        .groupBy("item_id", "session_id")
-        .agg(F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"))
-    )
-
+    return access_log(spark, path).totals()
 
-def compact_access(spark: SparkSession, path: str, new_path: str, upto: int) -> None:
-    """A new log whose batch -1 holds the totals up to batch ``upto``, later batches copied.
 
-    The last batch of a log can be replayed by its stream and then replaces its
-    folder, so ``upto`` has to be an earlier one.
-    """
-    rows = read_batches(spark, path, ACCESS)
-    last = rows.agg(F.max("batch_id").alias("last")).first()["last"]
-    if last is None or upto >= last:
-        raise ValueError(f"batch {upto} can still be replayed; the last one in the log is {last}")
-    folded = (
-        rows.where(F.col("batch_id") <= upto)
-        .groupBy("item_id", "session_id")
-        .agg(F.sum("reads").alias("reads"), F.max("last_read").alias("last_read"))
-        .withColumn("batch_id", F.lit(-1).cast("bigint"))
-    )
-    later = rows.where(F.col("batch_id") > upto)
-    folded.unionByName(later).write.mode("errorifexists").partitionBy("batch_id").parquet(new_path)
-
-
-def ring_updates(conversations: DataFrame, n: int = POLICY.ring_size, salts: int = RING_SALTS) -> DataFrame:
-    """The last n conversations per (user, salt), emitted whenever they change.
+class Ring(StatefulProcessor):
+    """The last n conversations of a key in map state, an entry per conversation; emits what changed in it.
 
-    A user is cut into ``salts`` rings so that a busy one is kept by several
-    tasks; the last n of the user are among the rings' rows (``last_n_of``).
+    A conversation seen again replaces its entry. With a time to live, entries
+    not touched for so long (processing time) leave the state by themselves.
     """
 
-    def keep(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["conversation_id", "created_at", "summary"]
-        ring = pd.DataFrame(dict(zip(columns, state.get))) if state.exists else pd.DataFrame(columns=columns)
-        for chunk in chunks:
-            arrived = chunk[columns].assign(
-                created_at=chunk["created_at"].astype("datetime64[us]").astype("int64")
-            )
-            ring = arrived if ring.empty else pd.concat([ring, arrived])
-            ring = (
-                ring.drop_duplicates("conversation_id", keep="last")
-                .sort_values(["created_at", "conversation_id"], ascending=[False, True])
-                .head(n)
-            )
-        state.update(tuple(ring[c].tolist() for c in columns))
+    def __init__(self, n: int, ttl_ms: int | None):
+        self.n, self.ttl_ms = n, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        value = "created_at long, summary string"
+        self.held = handle.getMapState("ring", "conversation_id string", value, self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ring = {k[0]: (v[0], v[1]) for k, v in self.held.iterator()} if self.held.exists() else {}
+        before = dict(ring)
+        for chunk in rows:
+            times = chunk["created_at"].astype("datetime64[us]")
+            # A time that is missing is the newest, as in every falling order.
+            micros = [None if t is pd.NaT else int(t.value // 1000) for t in times.map(pd.Timestamp)]
+            arrived = zip(chunk["conversation_id"], micros, chunk["summary"], strict=True)
+            ring.update((c, (t, None if pd.isna(s) else s)) for c, t, s in arrived)
+            first = sorted(ring, key=lambda c: (ring[c][0] is not None, -(ring[c][0] or 0), c))[: self.n]
+            ring = {c: ring[c] for c in first}
+        for gone in before.keys() - ring.keys():
+            self.held.removeKey((gone,))
+        changed = [c for c in ring if before.get(c) != ring[c]]
+        for c in changed:
+            self.held.updateValue((c,), ring[c])
+        user = key[0]
         yield pd.DataFrame(
             {
-                "user_id": pd.Series([key[0]] * len(ring), dtype=object),
-                "conversation_id": ring["conversation_id"].to_numpy(),
-                "created_at": ring["created_at"].to_numpy().astype("datetime64[us]"),
-                "summary": ring["summary"].to_numpy(),
+                "user_id": pd.Series([user] * len(changed), dtype=object),
+                "conversation_id": pd.Series(changed, dtype=object),
+                "created_at": pd.Series([pd.NaT if ring[c][0] is None else pd.Timestamp(ring[c][0], unit="us") for c in changed], dtype="datetime64[us]"),
+                "summary": pd.Series([ring[c][1] for c in changed], dtype=object),
             }
         )
 
+    def close(self) -> None:
+        pass
+
+
+def ring_updates(
+    conversations: DataFrame, n: int = POLICY.ring_size, salts: int = RING_SALTS, ttl_ms: int | None = None
+) -> DataFrame:
+    """Conversations that come into, or change in, the last n per (user, salt).
+
+    A user is cut into ``salts`` rings so that a busy one is kept by several
+    tasks; the last n of the user are among the rings' rows (``last_n_of``).
+    State is kept in RocksDB, entry by entry: what a batch does not change is
+    neither read into Python's memory for other keys nor written again.
+    """
+    conf = conversations.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if ttl_ms is not None:
+        # A stream by processing time would otherwise run empty batches without end; entries expire with the next rows.
+        conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     salted = conversations.select(
         "user_id",
         F.pmod(F.xxhash64("conversation_id"), F.lit(salts)).alias("salt"),
@@ -103,32 +120,39 @@ def ring_updates(conversations: DataFrame, n: int = POLICY.ring_size, salts: int
         "created_at",
         "summary",
     )
-    return salted.groupBy("user_id", "salt").applyInPandasWithState(
-        keep,
-        RING,
-        "ids array<string>, times array<bigint>, summaries array<string>",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    mode = "None" if ttl_ms is None else "ProcessingTime"
+    return salted.groupBy("user_id", "salt").transformWithStateInPandas(Ring(n, ttl_ms), RING, "Update", mode)
+
 
+def ring_batches(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> TieredLog:
+    """Ring changes per batch; folded to the newest state of each user's last n."""
 
-def ring_log(conversations: DataFrame, path: str, n: int = POLICY.ring_size) -> DataStreamWriter:
+    def fold(rows: DataFrame) -> DataFrame:
+        state = F.max_by(F.struct("created_at", "summary", "batch_id"), F.struct("batch_id", "created_at", "summary")).alias("s")
+        seen = rows.groupBy("user_id", "conversation_id").agg(state)
+        states = seen.select("user_id", "conversation_id", "s.created_at", "s.summary", "s.batch_id")
+        return top_per_group(states, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n).drop("position")
+
+    return TieredLog(spark, path, RING, fold)
+
+
+def ring_log(
+    conversations: DataFrame, path: str, n: int = POLICY.ring_size, ttl_ms: int | None = None
+) -> DataStreamWriter:
     def save(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, path, batch_id)
+        ring_batches(batch.sparkSession, path, n).write(batch, batch_id)
 
-    return ring_updates(conversations, n).writeStream.outputMode("update").foreachBatch(save)
+    return ring_updates(conversations, n, ttl_ms=ttl_ms).writeStream.outputMode("update").foreachBatch(save)
 
 
 def last_n_of(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> DataFrame:
     """The last n conversations per user out of the written rings; of one seen again its newest state counts."""
-    newest_state = F.max_by(F.struct("created_at", "summary"), F.struct("batch_id", "created_at", "summary")).alias("s")
-    seen = read_batches(spark, path, RING).groupBy("user_id", "conversation_id").agg(newest_state)
-    rows = seen.select("user_id", "conversation_id", "s.created_at", "s.summary")
+    rows = ring_batches(spark, path, n).totals()
     return top_per_group(rows, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n)
 
 
 def ingest_stream(new_items: DataFrame, model: str, items_path: str, usage_path: str) -> DataStreamWriter:
-    """Each batch is ingested with what its sessions used before it.
+    """Each batch is ingested with what its sessions used before it, read from the tiers of the usage log.
 
     The batch's own totals are read back from the written items, so the texts
     are summarized once.
@@ -136,19 +160,26 @@ def ingest_stream(new_items: DataFrame, model: str, items_path: str, usage_path:
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = session_usage(spark, usage_path, before=batch_id)
-        done = ingest_items(batch, model, prior)
+        usage = usage_log(spark, usage_path)
+        done = ingest_items(batch, model, usage.totals(before=batch_id))
         write_batch(done, items_path, batch_id)
         written = spark.read.schema(done.schema).parquet(f"{items_path}/batch_id={batch_id}")
-        used = written.groupBy("session_id").agg(F.sum("compressed_token_count").alias("used"))
-        write_batch(used, usage_path, batch_id)
+        usage.write(written.groupBy("session_id").agg(F.sum("compressed_token_count").alias("used")), batch_id)
 
     return new_items.writeStream.foreachBatch(save)
 
 
-def session_usage(spark: SparkSession, usage_path: str, before: int | None = None) -> DataFrame:
-    rows = read_batches(spark, usage_path, USAGE, before)
-    return rows.groupBy("session_id").agg(F.sum("used").alias("used"))
+def usage_log(spark: SparkSession, path: str) -> TieredLog:
+    """Tokens each session took per batch."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("session_id").agg(F.sum("used").alias("used"), F.max("batch_id").alias("batch_id"))
+
+    return TieredLog(spark, path, USAGE, fold)
+
+
+def session_usage(spark: SparkSession, usage_path: str) -> DataFrame:
+    return usage_log(spark, usage_path).totals()
 
 
 def utilization_alarms(spark: SparkSession, usage_path: str, model: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams against their batch forms, late rows and replayed batches."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from engram.operators.ingest import ingest_items
 from engram.sources.shared import shared_folder
 from engram.streaming import rollups as RO
 from engram.streaming import stateful as ST
-from engram.streaming.batch_log import read_batches, write_batch
+from engram.streaming.batch_log import TieredLog
 
 T0 = datetime(2024, 1, 1)
 LOG = "event_id string, session_id string, model string, input_tokens long, output_tokens long, ts timestamp_ntz"
@@ -70,17 +71,64 @@ def test_access_totals_parity_and_replay(spark):
         return {r["item_id"]: (r["reads"], r["last_read"]) for r in ST.access_totals(spark, where).collect()}
 
     assert got(f"{path}/log") == want
-    again = read_batches(spark, f"{path}/log", ST.ACCESS).where("batch_id = 1").drop("batch_id").collect()
-    write_batch(spark.createDataFrame(again, ST.ACCESS), f"{path}/log", 1)
+    log = ST.access_log(spark, f"{path}/log")
+    again = log.read().where("batch_id = 2").drop("batch_id").collect()
+    log.write(spark.createDataFrame(again, ST.ACCESS), 2)
     assert got(f"{path}/log") == want
-    ST.compact_access(spark, f"{path}/log", f"{path}/log2", 1)
-    assert got(f"{path}/log2") == want
-    last = read_batches(spark, f"{path}/log2", ST.ACCESS).where("batch_id = 2").drop("batch_id").collect()
-    write_batch(spark.createDataFrame(last, ST.ACCESS), f"{path}/log2", 2)
-    assert got(f"{path}/log2") == want
-    with pytest.raises(ValueError, match="replayed"):
-        ST.compact_access(spark, f"{path}/log", f"{path}/log3", 2)
-    assert read_batches(spark, f"{path}/log2", ST.ACCESS).select("batch_id").distinct().count() == 2
+
+
+def test_a_log_of_many_batches_is_read_from_few_folders(spark):
+    """120 batches: every read opens a bounded number of folders and sums all rows once, replays and lost runs included."""
+    path = shared_folder(spark, "test-log")
+
+    def fold(rows):
+        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.max("batch_id").alias("batch_id"))
+
+    log = TieredLog(spark, path, "k string, n long", fold, fan=4)
+    want, widest, retired = {}, 0, 0
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n long").coalesce(1)
+    for batch in range(120):
+        rows = one.selectExpr(f"concat(k, {batch % 3}) AS k", "n")
+        log.write(rows, batch)
+        for k, n in ((f"a{batch % 3}", 1), (f"b{batch % 3}", 2)):
+            want[k] = want.get(k, 0) + n
+        if batch % 20 == 19:
+            retired += log.retire()
+            widest = max(widest, len(list(log.cover(before=batch))))
+        if batch == 68:
+            # A run whose write was not committed does not count and is written again.
+            import os
+
+            os.remove(f"{path.removeprefix('file://')}/{log.name(1, 64)}/_SUCCESS")
+            assert {r["k"]: r["n"] for r in log.totals().collect()} == want
+            log.write(rows, batch)
+    assert widest <= 3 * 4 + 4
+    assert {r["k"]: r["n"] for r in log.totals().collect()} == want
+    assert retired > 80 and len(log.finished()) < 60
+    assert {r["k"]: r["n"] for r in log.totals().collect()} == want
+    log.write(rows, 119)
+    assert {r["k"]: r["n"] for r in log.totals().collect()} == want
+
+
+@pytest.mark.parametrize(("ttl", "second"), [(600_000, ["c2"]), (50, ["c2", "c3"])])
+def test_ring_entries_expire_and_only_changes_are_emitted(spark, ttl, second):
+    path = shared_folder(spark, "test-t3-ttl")
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    emitted = []
+
+    def step(name, rows):
+        put(spark, path, name, rows, ST.RING)
+        source = session.readStream.schema(ST.RING).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        rings = ST.ring_updates(source, 2, salts=1, ttl_ms=ttl)
+        emitted.clear()
+        run(rings.writeStream.outputMode("update").foreachBatch(lambda df, _: emitted.extend(r["conversation_id"] for r in df.collect())), path)
+        return sorted(emitted)
+
+    assert step("f0", [("u", "c0", T0 + timedelta(minutes=10), "s"), ("u", "c1", T0 + timedelta(minutes=9), "s")]) == ["c0", "c1"]
+    time.sleep(0.1)
+    # Of four the newest two are kept; where the first two have expired, there are only the new ones.
+    assert step("f1", [("u", "c2", T0 + timedelta(minutes=9, seconds=30), "s"), ("u", "c3", T0, "s")]) == second
 
 
 def test_rings_over_batches(spark):
@@ -136,6 +184,13 @@ def test_daily_stats_parity(spark):
     streamed = {r["date"]: r for r in spark.read.schema(df.schema).parquet(f"{path}/out").collect()}
     batch = {r["date"]: r for r in A.conversation_stats(spark.createDataFrame(rows, schema)).collect()}
     assert len(streamed) == 3 and set(streamed) < set(batch)
+    sketches = RO.daily_user_sketches(spark.createDataFrame(rows, schema))
+    # Sketches of two halves of a day unite to the day's users; rows without user do not count.
+    halves = [spark.createDataFrame(rows[k::2], schema) for k in (0, 1)]
+    parts = RO.daily_user_sketches(halves[0]).unionByName(RO.daily_user_sketches(halves[1]))
+    for unit, n in (("day", None), ("month", 9)):
+        whole, united = ({r["start"]: r["users"] for r in RO.distinct_users(s, unit).collect()} for s in (sketches, parts))
+        assert whole == united and (n is None or list(whole.values()) == [n])
     for day, row in streamed.items():
         assert row["total_conversations"] == batch[day]["total_conversations"] == 24
         assert abs(row["avg_importance"] - batch[day]["avg_importance"]) < 1e-9
