@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from engram.llm.bpe import KNOWN, WordEncoder
+from engram.llm.bpe import WordEncoder
 from engram.llm.common import settled
 from engram.llm.vocab import composed, lowered
 from engram.operators.spread import salts_for
@@ -24,7 +24,10 @@ END_ID = 2
 DEPTH = 6
 TRIES = 4
 ROUNDS = 200
-ROWS = 1024
+ROWS = 4096
+BYTES = 16 << 20
+# Words and pieces whose ids a task keeps, about 200 bytes each.
+KNOWN = 800_000
 # The pieces encoded in one text.
 JOINED = 1000
 
@@ -135,6 +138,17 @@ class Stored:
         return self.ids[at + np.arange(len(at))], lengths
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with bounded rows and bytes; one longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + BYTES, "right")), start + 1), start + ROWS)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def cut_documents(
     df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
@@ -150,8 +164,7 @@ def cut_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder(path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in slices(batch, 1):
                 owner, starts, lengths, sums, totals, pieces = [], [], [], [], [], []
                 coded, ends = encoder.rows(part.column(1))
                 first = 0
