@@ -10,12 +10,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from engram.functions.text import answer_after_marker
+from engram.functions.values import iso_timestamp
 from engram.functions.vectors import cosine_similarity, norm
 from engram.operators.filters import newest, searchable_items, trusted_facts
 from engram.operators.ranking import top_per_group
@@ -317,7 +318,10 @@ def stored_search(
     k: int = 5,
     user_id: str | None = None,
 ) -> DataFrame:
-    """(query_id, kind, position, id, text, score) of the kinds a query type asks for.
+    """(query_id, kind, position, id, text, score) and the serving fields of the kinds a query type asks for.
+
+    Conversations come with importance_score, topics and created_at (ISO text),
+    facts with confidence, tags and their conversation_id; the others are null.
 
     semantic: conversations and facts by vector; factual: facts only; temporal:
     conversations by shared topic (``queries`` then has a topics column).
@@ -337,7 +341,23 @@ def stored_search(
     return results[0] if len(results) == 1 else results[0].unionByName(results[1])
 
 
+# What a caller is served besides text and score: the column of each kind that has it.
+SERVED = {
+    "conversation_id": ("string", {"conversation", "fact"}),
+    "importance_score": ("double", {"conversation"}),
+    "topics": ("array<string>", {"conversation"}),
+    "created_at": ("string", {"conversation"}),
+    "confidence": ("double", {"fact"}),
+    "tags": ("array<string>", {"fact"}),
+}
+
+
 def _result(df: DataFrame, kind: str, key: str, text: str) -> DataFrame:
+    def served(name: str, type_name: str, kinds: set[str]) -> Column:
+        if kind not in kinds:
+            return F.lit(None).cast(type_name).alias(name)
+        return (iso_timestamp(F.col(name)) if name == "created_at" else F.col(name)).alias(name)
+
     return df.select(
         "query_id",
         F.lit(kind).alias("kind"),
@@ -345,6 +365,7 @@ def _result(df: DataFrame, kind: str, key: str, text: str) -> DataFrame:
         F.col(key).alias("id"),
         F.col(text).alias("text"),
         F.col("similarity").alias("score"),
+        *[served(name, *of) for name, of in SERVED.items()],
     )
 
 

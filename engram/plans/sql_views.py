@@ -102,7 +102,7 @@ VIEWS = {
         [],
         """SELECT CAST(l_orderkey AS VARCHAR) AS id,
             CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber * 10 END AS progress,
-            CASE WHEN l_linestatus = 'F' THEN 'completed' END AS status, l_shipdate AS ts,
+            CASE WHEN l_linestatus = 'F' THEN 'completed' END AS status, l_shipdate AS ts, l_partkey,
             row_number() OVER (PARTITION BY l_orderkey
                 ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq
         FROM lineitem""",

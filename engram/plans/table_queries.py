@@ -9,6 +9,7 @@ from engram.operators import aggregates as A
 from engram.operators import filters as L
 from engram.operators import joins as J
 from engram.operators import ranking as R
+from engram.operators import trigrams as TG
 from engram.operators.conversations import build_conversations, parsed_messages
 from engram.operators.export import export_state, state_sections
 from engram.operators.search import hydrate
@@ -17,7 +18,7 @@ from engram.plans.registry import query, r6, sql_stamp, stamp
 from engram.plans.sql_views import AS_OF_SQL
 from engram.policy import DEFAULT_SETTINGS, ITEMS_SECTION, STATE_FIELD
 from engram.sources import tables as S
-from engram.sources.shared import shared_folder
+from engram.sources.shared import settled, shared_folder
 from engram.sources.recent_entries import read_recent_entries, write_recent_entries
 
 WEEK_AGO = V.AS_OF - timedelta(days=7)
@@ -224,7 +225,7 @@ def s7(spark, d):
     f"""SELECT coalesce(b.conversation_id, c.conversation_id) AS conversation_id,
         coalesce(c.importance_score, b.importance_score) AS importance_score, b.summary,
         {sql_stamp(f"CASE WHEN b.conversation_id IS NULL THEN NULL WHEN c.conversation_id IS NULL THEN b.created_at ELSE {AS_OF_SQL} END")} AS updated_at
-    FROM convs b FULL JOIN (SELECT conversation_id, max(confidence) AS importance_score
+    FROM convs b FULL JOIN (SELECT conversation_id, arg_max(confidence, created_at) AS importance_score
         FROM memory_facts GROUP BY 1) c ON b.conversation_id = c.conversation_id""",
     ["convs", "memory_facts"],
 )
@@ -232,8 +233,9 @@ def s8(spark, d):
     base = V.conversations(spark, d).select(
         "conversation_id", "importance_score", "summary", F.col("created_at").alias("updated_at")
     )
-    changes = V.memory_facts(spark, d).groupBy("conversation_id").agg(F.max("confidence").alias("importance_score"))
-    return S.upsert(base, changes, "conversation_id", V.AS_OF).withColumn("updated_at", stamp(F.col("updated_at")))
+    changes = V.memory_facts(spark, d).select("conversation_id", F.col("confidence").alias("importance_score"), "created_at")
+    merged = S.upsert(base, changes, "conversation_id", V.AS_OF, order=["created_at"])
+    return merged.withColumn("updated_at", stamp(F.col("updated_at")))
 
 
 # ---- filters ----
@@ -302,6 +304,22 @@ def f6(spark, d):
     return L.facts_by_text(V.memory_facts(spark, d), "the").select("fact_id", "confidence", "fact")
 
 
+# Words of documents, a phrase, a wildcard, upper case, two characters, and one that no text has.
+PATTERNS = ["the", "on of", "e_t", "a%ing", "TION", "er", "zqxj"]
+
+
+@query(
+    "f6_facts_by_patterns",
+    f"""SELECT pattern, fact_id FROM (SELECT unnest({PATTERNS}) AS pattern) JOIN (
+        SELECT CAST(doc_id AS VARCHAR) AS fact_id, text AS fact FROM documents) ON fact ILIKE '%' || pattern || '%'""",
+)
+def f6_patterns(spark, d):
+    facts = V.raw(spark, d, "documents").select(F.col("doc_id").cast("string").alias("fact_id"), F.col("text").alias("fact"))
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    grams = settled(TG.trigrams(facts), "trigrams")
+    return TG.facts_by_patterns(facts, grams, patterns).select("pattern", "fact_id")
+
+
 @query(
     "f7_searchable_items",
     """SELECT id, session_id, content_type FROM memory_items

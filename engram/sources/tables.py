@@ -1,6 +1,6 @@
 """Reading tables, filling defaults, upserts and snapshots."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -79,20 +79,43 @@ def split_by_dimension(df: DataFrame, vector: str, dimension: int) -> tuple[Data
     return df.where(fits), df.where(~fits)
 
 
+def latest_changes(changes: DataFrame, key: str, order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one whole row per key, rejected rows).
+
+    With ``order`` the row with the greatest values of these columns counts, of
+    equally late ones the greatest as JSON, and the others are not rejects.
+    Without it nothing says which of several rows came last: all rows of a
+    repeated key are rejected. Rows without key are rejects.
+    """
+    rest = [c for c in changes.columns if c != key]
+    row = F.struct(*rest)
+    latest = F.any_value(row) if order is None else F.max_by(row, F.struct(*order, F.to_json(row)))
+    grouped = changes.where(F.col(key).isNotNull()).groupBy(key).agg(latest.alias("_row"), F.count(F.lit(1)).alias("_n"))
+    single = grouped if order is not None else grouped.where("_n = 1")
+    accepted = single.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in changes.columns])
+    broken = changes.where(F.col(key).isNull())
+    if order is None:
+        broken = broken.unionByName(changes.join(grouped.where("_n > 1").select(key), key, "left_semi").select(*changes.columns))
+    return accepted, broken
+
+
 def upsert(
-    base: DataFrame, changes: DataFrame, key: str, as_of: datetime, stamp: str | None = "updated_at"
+    base: DataFrame,
+    changes: DataFrame,
+    key: str,
+    as_of: datetime,
+    stamp: str | None = "updated_at",
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Base with changed rows replaced and new rows added.
 
     A null in a changed row leaves the old value. Of several changed rows of a
-    key each column takes its greatest value, so that the result has one row
-    per key. ``stamp`` is set to ``as_of``
-    on rows that were there before and matched; new rows keep their own value.
+    key the latest by ``order`` counts as a whole; without an order such keys
+    are left as they were (``latest_changes`` gives the rejects). ``stamp`` is
+    set to ``as_of`` on rows that were there before and matched; new rows keep
+    their own value.
     """
-    repeated = changes.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where((F.col("_rows") > 1) & F.col(key).isNotNull())
-    if not repeated.isEmpty():
-        rest = [c for c in changes.columns if c != key]
-        changes = changes.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(c).alias(c) for c in rest)).select(*changes.columns)
+    changes, _ = latest_changes(changes, key, order)
     b, c = base.alias("b"), changes.alias("c")
     old, new = F.col(f"b.{key}").isNotNull(), F.col(f"c.{key}").isNotNull()
     columns = []

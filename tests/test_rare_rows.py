@@ -17,7 +17,7 @@ from engram.operators.conversations import build_conversations, conversation_hea
 from engram.operators.ingest import ingest_items
 from engram.operators.packing import fit_to_window
 from engram.sources import shared
-from engram.sources.tables import upsert
+from engram.sources.tables import latest_changes, upsert
 
 T0 = datetime(2024, 1, 1)
 AS_OF = datetime(2024, 2, 2)
@@ -125,8 +125,20 @@ def test_repeated_keys(spark):
     assert [r["fact_id"] for r in L.facts_of(facts, keys).collect()] == ["f1"]
     assert [r["fact_id"] for r in J.cascade_delete(facts, keys).collect()] == ["f2"]
     base = spark.createDataFrame([("k", 1, T0)], "id string, n int, updated_at timestamp_ntz")
-    changes = spark.createDataFrame([("k", 2), ("k", 5), ("new", 7), ("new", None)], "id string, n int")
-    assert sorted((r["id"], r["n"]) for r in upsert(base, changes, "id", AS_OF).collect()) == [("k", 5), ("new", 7)]
+    rows = [("k", 2, 9, "a"), ("k", 5, 1, "z"), ("new", 7, 3, "x"), ("new", None, 4, "y"), ("one", 1, 1, "w"), (None, 1, 1, "v")]
+    changes = spark.createDataFrame(rows, "id string, n int, at int, note string")
+    base = base.withColumn("note", F.lit("old"))
+    # The latest row as a whole, not the greatest of each column; a null in it leaves what was there.
+    got = upsert(base, changes, "id", AS_OF, order=["at"]).collect()
+    assert sorted((r["id"], r["n"], r["note"]) for r in got) == [("k", 2, "a"), ("new", None, "y"), ("one", 1, "w")]
+    # Nothing says which row came last: the keys stay as they were and their rows are rejects.
+    got = upsert(base, changes, "id", AS_OF).collect()
+    assert sorted((r["id"], r["n"], r["note"]) for r in got) == [("k", 1, "old"), ("one", 1, "w")]
+    accepted, rejected = latest_changes(changes, "id")
+    assert accepted.count() == 1 and sorted((r["id"] or "", r["note"]) for r in rejected.collect()) == [
+        ("", "v"), ("k", "a"), ("k", "z"), ("new", "x"), ("new", "y")]
+    tied = spark.createDataFrame([("t", 1, 5, "a"), ("t", 2, 5, "b")], changes.schema)
+    assert [r["note"] for r in upsert(base.where("false"), tied, "id", AS_OF, order=["at"]).collect()] == ["b"]
 
 
 def test_the_shared_folder_is_the_one_that_is_set(spark):

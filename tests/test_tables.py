@@ -16,6 +16,7 @@ from engram.operators import filters as L
 from engram.operators import folds as FO
 from engram.operators import maintenance as M
 from engram.operators import ranking as R
+from engram.operators import trigrams as TG
 from engram.operators.conversations import build_conversations, conversation_headers, parsed_messages
 from engram.sources import tables as S
 from engram.sources.shared import shared_folder
@@ -427,3 +428,17 @@ def test_store_conversations(spark):
     got = {r["user_id"]: r for r in M.store_conversations(given, AS_OF).collect()}
     assert got["u"]["messages"][0]["role"] == "assistant" and got["u"]["topics"] == ["t"]
     assert got[None]["importance_score"] == 0.5 and got[None]["messages"][0]["content"] == "plain"
+
+
+def test_patterns_equal_a_nested_loop(spark):
+    texts = ["The quick brown fox", "100% sure", "a_b and a\\b", "QUICKLY done", "ab", "", None, "xquixck", "naïve Überfox", "the the the"]
+    facts = spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)] + [("f0b", texts[0])], "fact_id string, fact string")
+    patterns = ["quick", "THE", "q%k", "100\\%", "a\\_b", "a_b", "fox", "zzz", "ab", "%", "", "brown fox", "überfox", "'", "qui_k", None]
+    asked = spark.createDataFrame([(p,) for p in [*patterns, "fox"]], "pattern string")
+    got = sorted((r["pattern"], r["fact_id"]) for r in TG.facts_by_patterns(facts, TG.trigrams(facts), asked).collect())
+    want = []
+    for p in patterns:
+        if p is not None:
+            want += [(p, r["fact_id"]) for r in facts.where(F.col("fact").ilike(f"%{p}%")).collect()]
+    assert got == sorted(want) and ("q%k", "f7") in got and len(got) > 30
+    assert TG.facts_by_patterns(facts.where("false"), TG.trigrams(facts.where("false")), asked).collect() == []
