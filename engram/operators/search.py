@@ -321,7 +321,8 @@ def stored_search(
     """(query_id, kind, position, id, text, score) and the serving fields of the kinds a query type asks for.
 
     Conversations come with importance_score, topics and created_at (ISO text),
-    facts with confidence, tags and their conversation_id; the others are null.
+    facts with confidence, tags and their conversation_id; the others, and
+    columns the tables do not have, are null.
 
     semantic: conversations and facts by vector; factual: facts only; temporal:
     conversations by shared topic (``queries`` then has a topics column).
@@ -354,7 +355,7 @@ SERVED = {
 
 def _result(df: DataFrame, kind: str, key: str, text: str) -> DataFrame:
     def served(name: str, type_name: str, kinds: set[str]) -> Column:
-        if kind not in kinds:
+        if kind not in kinds or name not in df.columns:
             return F.lit(None).cast(type_name).alias(name)
         return (iso_timestamp(F.col(name)) if name == "created_at" else F.col(name)).alias(name)
 
