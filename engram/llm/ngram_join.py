@@ -14,7 +14,9 @@ from engram.llm.shingles import WORDS
 SHARE = 80  # per cent of the union
 COMMON = 64  # a token in more texts is of a frequent class
 COMMON_TOKENS = 1 << 18  # so many at most are; which are never changes results
-SLICE_TOKENS = 1 << 22
+SLICE_TOKENS = 1 << 20
+KNOWN_PAIRS = 1 << 17
+HOT_SHARE, HOT_SEEN, HOT_KEYS = 64, 64, 1 << 16
 SHORT_LIST = 8
 BLOCK = 2048
 ROWS = 1024
@@ -208,8 +210,13 @@ def signature_keys(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def indexed(hashed: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
-    """key, node: the index entries of all sets of two tokens or more; a task writes those of a node once."""
+def indexed(hashed: DataFrame, frequent: np.ndarray, words: int, hot: np.ndarray | None = None) -> DataFrame:
+    """key, node, salt: the index entries of all sets of two tokens or more; a task writes those of a node once.
+
+    Entries of ``hot`` keys, given in ascending order, carry one of ``HOT_SHARE`` salts from 1 by
+    their node, all others the salt 0.
+    """
+    hot = np.empty(0, np.int64) if hot is None else hot
     mask = np.uint64((1 << 20) - 1)
     maybe = np.zeros(1 << 20, bool)
     maybe[frequent & mask] = True
@@ -223,7 +230,12 @@ def indexed(hashed: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
 
     def entries(keys: list[np.ndarray], owners: list) -> pa.RecordBatch:
         owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "node"])
+        key = np.concatenate(keys).view(np.int64)
+        salt = np.zeros(len(key), np.int32)
+        if len(hot):
+            at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key)
+            salt[at] = 1 + owner[at] % HOT_SHARE
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(salt)], names=["key", "node", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -244,13 +256,25 @@ def indexed(hashed: DataFrame, frequent: np.ndarray, words: int) -> DataFrame:
                 if keys:
                     yield entries(keys, owners)
 
-    return hashed.mapInArrow(run, "key long, node long")
+    return hashed.mapInArrow(run, "key long, node long, salt int")
+
+
+def hot_keys(hashed: DataFrame, frequent: np.ndarray, words: int) -> np.ndarray:
+    """Keys of very long lists, in ascending order, as a fixed share of the rows shows them.
+
+    Their entries are dealt out by node too. Which keys are taken for hot never
+    changes results: every list is worked through, whatever its length.
+    """
+    some = indexed(hashed.where(F.pmod(F.xxhash64("key", F.lit("hot")), F.lit(HOT_SHARE)) == 0), frequent, words)
+    seen = some.groupBy("key").count().where(F.col("count") >= HOT_SEEN)
+    return np.sort(np.array([r["key"] for r in seen.orderBy(F.desc("count"), "key").limit(HOT_KEYS).collect()], np.int64))
 
 
 def shared_lists(index: DataFrame) -> DataFrame:
     """Entries of keys that two nodes or more have: kind 0 with a, b as a pair from a short list, kind 1 with a = key, b = node.
 
     Entries come sorted, so a task holds only the short beginning of a list.
+    Entries of hot keys, dealt out by salts, are passed on as those of long lists.
     """
     names = ["kind", "a", "b"]
 
@@ -274,7 +298,7 @@ def shared_lists(index: DataFrame) -> DataFrame:
                 a, b = np.triu_indices(length, 1)
                 left, right = node[begin[:, None] + a].ravel(), node[begin[:, None] + b].ravel()
                 new = [p for p in zip(left.tolist(), right.tolist(), strict=True) if p not in known]
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_PAIRS:
                     known = set()
                 new = list(dict.fromkeys(new))
                 known.update(new)
@@ -285,6 +309,12 @@ def shared_lists(index: DataFrame) -> DataFrame:
                 yield rows(1, key[many], node[many])
 
         for batch in batches:
+            hot = batch.column(2).to_numpy() > 0
+            if hot.any():
+                key, node = (batch.column(c).to_numpy()[hot] for c in range(2))
+                single = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+                yield rows(1, key[single], node[single])
+                batch = batch.filter(pa.array(~hot))
             if not batch.num_rows:
                 continue
             key = np.concatenate([last_key, batch.column(0).to_numpy()])
@@ -310,7 +340,7 @@ def shared_lists(index: DataFrame) -> DataFrame:
         if len(last_key):
             yield from pairs(last_key, last_node)
 
-    return index.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long")
+    return index.repartition("key", "salt").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long")
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -379,12 +409,12 @@ def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
     """a, b, linked: the verdict on the whole sets of each pair.
 
-    A set is fetched from the text with its node's smallest key, and moved once
-    to all its pairs.
+    A set is fetched from the text with its node's smallest key, written to the
+    shared folder, as both sides of the pairs read it, and moved once to all its pairs.
     """
     reps = briefs.select("node", F.col("rep").alias("key"))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("key")
-    whole = needed_sets(hashed, keys, words)
+    whole = settled(needed_sets(hashed, keys, words), "sets")
     left, right = (whole.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     total = F.size("a_tokens") + F.size("b_tokens")
@@ -392,35 +422,71 @@ def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int)
     return settled(verdicts, "links")
 
 
-def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components."""
-    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    joined = pairs.join(left, "a", "left").join(right, "b", "left")
-    return joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+def first_lists(entries: DataFrame) -> DataFrame:
+    """Of each node its entries in the lists of its least and its greatest key: texts that are alike often share them."""
+    ends = entries.groupBy("node").agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    return ends.select(F.explode(F.array_distinct(F.array("least", "most"))).alias("key"), "node")
+
 
+def open_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root: the entries of the lists that hold nodes of different components, whose root is given."""
+    rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = settled(rooted.select("key", "node", "root"), "rooted")
+    still = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    return settled(rooted.join(settled(still.select("key"), "open"), "key", "left_semi"), "entries")
 
-def blocked(entries: DataFrame) -> DataFrame:
-    """The entries of long lists, lists of more than ``BLOCK`` dealt out as pairs of blocks: every two entries meet."""
-    counts = entries.groupBy("key").count().where(F.col("count") > BLOCK)
-    blocks = counts.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(blocks, "key", "left").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.coalesce("blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    met = dealt.withColumn("other", other)
-    part = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return met.select(part.alias("part"), "node")
 
+def size_class(n: Column) -> Column:
+    """Sets that may be alike differ by a quarter in size, so their classes are the same or next to each other."""
+    return F.floor(F.log(n) / F.log(F.lit(1.26))).cast("int")
 
-def list_pairs(entries: DataFrame, briefs: DataFrame, roots: DataFrame | None, forest: bool) -> DataFrame:
-    """Pairs of long lists that sizes and bitmaps allow, between nodes of different components.
 
-    With ``forest`` a list gives only pairs that would join its components,
-    one less than its entries at most; else all.
+def dealt(rows: DataFrame, turn: int, every: bool) -> DataFrame:
+    """The entries with the part they are compared in and their side there.
+
+    A list of up to ``BLOCK`` entries is one part. A longer one is cut into size
+    classes and these into blocks, drawn anew each turn. Each block is a part,
+    and with ``every`` so are all two blocks of the same or of neighbouring
+    classes, where only entries of different sides meet. Without it each entry
+    is dealt once.
+    """
+    rows = rows.withColumn("class", size_class(F.col("n")))
+    sizes = settled(rows.groupBy("key", "class").agg(F.count("*").alias("entries")), "sizes")
+    large = sizes.groupBy("key").agg(F.sum("entries").alias("entries")).where(F.col("entries") > BLOCK).select("key")
+    cut = sizes.join(large, "key", "left_semi").select("key", "class", F.ceil(F.col("entries") / BLOCK).cast("int").alias("blocks"))
+    cut = settled(cut, "blocks")
+    around = cut
+    for step in (-1, 1):
+        other = cut.select("key", (F.col("class") - step).alias("class"), F.col("blocks").alias(f"blocks{step}"))
+        around = around.join(other, ["key", "class"], "left")
+    around = settled(around, "around")
+    own = F.pmod(F.xxhash64("key", "node", F.lit(turn)), F.col("blocks")).cast("int")
+    placed = rows.join(around, ["key", "class"], "left").withColumn("own", F.struct(F.col("class").alias("c"), own.alias("b")))
+    met = F.array("own")
+    if every:
+
+        def blocks_of(step: int, count: Column) -> Column:
+            numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(numbers, lambda b: F.struct((F.col("class") + step).alias("c"), b.alias("b")))
+
+        met = F.concat(*(blocks_of(step, F.col(name)) for step, name in ((-1, "blocks-1"), (0, "blocks"), (1, "blocks1"))))
+    placed = placed.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array("own")).otherwise(met)))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    part = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair)
+    side = F.when(F.col("blocks").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return placed.select(part.alias("part"), "n", "node", "root", "bitmap", side.alias("side"))
+
+
+def list_pairs(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -> DataFrame:
+    """Pairs of long lists that sizes and bitmaps allow, between nodes of different components; ``entries`` have their roots.
+
+    With ``forest`` a part of a list gives only pairs that would join its
+    components, one less than its entries at most, and every entry is in one
+    part; else all pairs.
     """
-    rooted = briefs.withColumn("root", F.col("node")) if roots is None else briefs.join(roots, "node", "left")
-    rows = blocked(entries).join(rooted.withColumn("root", F.coalesce("root", "node")), "node")
-    rows = rows.select("part", "n", "node", "root", "bitmap")
+    rows = dealt(entries.join(briefs.select("node", "n", "bitmap"), "node"), turn, every=not forest)
 
-    def compared(n: np.ndarray, node: np.ndarray, root: np.ndarray, bitmap: np.ndarray) -> tuple[list[int], list[int]]:
+    def compared(n: np.ndarray, node: np.ndarray, root: np.ndarray, bitmap: np.ndarray, side: np.ndarray) -> tuple[list[int], list[int]]:
         label = np.unique(root, return_inverse=True)[1]
         a, b = [], []
         if label.max(initial=0) == 0:
@@ -431,7 +497,7 @@ def list_pairs(entries: DataFrame, briefs: DataFrame, roots: DataFrame | None, f
             total = n[i] + n[j]
             differ = np.bitwise_count(bitmap[i] ^ bitmap[j]).sum(axis=1, dtype=np.int64)
             most = np.minimum((total - differ) // 2, n[i])
-            near = np.flatnonzero((most * (100 + SHARE) >= total * SHARE) & (label[j] != label[i]))
+            near = np.flatnonzero((most * (100 + SHARE) >= total * SHARE) & (label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 0)))
             if not len(near):
                 continue
             if forest:
@@ -454,11 +520,12 @@ def list_pairs(entries: DataFrame, briefs: DataFrame, roots: DataFrame | None, f
             table = table.combine_chunks()
             part, n, node, root = (table.column(c).to_numpy() for c in range(4))
             bitmap = flat(table.column(4).combine_chunks())[0].view(np.uint64).reshape(-1, BITMAP_WORDS)  # bits are counted of unsigned numbers
+            side = table.column(5).to_numpy()
             start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             for i, k in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True):
-                a, b = compared(n[i:k], node[i:k], root[i:k], bitmap[i:k])
+                a, b = compared(n[i:k], node[i:k], root[i:k], bitmap[i:k], side[i:k])
                 new = [p for p in {(min(p), max(p)) for p in zip(a, b, strict=True)} if p not in known]
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_PAIRS:
                     known.clear()
                 known.update(new)
                 if new:
@@ -492,36 +559,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     rows are rows of the same component; a row with a null key links with
     nothing and has a null component. Other columns are not looked at; no rows give no rows.
 
-    Texts are read three times: to outline the sets and find frequent tokens, to
-    index prefixes, and to fetch the sets of pairs that sizes and bitmaps allow.
-    Of long lists these pairs are first only those that would join components;
-    where one of them turns out not to, a fourth reading is for all pairs of long
-    lists that are then left between components.
+    Texts are read to outline the sets and find frequent tokens, to index
+    prefixes, and in each round to fetch the sets of pairs that sizes and bitmaps
+    allow. Two rounds take from long lists only pairs that would join components:
+    first from two lists of each node, then from all lists that still hold
+    different components. A last round, where anything is left for it, takes all
+    pairs that are then left between components.
     """
     hashed = hashed_words(df, key, text)
     outline = settled(outlined(hashed, words), "outline")
     rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"), "bitmap", "wide")
     often = outline.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > COMMON)
     frequent = np.array([r["a"] for r in often.orderBy(F.desc("n"), "a").limit(COMMON_TOKENS).collect()], np.int64).view(np.uint64)
+    frequent = np.sort(frequent)
 
-    shared = settled(shared_lists(indexed(hashed, np.sort(frequent), words)), "lists")
+    shared = settled(shared_lists(indexed(hashed, frequent, words, hot_keys(hashed, frequent, words))), "lists")
     entries = shared.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"))
     nodes = shared.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("b"))).alias("node")).distinct()
     described = [F.min("key").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bitmap", "wide"))]
     briefs = settled(rows.where("n > 1").join(nodes, "node", "left_semi").groupBy("node").agg(*described), "briefs")
-    short = shared.where("kind = 0").select("a", "b").distinct().withColumn("forest", F.lit(False))
-    forest = settled(list_pairs(entries, briefs, None, forest=True), "forest")
-    found = short.unionByName(forest.withColumn("forest", F.lit(True))).groupBy("a", "b").agg(F.max("forest").alias("forest"))
-    pairs = settled(likely(found, briefs), "pairs")
 
-    links = verified(pairs, briefs, hashed, words)
+    first = settled(first_lists(entries), "first").withColumn("root", F.col("node"))
+    found = shared.where("kind = 0").select("a", "b").unionByName(list_pairs(first, briefs, 0, forest=True)).distinct()
+    links = verified(settled(likely(found, briefs), "pairs"), briefs, hashed, words)
     roots = connected(links.where("linked"))
-    if not between(forest, roots).isEmpty():
-        crossing = likely(list_pairs(entries, briefs, roots, forest=False), briefs)
-        rest = settled(crossing.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, briefs, hashed, words))
+    for turn, forest in ((1, True), (2, False)):
+        entries = open_lists(entries, roots).select("key", "node", "root")
+        found = list_pairs(entries, briefs, turn, forest).join(links.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = settled(likely(found, briefs), "pairs")
+        if not pairs.isEmpty():
+            links = links.unionByName(verified(pairs, briefs, hashed, words))
             roots = connected(links.where("linked"))
+        entries = entries.select("key", "node")
 
     rows = rows.select("key", "node", "n").join(roots, "node", "left").select("key", "n", F.coalesce("root", "node").alias("root"))
     grouped = settled(rows, "roots")
