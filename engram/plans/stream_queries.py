@@ -22,8 +22,9 @@ def replay_session(spark):
 
 
 def stream_of(spark, d, name):
+    """A table as a stream, stored as one file or as a folder of files: only a pattern of paths may name either."""
     schema = V.raw(spark, d, name).schema
-    return replay_session(spark).readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return replay_session(spark).readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def appended(spark, d, roll_up, purpose):

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from engram.operators import aggregates as A
 from engram.operators.ingest import ingest_items
+from engram.plans import stream_queries  # noqa: F401
+from engram.plans.registry import QUERIES
 from engram.sources.shared import shared_folder
 from engram.streaming import rollups as RO
 from engram.streaming import stateful as ST
 from engram.streaming.batch_log import TieredLog
 
+SF_DIR = "/root/testdata/sf0.01"
 T0 = datetime(2024, 1, 1)
 LOG = "event_id string, session_id string, model string, input_tokens long, output_tokens long, ts timestamp_ntz"
 
@@ -174,6 +177,16 @@ def test_ingest_stream_equals_batch(spark):
     assert alarms == {r["session_id"] for r in used.where(F.col("u") / 8192 * 100 > 75).collect()}
 
 
+@pytest.mark.parametrize("name", ["t4_ingest_stream"])
+def test_a_table_in_many_files_is_streamed_whole(spark, name):
+    """The same rows, stored as one file and as a folder of files, give the same result."""
+    folder = shared_folder(spark, "test-folders")
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{SF_DIR}/{table}.parquet").repartition(3).write.parquet(f"{folder}/{table}.parquet")
+    of_file, of_folder = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in (SF_DIR, folder))
+    assert of_file == of_folder and of_file
+
+
 def test_daily_stats_parity(spark):
     path = shared_folder(spark, "test-t5")
     schema = "conversation_id string, created_at timestamp_ntz, importance_score double, user_id string"
