@@ -177,7 +177,7 @@ def test_ingest_stream_equals_batch(spark):
     assert alarms == {r["session_id"] for r in used.where(F.col("u") / 8192 * 100 > 75).collect()}
 
 
-@pytest.mark.parametrize("name", ["t4_ingest_stream"])
+@pytest.mark.parametrize("name", ["t4_ingest_stream", "t4_utilization_alarms"])
 def test_a_table_in_many_files_is_streamed_whole(spark, name):
     """The same rows, stored as one file and as a folder of files, give the same result."""
     folder = shared_folder(spark, "test-folders")
