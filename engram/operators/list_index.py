@@ -26,6 +26,8 @@ SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 20_000
 ROUNDS = 8
 MAX_LISTS = 4096
+PAIR_QUERIES = 256
+BLOCK_QUERIES = 64
 
 
 @dataclass
@@ -180,19 +182,29 @@ def asked_of(queries: DataFrame, scope: str | None) -> DataFrame:
 
 
 def search_index_approx(
-    queries: DataFrame, index: ListIndex, k: int, probes: int = 8, rerank: int = 8, scope: str | None = None
+    queries: DataFrame,
+    index: ListIndex,
+    k: int,
+    probes: int = 8,
+    rerank: int = 8,
+    scope: str | None = None,
+    max_queries: int = MAX_QUERIES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, id, distance, position) of about the k nearest rows of each query, distances exact.
 
-    At most MAX_QUERIES queries; larger sets take ``search_index_exact``. The
-    scan is cut to the lists some query probes; there the codes are scored by
-    lookup tables, and the best ``rerank * k`` rows of each query meet their
-    vectors.
+    The scan is cut to the lists some query probes; there the codes are scored
+    by lookup tables, and the best ``rerank * k`` rows of each query meet their
+    vectors. More than ``max_queries`` queries are not handed to the tasks but
+    dealt to the blocks of the lists they probe, as in ``search_index_exact``;
+    there the best ``rerank * k`` rows of each block meet their vectors.
     """
     asked = asked_of(queries, scope)
-    listed = asked.limit(MAX_QUERIES + 1).toPandas()
-    if len(listed) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: use search_index_exact")
+    listed = asked.limit(max_queries + 1).toPandas()
+    if len(listed) > max_queries and len(index.centres):
+        found = meet(probes_of(asked, index, probes, block_rows), index, k, block_rows, rerank * k)
+        best = top_per_group(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+        return best.select("query_id", "id", "distance", "position")
     dimension = index.centres.shape[1] if index.centres.ndim == 2 else 0
     if listed.empty or not len(index.centres):
         return index.spark.createDataFrame([], "query_id string, id string, distance double, position int")
@@ -250,6 +262,26 @@ def search_index_approx(
     return top_per_group(exact, ["query_id"], [F.asc("distance"), F.asc("id")], k)
 
 
+def probes_of(asked: DataFrame, index: ListIndex, probes: int, block_rows: int) -> DataFrame:
+    """Each query with the blocks of the ``probes`` lists of the nearest centres, as far as they have rows in its scope."""
+    centres = index.centres
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAIR_QUERIES):
+                part = batch.slice(start, PAIR_QUERIES)
+                unit, good = unit_rows(part.column(2).flatten().to_numpy(zero_copy_only=False), centres.shape[1])
+                lists = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes]
+                source = pa.array(np.repeat(np.flatnonzero(good), lists.shape[1]))
+                columns = [part.column(c).take(source) for c in range(3)] + [pa.array(lists.ravel(), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "scope", "embedding", "list"])
+
+    probed = asked.mapInArrow(choose, "query_id string, scope string, embedding array<float>, list int")
+    sizes = index.blocks().select("scope", "list", F.ceil(F.col("rows") / block_rows).cast("int").alias("salts"))
+    salt = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    return probed.join(sizes, ["scope", "list"]).select("query_id", "embedding", "scope", "list", salt)
+
+
 _PAIR = "query_id string, embedding array<float>, scope string, list int, salt int, pruned long, met long"
 
 
@@ -299,9 +331,11 @@ def pairs_of(asked: DataFrame, index: ListIndex, block_rows: int, first: bool) -
     return given.mapInArrow(choose, _PAIR)
 
 
-def meet(pairs: DataFrame, index: ListIndex, k: int, block_rows: int) -> DataFrame:
+def meet(pairs: DataFrame, index: ListIndex, k: int, block_rows: int, rerank: int | None = None) -> DataFrame:
     """(query_id, id, distance, list): the k nearest rows of each block a query meets.
 
+    With ``rerank`` they are looked for among so many rows of the best codes.
+
     Rows and queries of a block are dealt to one task and sorted, the rows
     first: the task holds one block of about ``block_rows`` rows and lets the
     queries pass in batches. No row is copied, and no number of queries has to
@@ -311,15 +345,28 @@ def meet(pairs: DataFrame, index: ListIndex, k: int, block_rows: int) -> DataFra
     asked = pairs.select("scope", "list").distinct()
     held = index.rows().join(asked.join(sizes, ["scope", "list"]), ["scope", "list"])
     block = ["scope", "list", "salt"]
+    none = F.lit(None).cast("binary").alias("code")
     rows = held.select(
-        "scope", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("id").alias("name"), "embedding"
+        "scope", "list", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("id").alias("name"), "embedding",
+        none if rerank is None else "code",
     )
-    queries = pairs.select(*block, F.lit(1).alias("kind"), F.col("query_id").alias("name"), "embedding")
+    queries = pairs.select(*block, F.lit(1).alias("kind"), F.col("query_id").alias("name"), "embedding", none)
     dealt = rows.unionByName(queries).repartition(*block).sortWithinPartitions(*block, "kind")
-    dimension = index.centres.shape[1]
+    centres, books = index.centres, index.codebooks
+    dimension = centres.shape[1]
+
+    def exact(unit: np.ndarray, vectors: np.ndarray, codes: np.ndarray, number: int) -> np.ndarray:
+        return 1.0 - unit @ vectors.T
+
+    def coded(unit: np.ndarray, vectors: np.ndarray, codes: np.ndarray, number: int) -> np.ndarray:
+        near = np.repeat((1.0 - unit @ centres[number])[:, None], len(codes), axis=1)
+        pieces = np.split(unit, np.cumsum([b.shape[1] for b in books])[:-1], axis=1)
+        for part, (piece, book) in enumerate(zip(pieces, books, strict=True)):
+            near -= (piece @ book.T)[:, codes[:, part]]
+        return near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, vectors, whole = None, [], [], None
+        current, ids, vectors, codes, whole = None, [], [], [], None
         for batch in batches:
             scopes, lists, salts, kinds = (batch.column(c).to_pylist() for c in range(4))
             start = 0
@@ -332,26 +379,30 @@ def meet(pairs: DataFrame, index: ListIndex, k: int, block_rows: int) -> DataFra
                 unit, good = unit_rows(part.column(5).flatten().to_numpy(zero_copy_only=False), dimension)
                 names = part.column(4).to_numpy(zero_copy_only=False)[good]
                 if key != current:
-                    current, ids, vectors, whole = key, [], [], None
+                    current, ids, vectors, codes, whole = key, [], [], [], None
                 if kinds[start] == 0:
                     ids.append(names)
                     vectors.append(unit)
+                    if rerank is not None:
+                        codes.append(np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(-1, len(books))[good])
                 elif ids:
                     if whole is None:
-                        whole = np.concatenate(ids), np.concatenate(vectors)
-                    yield from nearest_of(names, unit, *whole, key[1], k)
+                        whole = np.concatenate(ids), np.concatenate(vectors), np.concatenate(codes) if codes else np.empty((0, 0), np.uint8)
+                        ids, vectors, codes = [None], [], []
+                    yield from nearest_of(names, unit, *whole, key[1], k, exact if rerank is None else coded, rerank)
                 start = stop
 
     return dealt.mapInArrow(run, "query_id string, id string, distance double, list int")
 
 
-def nearest_of(names, unit, ids, vectors, list_number: int, k: int) -> Iterator[pa.RecordBatch]:
-    """The k nearest of the held rows for each query, equal distances by id."""
-    for start in range(0, len(names), 256):
-        distances = 1.0 - unit[start : start + 256] @ vectors.T
+def nearest_of(names, unit, ids, vectors, codes, list_number: int, k: int, score, rerank: int | None) -> Iterator[pa.RecordBatch]:
+    """The k nearest of the held rows for each query, equal distances by id; with ``rerank`` of the rows of so many best scores."""
+    wanted = k if rerank is None else rerank
+    for start in range(0, len(names), BLOCK_QUERIES):
+        asked = unit[start : start + BLOCK_QUERIES]
         out: list[tuple] = []
-        for name, own, line in zip(names[start : start + 256], unit[start : start + 256], distances, strict=True):
-            near = np.flatnonzero(line <= np.partition(line, k - 1)[k - 1] + SLACK) if len(line) > k else np.arange(len(line))
+        for name, own, line in zip(names[start : start + BLOCK_QUERIES], asked, score(asked, vectors, codes, list_number), strict=True):
+            near = np.flatnonzero(line <= np.partition(line, wanted - 1)[wanted - 1] + SLACK) if len(line) > wanted else np.arange(len(line))
             # Summed row by row, so that equal vectors are equally far whatever block they are in.
             exact = 1.0 - (vectors[near] * own).sum(axis=1)
             best = np.lexsort((ids[near].astype(str), exact))[:k]

@@ -268,6 +268,10 @@ def test_index_scan_reads_probed_lists_only(spark):
     approx = LI.search_index_approx(many, index, 5, probes=4, rerank=8, scope="session_id")
     exact = S.nearest(many, items.where("id NOT IN ('z', 'n', 'bad')"), 5, "id", scope="session_id")
     assert S.recall(approx, exact).first()["recall"] >= 0.9
+    for block_rows in (20, 20_000):
+        dealt = LI.search_index_approx(many, index, 5, probes=4, rerank=8, scope="session_id", max_queries=20, block_rows=block_rows)
+        assert S.recall(dealt, exact).first()["recall"] >= 0.9
+        assert dealt.groupBy("query_id").agg(F.countDistinct("position").alias("n")).where("n <> 5").isEmpty()
     empty = LI.build_list_index(items.where("false"), shared_folder(spark, "test-index"), scope="session_id")
     assert LI.search_index_exact(many, empty, 5).found.collect() == LI.search_index_approx(many, empty, 5).collect() == []
 
