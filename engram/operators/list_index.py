@@ -27,6 +27,7 @@ BLOCK_ROWS = 20_000
 ROUNDS = 8
 MAX_LISTS = 4096
 PAIR_QUERIES = 256
+PAIR_ROWS = 4096
 BLOCK_QUERIES = 64
 
 
@@ -285,6 +286,15 @@ def probes_of(asked: DataFrame, index: ListIndex, probes: int, block_rows: int)
 _PAIR = "query_id string, embedding array<float>, scope string, list int, salt int, pruned long, met long"
 
 
+def paired(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+    """Rows of a batch by number, each with a list, a salt and the two counts."""
+    source = pa.array([o[0] for o in out], pa.int64())
+    columns = [batch.column(c).take(source) for c in (0, 2, 1)]
+    columns += [pa.array([o[c] for o in out], pa.int32()) for c in (1, 2)]
+    columns += [pa.array([o[c] for o in out], pa.int64()) for c in (3, 4)]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "scope", "list", "salt", "pruned", "met"])
+
+
 def pairs_of(asked: DataFrame, index: ListIndex, block_rows: int, first: bool) -> DataFrame:
     """Each query with the blocks it has to meet.
 
@@ -301,32 +311,30 @@ def pairs_of(asked: DataFrame, index: ListIndex, block_rows: int, first: bool) -
     given = asked.join(shapes, "scope").select("query_id", "scope", "embedding", "lists", *extra)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
+        for batch in (b.slice(start, PAIR_QUERIES) for b in batches for start in range(0, b.num_rows, PAIR_QUERIES)):
             vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             unit, good = unit_rows(vectors, centres.shape[1])
-            rows = np.flatnonzero(good)
-            for u, row in zip(unit, rows, strict=True):
-                cells = batch.column(3)[int(row)].as_py()
+            out: list[tuple] = []
+            for u, row in zip(unit, np.flatnonzero(good).tolist(), strict=True):
+                cells = batch.column(3)[row].as_py()
                 lists = np.array([c["list"] for c in cells])
                 radius = np.array([c["radius"] for c in cells])
                 angle = angles(centres[lists] @ u)
                 if first:
                     chosen = [int(angle.argmin())]
                 else:
-                    done, reach = batch.column(4)[int(row)].as_py(), batch.column(5)[int(row)].as_py()
+                    done, reach = batch.column(4)[row].as_py(), batch.column(5)[row].as_py()
                     nearest = np.cos(np.maximum(angle - radius, 0.0))
                     others = lists != done
                     open_ = others if reach is None else others & (nearest >= reach - SLACK)
                     chosen = np.flatnonzero(open_).tolist()
                 for at in chosen:
-                    salts = -(-cells[at]["rows"] // block_rows)
-                    out += [(int(row), cells[at]["list"], s, len(cells) - len(chosen), len(chosen)) for s in range(salts)]
-            source = pa.array([o[0] for o in out], pa.int64())
-            columns = [batch.column(0).take(source), batch.column(2).take(source), batch.column(1).take(source)]
-            columns += [pa.array([o[c] for o in out], pa.int32()) for c in (1, 2)]
-            columns += [pa.array([o[c] for o in out], pa.int64()) for c in (3, 4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "scope", "list", "salt", "pruned", "met"])
+                    for salt in range(-(-cells[at]["rows"] // block_rows)):
+                        out.append((row, cells[at]["list"], salt, len(cells) - len(chosen), len(chosen)))
+                        if len(out) == PAIR_ROWS:
+                            yield paired(batch, out)
+                            out = []
+            yield paired(batch, out)
 
     return given.mapInArrow(choose, _PAIR)
 

@@ -254,6 +254,27 @@ def test_pruned_search_equals_brute_force(spark, block_rows):
     assert report["skipped"] > 0.5 and report["n_met"] + report["n_pruned"] == sum(lists.get(a[1], 0) for a in asked if a[2])
 
 
+def test_pairs_of_queries_and_blocks_come_in_bounded_batches(spark, monkeypatch):
+    """However many blocks a query meets, a task holds PAIR_ROWS pairs at most; none is lost."""
+    rng = np.random.default_rng(6)
+    _, items = index_items(spark, rng)
+    index = LI.build_list_index(items, shared_folder(spark, "test-index"), scope="session_id", lists=12, sample_rows=500)
+    asked = LI.asked_of(items.where("id LIKE 'i00%'").withColumnRenamed("id", "query_id"), "session_id").withColumns({"done": F.lit(0), "reach": F.lit(None).cast("double")})
+    want = asked.join(index.blocks(), "scope").where("list <> 0").agg(F.sum("rows")).first()[0]
+    whole = LI.paired
+
+    def bounded(batch, out):
+        if len(out) > 50:
+            raise ValueError(f"{len(out)} pairs at once")
+        return whole(batch, out)
+
+    monkeypatch.setattr(LI, "paired", bounded)
+    monkeypatch.setattr(LI, "PAIR_ROWS", 50)
+    # Blocks of one row: as many pairs as rows in other lists.
+    pairs = LI.pairs_of(asked, index, 1, first=False)
+    assert pairs.distinct().count() == want > 50
+
+
 def test_index_scan_reads_probed_lists_only(spark):
     rng = np.random.default_rng(4)
     rows, items = index_items(spark, rng)
