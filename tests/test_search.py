@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -311,3 +312,16 @@ def test_rows_are_fetched_from_the_sessions_found(spark):
     assert "dynamicpruning" in plan
     got = found.orderBy("position").collect()
     assert len(got) == 3 and {r["session_id"] for r in got} == {"s3"} and got[0]["full_content"] == "text 151"
+
+
+def test_texts_are_embedded_in_slices_of_bounded_size(spark, monkeypatch):
+    """A batch is cut by the bytes of its texts, and the cut changes no vector."""
+    texts = [None, "", "one two", "ü" * 300, None, "Two  three\n" * 40, "one", " "] * 5
+    runs = list(VEC.slices_of(pa.array(texts), 500))
+    assert [i for start, stop in runs for i in range(start, stop)] == list(range(40)) and len(runs) > 5
+    assert all(sum(len((t or "").encode()) for t in texts[start + 1 : stop]) <= 500 for start, stop in runs)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    vectors = lambda: df.select("i", VEC.hashed_embedding(F.col("t"))).orderBy("i").collect()
+    whole = vectors()
+    monkeypatch.setattr(VEC, "SLICE_BYTES", 16)
+    assert vectors() == whole and whole[0][1] is None and not any(whole[1][1]) and sum(whole[2][1]) == pytest.approx(2**0.5)
