@@ -124,25 +124,49 @@ def ring_updates(
     return salted.groupBy("user_id", "salt").transformWithStateInPandas(Ring(n, ttl_ms), RING, "Update", mode)
 
 
-def ring_batches(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> TieredLog:
-    """Ring changes per batch; folded to the newest state of each user's last n."""
+def _newest_states(rows: DataFrame) -> DataFrame:
+    """The newest state of each conversation of a user."""
+    state = F.max_by(F.struct("created_at", "summary", "batch_id"), F.struct("batch_id", "created_at", "summary")).alias("s")
+    seen = rows.groupBy("user_id", "conversation_id").agg(state)
+    return seen.select("user_id", "conversation_id", "s.created_at", "s.summary", "s.batch_id")
 
-    def fold(rows: DataFrame) -> DataFrame:
-        state = F.max_by(F.struct("created_at", "summary", "batch_id"), F.struct("batch_id", "created_at", "summary")).alias("s")
-        seen = rows.groupBy("user_id", "conversation_id").agg(state)
-        states = seen.select("user_id", "conversation_id", "s.created_at", "s.summary", "s.batch_id")
-        return top_per_group(states, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n).drop("position")
 
-    return TieredLog(spark, path, RING, fold)
+def _newest_rows(states: DataFrame, n: int) -> DataFrame:
+    return top_per_group(states, ["user_id"], [newest("created_at"), F.asc("conversation_id")], n).drop("position")
+
+
+def ring_batches(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> TieredLog:
+    """Ring changes per batch; folded to the newest state of each user's last n."""
+    return TieredLog(spark, path, RING, lambda rows: _newest_rows(_newest_states(rows), n))
 
 
 def ring_log(
     conversations: DataFrame, path: str, n: int = POLICY.ring_size, ttl_ms: int | None = None
 ) -> DataStreamWriter:
+    """The last n conversations per user as a tiered log.
+
+    A batch is cut to each user's last n and to what it says of conversations
+    already among the last n; the log folds batches the same way, so it is all
+    the state there is, and a busy user is cut before it is gathered. Only
+    entries with a time to live need rings in a state store (``ring_updates``),
+    which costs a call per entry.
+    """
+
     def save(batch: DataFrame, batch_id: int) -> None:
+        log = ring_batches(batch.sparkSession, path, n)
+        states = _newest_states(batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        held = log.totals(before=batch_id).select(F.col("user_id").alias("_user"), F.col("conversation_id").alias("_held"))
+        again = states.join(
+            held, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("conversation_id").eqNullSafe(F.col("_held")), "left_semi"
+        )
+        log.write(_newest_rows(states, n).unionByName(again).distinct(), batch_id)
+
+    def save_changes(batch: DataFrame, batch_id: int) -> None:
         ring_batches(batch.sparkSession, path, n).write(batch, batch_id)
 
-    return ring_updates(conversations, n, ttl_ms=ttl_ms).writeStream.outputMode("update").foreachBatch(save)
+    if ttl_ms is None:
+        return conversations.writeStream.foreachBatch(save)
+    return ring_updates(conversations, n, ttl_ms=ttl_ms).writeStream.outputMode("update").foreachBatch(save_changes)
 
 
 def last_n_of(spark: SparkSession, path: str, n: int = POLICY.ring_size) -> DataFrame:

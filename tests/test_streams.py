@@ -1,5 +1,6 @@
 """Streams against their batch forms, late rows and replayed batches."""
 
+import os
 import random
 import time
 from datetime import datetime, timedelta
@@ -159,6 +160,19 @@ def test_a_conversation_seen_again_counts_once(spark):
     assert [(r["conversation_id"], r["summary"]) for r in rows] == [("c3", "new"), ("c2", "old"), ("c1", "old")]
 
 
+def test_the_last_n_need_no_state_store(spark):
+    """The log is the only state, and what a batch says of a held conversation counts, also beyond the batch's last n."""
+    path = shared_folder(spark, "test-t3-log")
+    at = lambda hours: T0 + timedelta(hours=hours)
+    put(spark, path, "f0", [(u, f"c{i}", at(i), "old") for i in range(1, 5) for u in ("u", None)], ST.RING)
+    put(spark, path, "f1", [("u", "c5", at(9), "s"), ("u", "c6", at(0.5), "s"), ("u", "c7", at(0.4), "s"), ("u", "c4", at(0.1), "s")], ST.RING)
+    run(ST.ring_log(stream(spark, path, ST.RING), f"{path}/log", 3), path)
+    rows = ST.last_n_of(spark, f"{path}/log", 3).orderBy("position").collect()
+    assert [r["conversation_id"] for r in rows if r["user_id"]] == ["c5", "c3", "c2"]
+    assert [r["conversation_id"] for r in rows if not r["user_id"]] == ["c4", "c3", "c2"]
+    assert not os.path.exists(f"{path.removeprefix('file://')}/checkpoint/state")
+
+
 def test_ingest_stream_equals_batch(spark):
     path = shared_folder(spark, "test-t4")
     schema = "id string, session_id string, arrived_at timestamp_ntz, full_content string"
