@@ -8,7 +8,6 @@ stands for itself.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.vectors import once
 from engram.sources.shared import settled
 
 MAX_SHORT = 1000
@@ -16,13 +15,22 @@ MAX_SHORT = 1000
 
 def grams_of(text: Column) -> Column:
     """The distinct runs of three characters, in lower case, in one pass over the characters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
-    def runs(c: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0)))
-        return F.transform(starts, lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
 
-    # A text of less than three characters has a run of nulls, which is null.
-    return F.array_compact(F.array_distinct(once(F.split(F.lower(text), ""), runs)))
+def holds(text: Column, pattern: Column) -> Column:
+    """``text ILIKE '%pattern%'`` in time linear in the text, but for patterns with escapes.
+
+    A pattern without wildcards is searched for as it is. Else the stretches
+    between its ``%`` are found one after the other, each at its first place
+    behind the one before: atomic groups, which are never tried again.
+    """
+    lower, low = F.lower(text), F.lower(pattern)
+    quoted = F.regexp_replace(low, r"[^%_]+", r"\\Q$0\\E")
+    groups = F.regexp_replace(F.replace(quoted, F.lit("_"), F.lit(".")), "%", ")(?>.*?")
+    found = F.regexp(lower, F.concat(F.lit(r"(?s)\A(?>.*?"), groups, F.lit(")")))
+    whole = F.ilike(text, F.concat(F.lit("%"), pattern, F.lit("%")))
+    return F.when(F.contains(pattern, F.lit("\\")), whole).when(pattern.rlike("[%_]"), found).otherwise(F.contains(lower, low))
 
 
 def trigrams(facts: DataFrame, key: str = "fact_id", text: str = "fact") -> DataFrame:
@@ -50,15 +58,15 @@ def facts_by_patterns(
     sizes = grams.join(long.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     counted = long.join(sizes, "gram", "left")
     rarest = counted.groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    candidates = grams.join(rarest, "gram").select("pattern", key)
-    like = F.expr(f"`{text}` ILIKE concat('%', pattern, '%')")
-    found = candidates.join(facts, key).where(like).select("pattern", *facts.columns)
+    # Written out, so that they meet the lists and the texts by their size.
+    candidates = settled(grams.join(settled(rarest, "rarest"), "gram").select("pattern", key), "candidates")
+    found = candidates.join(facts, key).where(holds(F.col(text), F.col("pattern"))).select("pattern", *facts.columns)
 
     short = [r["pattern"] for r in listed.where(F.size("grams") == 0).limit(MAX_SHORT + 1).collect()]
     if len(short) > MAX_SHORT:
         raise ValueError(f"more than {MAX_SHORT} patterns without three fixed characters")
     if not short:
         return found
-    hits = F.array_compact(F.array(*[F.when(F.col(text).ilike(f"%{p}%"), F.lit(p)) for p in short]))
+    hits = F.array_compact(F.array(*[F.when(holds(F.col(text), F.lit(p)), F.lit(p)) for p in short]))
     return found.unionByName(facts.select(F.explode(hits).alias("pattern"), *facts.columns))
 

@@ -442,3 +442,17 @@ def test_patterns_equal_a_nested_loop(spark):
             want += [(p, r["fact_id"]) for r in facts.where(F.col("fact").ilike(f"%{p}%")).collect()]
     assert got == sorted(want) and ("q%k", "f7") in got and len(got) > 30
     assert TG.facts_by_patterns(facts.where("false"), TG.trigrams(facts.where("false")), asked).collect() == []
+
+
+def test_patterns_are_searched_for_in_linear_time(spark):
+    """``holds`` is ILIKE for every kind of text and pattern, without its backtracking over a long text."""
+    texts = ["The ΣΑΣ", "İstanbul", "STRASSE straße", "a\\b", "a%b", "a_b", "\U0001f600ab x\U0001f600aB", "", "line\nbreak"]
+    patterns = ["the", "σας", "ΣΑ", "i", "İS", "SS", "ß", "a\\\\b", "a\\%b", "a_b", "%", "", "\U0001f600AB", "E\nB", "e_b", "t%Σ", "s%sse s%e", "_T%_", "a%%b", "i_T.*", "%x__b%"]
+    both = spark.createDataFrame([(t, p) for t in texts for p in patterns], "t string, p string")
+    same = F.col("a").eqNullSafe(F.col("b"))
+    checked = both.select("t", "p", TG.holds(F.col("t"), F.col("p")).alias("a"), F.expr("t ILIKE concat('%', p, '%')").alias("b"))
+    assert checked.where(~same).collect() == [] and checked.where("a").count() > 20
+    # Quadratic steps, here 10 ** 10, would not end within the time of a test.
+    assert spark.range(1).select(TG.holds(F.repeat(F.lit("a"), 100_000), F.lit("a%ing%a%ing"))).first()[0] is False
+    grams = [r[0] for r in spark.createDataFrame([("ABCAbc",), ("ab",), ("\U0001f600",)], "t string").select(TG.grams_of(F.col("t"))).collect()]
+    assert grams == [["abc", "bca", "cab"], [], []]
