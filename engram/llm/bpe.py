@@ -1,7 +1,9 @@
 """BPE encoding by a segment tree over the ranks of adjacent pairs, and decoding."""
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -12,6 +14,9 @@ NONE = 1 << 62
 PLACES = 32
 KNOWN = 400_000
 ROWS = 256
+# Words of up to so many symbols are merged side by side, so many at a time.
+SHORT, BLOCK = 64, 8192
+ABSENT = np.int64(NONE)
 
 
 def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -73,6 +78,72 @@ def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -
     return [s for s, kept in zip(symbols, alive, strict=True) if kept]
 
 
+class PairRanks:
+    """The merges as arrays, for many pairs at a time: a merge is named by its rank."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        pairs = np.array([a << 32 | b for a, b in merges] + [NONE], np.int64)
+        ranks = np.array([r for r, _ in merges.values()] + [0], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], ranks[order]
+        self.symbol = np.zeros(int(ranks.max()) + 1, np.int64)
+        self.symbol[ranks[:-1]] = [s for _, s in merges.values()]
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of each pair; what no merge joins comes after all ranks, and so do symbols below 0."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs[:-1], pair)
+        known = (self.pairs[at] == pair) & (left >= 0) & (right >= 0)
+        return np.where(known, self.ranks[at] << PLACES | place, ABSENT)
+
+
+def merged_together(flat: np.ndarray, lengths: np.ndarray, pairs: PairRanks) -> list[tuple[int, ...]]:
+    """``merged`` of many short words, given one after the other.
+
+    Each has a segment tree of its own, a row of one array, and each step merges one pair in every tree.
+    """
+    rows, half = len(lengths), 1 << (int(lengths.max()) - 1).bit_length()
+    symbols = np.full((rows, half + 1), -1, np.int64)
+    symbols[np.arange(half + 1) < lengths[:, None]] = flat
+    tree = np.full((rows, 2 * half), ABSENT)
+    tree[:, half:] = pairs.leaves(symbols[:, :-1], symbols[:, 1:], np.arange(half))
+    level = half
+    while level > 1:
+        tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+        level //= 2
+    following = np.tile(np.arange(1, half + 2), (rows, 1))
+    before = np.tile(np.arange(-1, half), (rows, 1))
+    ending = half  # the place of no symbol
+    following[following >= np.minimum(lengths, half)[:, None]] = ending
+    symbols, tree, following, before = (a.ravel() for a in (symbols, tree, following, before))
+    wide = half + 1
+    row = np.flatnonzero(tree[1 :: 2 * half] != ABSENT)
+    while len(row):
+        root = tree[row * (2 * half) + 1]
+        i, at = root & ((1 << PLACES) - 1), row * wide
+        j = following[at + i]
+        k = following[at + j]
+        new = pairs.symbol[root >> PLACES]
+        symbols[at + i], symbols[at + j] = new, -1
+        following[at + i], before[at + k] = k, i
+        p = before[at + i]
+        changed = [(j, np.full(len(row), ABSENT)), (i, pairs.leaves(new, symbols[at + k], i))]
+        held = p >= 0
+        changed.append((np.where(held, p, i), np.where(held, pairs.leaves(symbols[at + np.maximum(p, 0)], new, p), changed[1][1])))
+        base = row * (2 * half)
+        for place, value in changed:
+            tree[base + half + place] = value
+        for place, _ in changed:
+            node = (half + place) >> 1
+            while node[0]:
+                tree[base + node] = np.minimum(tree[base + 2 * node], tree[base + 2 * node + 1])
+                node >>= 1
+        row = row[tree[base + 1] != ABSENT]
+    kept = symbols.reshape(rows, wide) >= 0
+    ids, ends = symbols[kept.ravel()].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+    return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class WordEncoder:
     """Encodes texts with a vocabulary whose pattern drops white space, so that each word stands alone.
 
@@ -87,32 +158,55 @@ class WordEncoder:
         self.vocabulary, self.known = v, known
         self.lower, self.compose = "Lowercase" in v.normalizers, "NFC" in v.normalizers
         self.special = special_pattern(v.special)
-        self.pattern = regex.compile(v.pattern)
+        self.lines = regex.compile(f"{v.pattern}|\n")
+        self.pairs = PairRanks(v.merges)
         self.spaces = regex.compile(f"[^{SPACE}]+")
-        self.bytes = byte_characters()
+        self.symbols = np.array([v.ids[c] for c in byte_characters()], np.int64)
+        self.last_symbols = np.array([v.ids[c + v.suffix] for c in byte_characters()], np.int64)
         self.token_of = v.tokens()
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        found = self.pieces.get(text)
-        if found is None:
-            ids, suffix = self.vocabulary.ids, self.vocabulary.suffix
-            characters = [self.bytes[b] for b in text.encode()]
-            characters[-1] += suffix
-            found = tuple(merged([ids[c] for c in characters], self.vocabulary.merges))
-            if len(self.pieces) >= self.known:
-                self.pieces.clear()
-            self.pieces[text] = found
-        return found
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """The ids of pieces not met before; short ones of about one length are merged side by side."""
+        coded = sorted((piece.encode() for piece in pieces), key=len)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        ends = np.cumsum(lengths)
+        raw = np.frombuffer(b"".join(coded), np.uint8)
+        symbols = self.symbols[raw]
+        symbols[ends - 1] = self.last_symbols[raw[ends - 1]]
+        begin, short = 0, int(np.searchsorted(lengths, SHORT, "right"))
+        while begin < short:
+            size = 1 << (int(lengths[begin]) - 1).bit_length()
+            end = min(int(np.searchsorted(lengths[:short], size, "right")), begin + BLOCK)
+            found = merged_together(symbols[ends[begin] - lengths[begin] : ends[end - 1]], lengths[begin:end], self.pairs)
+            self.pieces.update(zip([c.decode() for c in coded[begin:end]], found, strict=True))
+            begin = end
+        for i in range(short, len(coded)):
+            self.pieces[coded[i].decode()] = tuple(merged(symbols[ends[i] - lengths[i] : ends[i]].tolist(), self.vocabulary.merges))
 
     def missing(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of words not met before, each split by the vocabulary's pattern."""
-        found = {}
-        for word in words:
-            text = composed(word) if self.compose else word
-            text = lowered(text) if self.lower else text
-            found[word] = tuple(i for p in self.pattern.findall(text) for i in self.piece(p))
+        """The ids of words not met before, each a line of one text that the vocabulary's pattern splits."""
+        listed = list(words)
+        text = "\n".join([*listed, ""])
+        text = composed(text) if self.compose else text
+        text = lowered(text) if self.lower else text
+        pieces = self.lines.findall(text)
+        distinct = set(pieces)
+        distinct.discard("\n")
+        new = distinct.difference(self.pieces)
+        if len(self.pieces) + len(new) > self.known:
+            self.pieces.clear()
+            new = distinct
+        self.learn_pieces(list(new))
+        coded, found, ids = self.pieces, {}, ()
+        words_left = iter(listed)
+        for piece in pieces:
+            if piece == "\n":
+                found[next(words_left)] = ids
+                ids = ()
+            else:
+                ids = ids + coded[piece] if ids else coded[piece]
         return found
 
     def split(self, text: str) -> list[str]:
@@ -124,21 +218,16 @@ class WordEncoder:
         for text in texts:
             parts = self.special.split(text) if text and "<" in text else [text or ""]
             split.append([[p] if p in self.vocabulary.special else self.split(p) for p in parts])
-        new = {w for parts in split for words in parts for w in words}.difference(self.words, self.vocabulary.special)
+        distinct = set().union(*(words for parts in split for words in parts))
+        new = distinct.difference(self.words, self.vocabulary.special)
         if len(self.words) + len(new) > self.known:
-            self.words = {s: (i,) for s, i in self.vocabulary.special.items()}
-            new = {w for parts in split for words in parts for w in words}.difference(self.words)
+            self.words = {}
+            new = distinct.difference(self.vocabulary.special)
         self.words.update(self.missing(new))
         for s, i in self.vocabulary.special.items():
             self.words[s] = (i,)
-        known, result = self.words, []
-        for parts in split:
-            ids: list[int] = []
-            for words in parts:
-                for w in words:
-                    ids += known[w]
-            result.append(ids)
-        return result
+        known = self.words.__getitem__
+        return [list(chain.from_iterable(map(known, chain.from_iterable(parts)))) for parts in split]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids with one blank between; these files name no decoder."""

@@ -39,6 +39,16 @@ def test_merges_leftmost_of_the_lowest_rank():
     assert bpe.merged([], merges) == []
 
 
+def test_words_merged_side_by_side_equal_words_merged_alone():
+    """One tree per word in one array gives what a tree per word gives, in one step per merge of the longest word."""
+    merges = {(1, 1): (0, 2), (2, 1): (1, 3), (2, 2): (2, 4), (3, 1): (3, 5), (6, 1): (4, 7), (4, 4): (5, 8)}
+    pick = random.Random(11)
+    words = [[pick.choice([1, 1, 1, 6]) for _ in range(n)] for n in range(1, 65) for _ in range(9)]
+    flat, lengths = np.array([s for w in words for s in w]), np.array([len(w) for w in words])
+    got = bpe.merged_together(flat, lengths, bpe.PairRanks(merges))
+    assert got == [tuple(bpe.merged(list(w), merges)) for w in words]
+
+
 @pytest.mark.parametrize("known", [50, 10_000])
 def test_counter_equals_the_library(known):
     library, own = Tokenizer.from_file(BYTES), token_counts.TokenCounter(BYTES, known)
