@@ -19,6 +19,7 @@ KNOWN_PAIRS = 1 << 17
 HOT_SHARE, HOT_SEEN, HOT_KEYS = 64, 64, 1 << 16
 SHORT_LIST = 8
 BLOCK = 2048
+SEEN_KEYS = 8
 ROWS = 1024
 FILTER_BITS = 23
 BITMAP_WORDS = 16
@@ -474,19 +475,36 @@ def dealt(rows: DataFrame, turn: int, every: bool) -> DataFrame:
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     part = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair)
     side = F.when(F.col("blocks").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return placed.select(part.alias("part"), "n", "node", "root", "bitmap", side.alias("side"))
+    return placed.select(part.alias("part"), "n", "node", "root", "bitmap", side.alias("side"), *(c for c in ("key", "keys") if c in rows.columns and every))
+
+
+def with_first_keys(entries: DataFrame) -> DataFrame:
+    """The entries with ``keys``: the least ``SEEN_KEYS`` keys of their node, in ascending order.
+
+    Texts that are alike share many lists. A pair need be given only in the
+    first list that both are in; where these few keys show an earlier one, it
+    is not given again.
+    """
+    first = entries.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, SEEN_KEYS).alias("keys"))
+    return entries.join(first, "node")
 
 
 def list_pairs(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -> DataFrame:
+    """The pairs of ``pairs_by_list``, each once."""
+    return pairs_by_list(entries, briefs, turn, forest).distinct()
+
+
+def pairs_by_list(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -> DataFrame:
     """Pairs of long lists that sizes and bitmaps allow, between nodes of different components; ``entries`` have their roots.
 
     With ``forest`` a part of a list gives only pairs that would join its
     components, one less than its entries at most, and every entry is in one
-    part; else all pairs.
+    part; else all pairs, each in one of the lists that hold both as a rule.
     """
+    entries = entries if forest else with_first_keys(entries)
     rows = dealt(entries.join(briefs.select("node", "n", "bitmap"), "node"), turn, every=not forest)
 
-    def compared(n: np.ndarray, node: np.ndarray, root: np.ndarray, bitmap: np.ndarray, side: np.ndarray) -> tuple[list[int], list[int]]:
+    def compared(n: np.ndarray, node: np.ndarray, root: np.ndarray, bitmap: np.ndarray, side: np.ndarray, earlier: list[frozenset]) -> tuple[list[int], list[int]]:
         label = np.unique(root, return_inverse=True)[1]
         a, b = [], []
         if label.max(initial=0) == 0:
@@ -508,8 +526,9 @@ def list_pairs(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -
                 b += node[j][near].tolist()
                 label[joined] = label[i]
             else:
-                a += [int(node[i])] * len(near)
-                b += node[j][near].tolist()
+                new = [k for k in (near + i + 1).tolist() if earlier[i].isdisjoint(earlier[k])]
+                a += [int(node[i])] * len(new)
+                b += node[new].tolist()
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,7 +542,8 @@ def list_pairs(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -
             side = table.column(5).to_numpy()
             start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             for i, k in zip(start.tolist(), [*start[1:].tolist(), len(part)], strict=True):
-                a, b = compared(n[i:k], node[i:k], root[i:k], bitmap[i:k], side[i:k])
+                earlier = [] if forest else [frozenset(x for x in own if x < key) for key, own in zip(*(table.column(c).slice(i, k - i).to_pylist() for c in (6, 7)), strict=True)]
+                a, b = compared(n[i:k], node[i:k], root[i:k], bitmap[i:k], side[i:k], earlier)
                 new = [p for p in {(min(p), max(p)) for p in zip(a, b, strict=True)} if p not in known]
                 if len(known) > KNOWN_PAIRS:
                     known.clear()
@@ -546,7 +566,7 @@ def list_pairs(entries: DataFrame, briefs: DataFrame, turn: int, forest: bool) -
             yield from finished(pa.Table.from_batches(held))
 
     ordered = rows.repartition("part").sortWithinPartitions("part", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

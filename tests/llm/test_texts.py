@@ -193,6 +193,16 @@ def test_components_equal_all_pairs(spark, monkeypatch, common):
     assert got == want
 
 
+def test_a_pair_of_many_lists_is_given_once(spark):
+    """30 nodes that share 40 lists, a few of them not all: every pair comes, and from one list."""
+    held = [(k * 7919 - 5000, n) for k in range(40) for n in range(30) if (n + k) % 9 or k % 2]
+    entries = spark.createDataFrame([(k, n, n) for k, n in held], "key long, node long, root long")
+    briefs = spark.createDataFrame([(n, 20, [1] * ngram_join.BITMAP_WORDS) for n in range(30)], "node long, n long, bitmap array<bigint>")
+    given = [tuple(r) for r in ngram_join.pairs_by_list(entries, briefs, 2, False).collect()]
+    assert set(given) == set(combinations(range(30), 2))
+    assert len(given) == len(set(given))
+
+
 def test_join_of_odd_rows(odd, empty):
     got = ngram_join.near_duplicates(odd).collect()
     assert len(got) == odd.count()
