@@ -25,7 +25,7 @@ DEPTH = 6
 TRIES = 4
 ROUNDS = 200
 ROWS = 4096
-BYTES = 16 << 20
+BYTES = 4 << 20
 # Words and pieces whose ids a task keeps, about 200 bytes each.
 KNOWN = 800_000
 # The pieces encoded in one text.
@@ -108,9 +108,11 @@ class LibraryEncoder:
         ids, lengths = self.words.take(distinct, coded.indices.to_numpy())
         stops = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         sizes = np.diff(stops)
-        out = np.empty(len(ids) + len(sizes), "<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
         ends = np.cumsum(sizes + 1)
+        out = np.empty(len(ids) + len(sizes), "<u4")
+        inside = np.ones(len(out), bool)
+        inside[ends - 1] = False
+        out[inside] = ids
         out[ends - 1] = self.end_id
         return out, ends
 
@@ -131,11 +133,12 @@ class Stored:
 
     def take(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all coded strings, one after the other, and how many each has."""
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[codes]
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int32, len(distinct))[codes]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         at = np.repeat(self.starts[at] - (ends - lengths), lengths)
-        return self.ids[at + np.arange(len(at))], lengths
+        at += np.arange(len(at))
+        return self.ids[at], lengths
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_texts import texts_of
 from tokenizers import Tokenizer
@@ -101,3 +102,11 @@ def test_plan_holds_every_piece_once(n):
         assert plan.first[own][0] == 0 and (np.diff(plan.first[own]) > 0).all() and plan.first[own][-1] < count
     if n >= 2000:
         assert lengths.sum() / (plan.sequences * 4096) > 0.99
+
+
+def test_slices_hold_few_bytes():
+    """A slice is bounded in bytes well below an Arrow batch, and every row is in one slice."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word " * 1000] * 3000)], names=["doc_id", "text"])
+    parts = list(packing.slices(batch, 1))
+    assert max(p.column(1).nbytes for p in parts) <= 5 << 20
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(3000))
