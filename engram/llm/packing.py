@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from engram.llm.bpe import WordEncoder
-from engram.llm.common import settled
-from engram.llm.vocab import composed, lowered
+from engram.llm.common import WORD, settled
+from engram.llm.vocab import composed, lowered, read_vocabulary, special_pattern
 from engram.operators.spread import salts_for
 
 WINDOW = 4096
@@ -26,86 +25,128 @@ TRIES = 4
 ROUNDS = 200
 ROWS = 4096
 BYTES = 4 << 20
-# Words and pieces whose ids a task keeps, about 200 bytes each.
-KNOWN = 800_000
+# Units whose ids a task keeps, about 200 bytes each.
+KNOWN = 400_000
 # The pieces encoded in one text.
 JOINED = 1000
+# ASCII punctuation but the apostrophe, with which a piece may begin and go on with letters; letters and digits for certain.
+MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]"
+SPACED = regex.compile(WORD)
 
 
 class LibraryEncoder:
-    """The ids of many texts as one row of numbers, pieces not met before coming from the tokenizers library.
-
-    Words are told apart by Arrow, a text is a ragged take from the ids of its
-    distinct words. A new word is normalized and cut into pieces by the
-    vocabulary's pattern; new pieces are encoded many in one text, with blanks
-    between: a blank ends a piece, and only the last token of a piece has the
-    word end. What is stored is bounded by ``known`` words and starts anew
-    beyond, which changes no result.
+    """The ids of many texts as one row of numbers, units not met before coming from the tokenizers library.
+
+    Words are told apart by Arrow and cut into units; a text is a ragged take from the
+    ids of its distinct words, and these one from the ids of their units. A new unit is
+    normalized and cut into pieces by the vocabulary's pattern; pieces are encoded many in
+    one text, with blanks between: a blank ends a piece, and only the last token of a
+    piece has the word end. What is stored is bounded by ``known`` units and starts
+    anew beyond, which changes no result.
     """
 
     def __init__(self, path: str, end_id: int, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        v = read_vocabulary(path)
+        if not v.suffix or [n for n in v.normalizers if n not in ("NFC", "Replace", "Lowercase")]:
+            raise ValueError(f"{path}: not a vocabulary of words with ends")
         self.library, self.end_id, self.known = Tokenizer.from_file(path), end_id, known
-        self.words_of = WordEncoder(path)
-        vocabulary = self.words_of.vocabulary
-        tokens = vocabulary.tokens()
-        self.ending = np.array([tokens.get(i, "").endswith(vocabulary.suffix) for i in range(max(tokens) + 1)])
-        self.lines = regex.compile(f"{vocabulary.pattern}|\n")
-        self.special = [(s, i) for s, i in vocabulary.special.items()]
+        # It gets pieces, which are normalized and split.
+        self.library.normalizer = normalizers.Sequence([])
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.library.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        self.lower, self.compose = "Lowercase" in v.normalizers, "NFC" in v.normalizers
+        tokens = v.tokens()
+        self.ending = np.array([tokens.get(i, "").endswith(v.suffix) for i in range(max(tokens) + 1)])
+        self.lines = regex.compile(f"{v.pattern}|\n")
+        self.special, self.apart = v.special, special_pattern(v.special)
         self.forget()
 
     def forget(self) -> None:
-        self.words = Stored([s for s, _ in self.special], np.array([i for _, i in self.special], "<u4"), np.ones(len(self.special), np.int64))
-        self.pieces = Stored(["\n"], np.zeros(0, "<u4"), np.zeros(1, np.int64))
+        known = ["", *self.special]
+        self.units = Stored(known, np.array([*self.special.values()], "<u4"), np.array([0] + [1] * len(self.special), np.int64))
 
-    def encode_pieces(self, pieces: list[str]) -> None:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and how many each has."""
         blocks = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
         coded = self.library.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
+        all_ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for block, found in zip(blocks, coded, strict=True):
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ending[ids])
             if len(ends) != len(block):
                 raise ValueError("the vocabulary does not end each piece with one token")
-            self.pieces.add(block, ids, np.diff(ends, prepend=-1))
-
-    def learn(self, words: list[str]) -> None:
-        """The ids of words from those of their pieces; every word is a line of one text."""
-        text = "\n".join([*words, ""])
-        text = composed(text) if self.words_of.compose else text
-        text = lowered(text) if self.words_of.lower else text
+            all_ids.append(ids)
+            lengths.append(np.diff(ends, prepend=-1))
+        return np.concatenate(all_ids), np.concatenate(lengths)
+
+    def learn(self, units: list[str]) -> None:
+        """The ids of units from those of their pieces; every unit is a line of one text."""
+        text = "\n".join([*units, ""])
+        text = composed(text) if self.compose else text
+        text = lowered(text) if self.lower else text
         coded = pa.array(self.lines.findall(text), pa.string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.encode_pieces([p for p in distinct if p not in self.pieces.place])
-        ids, lengths = self.pieces.take(distinct, coded.indices.to_numpy())
-        stops = np.cumsum(lengths)[coded.indices.to_numpy() == distinct.index("\n")]
-        self.words.add(words, ids, np.diff(stops, prepend=0))
+        at = coded.indices.to_numpy()
+        distinct = strings(coded.dictionary)
+        line = distinct.index("\n")
+        ids, lengths = self.encode_pieces(distinct[:line] + distinct[line + 1 :])
+        ids, lengths = ragged(ids, np.insert(lengths, line, 0), at)
+        stops = np.cumsum(lengths)[at == line]
+        self.units.add(units, ids, np.diff(stops, prepend=0))
 
     def split(self, texts: pa.Array) -> pa.ListArray:
         """The words of each text; other than ASCII white space, which stays inside, is left to the pattern."""
-        if not any(pc.any(pc.match_substring(texts, s)).as_py() for s, _ in self.special):
-            return pc.ascii_split_whitespace(texts)
+        small = pc.ascii_lower(texts)
+        if not any(pc.any(pc.match_substring(small, s.lower())).as_py() for s in self.special):
+            return pc.ascii_split_whitespace(small if self.lower else texts)
         rows = []
         for text in texts.to_pylist():
-            parts = self.words_of.special.split(text)
-            rows.append([w for p in parts for w in ([p] if p in self.words_of.vocabulary.special else self.words_of.split(p))])
+            parts = self.apart.split(text)
+            rows.append([w for p in parts for w in ([p] if p in self.special else SPACED.findall(p))])
         return pa.array(rows, pa.list_(pa.string()))
 
+    def parts(self, words: pa.Array) -> pa.Array:
+        """Three units of each word: marks before, what is between, marks behind.
+
+        The pattern's pieces never hold a mark and a letter next to each other, so
+        that the units have the pieces of the word. Where another character is next
+        to the marks they are left in the middle, and special strings are left whole.
+        """
+        n = len(words)
+        words = pa.concat_arrays([words])
+        offsets = np.frombuffer(words.buffers()[1], np.int32, n + 1)
+        before = pc.ascii_rtrim(words, MARKS)
+        inner = pc.ascii_ltrim(before, MARKS)
+        whole = pc.is_in(words, pa.array(list(self.special), pa.string())).to_numpy(zero_copy_only=False)
+
+        def where(pattern: str, column: pa.Array) -> np.ndarray:
+            return pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False) & ~whole
+
+        length = pc.binary_length(before).to_numpy()
+        stop = np.where(where(f"{LETTER}$", before), offsets[:-1] + length, offsets[1:])
+        start = np.where(where(f"^{LETTER}", inner), offsets[:-1] + length - pc.binary_length(inner).to_numpy(), offsets[:-1])
+        cuts = np.append(np.stack([offsets[:-1], start, stop], axis=1).ravel(), offsets[-1:]).astype(np.int32)
+        return pa.StringArray.from_buffers(3 * n, pa.py_buffer(cuts), words.buffers()[2])
+
     def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and where each text ends; null is empty."""
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lists = self.split(pc.fill_null(texts.cast(pa.string()), ""))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.words.place]
-        if max(len(self.words.place) + len(new), len(self.pieces.place)) > self.known:
+        parts = self.parts(coded.dictionary).dictionary_encode()
+        distinct = strings(parts.dictionary)
+        new = [u for u in distinct if u not in self.units.place]
+        if len(self.units.place) + len(new) > self.known:
             self.forget()
-            new = [w for w in distinct if w not in self.words.place]
+            new = [u for u in distinct if u not in self.units.place]
         if new:
             self.learn(new)
-        ids, lengths = self.words.take(distinct, coded.indices.to_numpy())
+        ids, lengths = self.units.take(distinct, parts.indices.to_numpy())
+        ids, lengths = ragged(ids, lengths.reshape(-1, 3).sum(axis=1), coded.indices.to_numpy())
         stops = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         sizes = np.diff(stops)
         ends = np.cumsum(sizes + 1)
@@ -117,6 +158,20 @@ class LibraryEncoder:
         return out, ends
 
 
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def ragged(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the rows ``at``, one after the other, and how many each has; rows lie side by side unless ``starts`` are given."""
+    starts = np.cumsum(lengths) - lengths if starts is None else starts
+    lengths = lengths[at]
+    ends = np.cumsum(lengths)
+    place = np.repeat((starts[at] - (ends - lengths)).astype(np.int32), lengths)
+    place += np.arange(len(place), dtype=np.int32)
+    return ids[place], lengths
+
+
 class Stored:
     """The ids of strings, in one array."""
 
@@ -134,11 +189,7 @@ class Stored:
     def take(self, distinct: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all coded strings, one after the other, and how many each has."""
         at = np.fromiter(map(self.place.__getitem__, distinct), np.int32, len(distinct))[codes]
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[at] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        return self.ids[at], lengths
+        return ragged(self.ids, self.lengths, at, self.starts)
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,39 @@ def test_plan_holds_every_piece_once(n):
         assert lengths.sum() / (plan.sequences * 4096) > 0.99
 
 
+MARKED = ["İ\u0316b", "(the,", "THE!", "it's", "'s", "('s", "x='s", "a,'ll,b", "é.", "É\u0301,", "5%", "a\u0301*", "*\u0338a", "<|ENDOFTEXT|>", "|>", "_a_", "日,", "’s,"]
+
+
+@pytest.mark.parametrize("known", [50, 10_000])
+def test_packed_ids_equal_the_library(known):
+    """Also where marks stand next to letters, apostrophes or signs that combine, in any slice and with special strings or without."""
+    library, own, pick = Tokenizer.from_file(WORDS), packing.LibraryEncoder(WORDS, 2, known), random.Random(7)
+    pool = [*ALPHABET, *MARKED, *MARKED]
+    plain = [c for c in pool if "<|" not in c]
+    texts = ["".join(pick.choice(plain if i % 3 else pool) for _ in range(pick.randint(0, 60))) for i in range(900)] + [" ".join(MARKED), ""]
+    for at in range(0, len(texts), 50):
+        for some in (texts[at : at + 50], [t for t in texts[at : at + 50] if "<|" not in t]):
+            ids, ends = own.rows(pa.array(some))
+            got = [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_words_with_marks_or_capitals_are_encoded_once():
+    """What is handed to the library does not grow with the marks around a word and the capitals in it."""
+    own, given = packing.LibraryEncoder(WORDS, 2), []
+    encode = own.library.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(p for t in texts for p in t.split(" "))
+            return encode(texts, **how)
+
+    own.library = Counted()
+    for text in ("word", "Word, (word) WORD! «word» word", 'the "Word".'):
+        own.rows(pa.array([text]))
+    assert sorted(given) == sorted(["word", ",", "(", ")", "!", "«", "word", "»", "the", '"', '".'])
+
+
 def test_slices_hold_few_bytes():
     """A slice is bounded in bytes well below an Arrow batch, and every row is in one slice."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word " * 1000] * 3000)], names=["doc_id", "text"])
