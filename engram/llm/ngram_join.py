@@ -109,9 +109,9 @@ def bitmaps(sets: Sets) -> tuple[np.ndarray, list[np.ndarray]]:
     return brief, wide
 
 
-def hashed_words(df: DataFrame, key: str, text: str) -> DataFrame:
+def hashed_words(texts: DataFrame) -> DataFrame:
     """key and the hashes of the lower-cased words of each row's whole text."""
-    return df.select(F.col(key).cast("long").alias("key"), F.transform(lowered_words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+    return texts.select("key", F.transform(lowered_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
 
 
 def fixed_lists(values: np.ndarray) -> pa.Array:
@@ -344,37 +344,31 @@ def shared_lists(index: DataFrame) -> DataFrame:
     return index.repartition("key", "salt").sortWithinPartitions("key", "node").mapInArrow(run, "kind int, a long, b long")
 
 
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of 2 ** 23 bits in which the bit of every given key is set.
+def with_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with the given keys, and few others: those whose bit is set in a table of 2 ** 23 bits.
 
-    Its words are put together by Spark; the driver gets 2 ** 17 of them at most.
+    Every task gets the table, 2 ** 17 words of it at most, so that a text is neither moved nor
+    hashed to find out whether it is asked for.
     """
     word = F.shiftright("key", 6).bitwiseAND(F.lit((1 << (FILTER_BITS - 6)) - 1))
     bit = F.expr("shiftleft(1L, cast(key & 63L as int))")
-    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect()
-    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in found:
-        table[r["w"]] = r["bits"]
-    return table
+    table = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    return texts.withColumn("w", word).join(F.broadcast(table), "w").where(F.col("bits").bitwiseAND(bit) != 0).select(*texts.columns)
 
 
-def needed_sets(hashed: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+def needed_sets(texts: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     """node and tokens of the rows with the given keys, and of few others."""
-    table = bit_table(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
-            key = batch.column(0).fill_null(0).to_numpy()
-            hit = (table[(key >> 6) & (len(table) - 1)] >> (key & 63)) & 1
-            batch = batch.filter(pa.array(hit == 1))
             for begin in range(0, batch.num_rows, ROWS):
                 sets = Sets(batch.slice(begin, ROWS), words)
                 if rows := sets.fresh(seen):
                     tokens = [sets.of(i).view(np.int64) for i in rows]
                     yield pa.RecordBatch.from_arrays([pa.array(sets.nodes[rows]), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    return hashed.mapInArrow(run, "node long, tokens array<bigint>")
+    return hashed_words(with_keys(texts, keys)).mapInArrow(run, "node long, tokens array<bigint>")
 
 
 def alike(most: Column, total: Column) -> Column:
@@ -407,7 +401,7 @@ def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(may_link("a_brief", "b_brief")).select(*pairs.columns)
 
 
-def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int) -> DataFrame:
+def verified(pairs: DataFrame, briefs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """a, b, linked: the verdict on the whole sets of each pair.
 
     A set is fetched from the text with its node's smallest key, written to the
@@ -415,7 +409,7 @@ def verified(pairs: DataFrame, briefs: DataFrame, hashed: DataFrame, words: int)
     """
     reps = briefs.select("node", F.col("rep").alias("key"))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("key")
-    whole = settled(needed_sets(hashed, keys, words), "sets")
+    whole = settled(needed_sets(texts, keys, words), "sets")
     left, right = (whole.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("a", "b"))
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     total = F.size("a_tokens") + F.size("b_tokens")
@@ -581,12 +575,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     Texts are read to outline the sets and find frequent tokens, to index
     prefixes, and in each round to fetch the sets of pairs that sizes and bitmaps
-    allow. Two rounds take from long lists only pairs that would join components:
+    allow; only the texts asked for are hashed again. Two rounds take from long lists only pairs that would join components:
     first from two lists of each node, then from all lists that still hold
     different components. A last round, where anything is left for it, takes all
     pairs that are then left between components.
     """
-    hashed = hashed_words(df, key, text)
+    texts = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    hashed = hashed_words(texts)
     outline = settled(outlined(hashed, words), "outline")
     rows = outline.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("n"), "bitmap", "wide")
     often = outline.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") > COMMON)
@@ -601,14 +596,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
     first = settled(first_lists(entries), "first").withColumn("root", F.col("node"))
     found = shared.where("kind = 0").select("a", "b").unionByName(list_pairs(first, briefs, 0, forest=True)).distinct()
-    links = verified(settled(likely(found, briefs), "pairs"), briefs, hashed, words)
+    links = verified(settled(likely(found, briefs), "pairs"), briefs, texts, words)
     roots = connected(links.where("linked"))
     for turn, forest in ((1, True), (2, False)):
         entries = open_lists(entries, roots).select("key", "node", "root")
         found = list_pairs(entries, briefs, turn, forest).join(links.select("a", "b"), ["a", "b"], "left_anti")
         pairs = settled(likely(found, briefs), "pairs")
         if not pairs.isEmpty():
-            links = links.unionByName(verified(pairs, briefs, hashed, words))
+            links = links.unionByName(verified(pairs, briefs, texts, words))
             roots = connected(links.where("linked"))
         entries = entries.select("key", "node")
 

@@ -203,6 +203,19 @@ def test_a_pair_of_many_lists_is_given_once(spark):
     assert len(given) == len(set(given))
 
 
+def test_only_texts_asked_for_are_hashed(spark):
+    """Rows are dropped by their key before their words are hashed; keys at the same place of the table come along."""
+    size = 1 << ngram_join.FILTER_BITS
+    held = [0, 5, -7, 1 << 40, size + 3, 3, 64, None]
+    texts = spark.createDataFrame([(k, f"text of {k} in some words") for k in held], "key long, text string")
+    keys = spark.createDataFrame([(5,), (-7,), (3,), (None,)], "key long")
+    assert {r["key"] for r in ngram_join.with_keys(texts, keys).collect()} == {5, -7, 3, size + 3}
+    sets = ngram_join.needed_sets(texts, keys, 5)
+    assert sets.count() == 4
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("xxhash64") < plan.index("Join")
+
+
 def test_join_of_odd_rows(odd, empty):
     got = ngram_join.near_duplicates(odd).collect()
     assert len(got) == odd.count()
