@@ -24,11 +24,11 @@ DEPTH = 6
 TRIES = 4
 ROUNDS = 200
 ROWS = 4096
-BYTES = 4 << 20
+BYTES = 1 << 20
 # Units whose ids a task keeps, about 200 bytes each.
 KNOWN = 400_000
-# The pieces encoded in one text.
-JOINED = 1000
+# The pieces encoded in one text, the units learnt at a time.
+JOINED, LEARNT = 1000, 1 << 14
 # ASCII punctuation but the apostrophe, with which a piece may begin and go on with letters; letters and digits for certain.
 MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 LETTER = "[0-9A-Za-zÀ-ÖØ-öø-ÿ]"
@@ -71,10 +71,9 @@ class LibraryEncoder:
 
     def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after the other, and how many each has."""
-        blocks = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        coded = self.library.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)
         all_ids, lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for block, found in zip(blocks, coded, strict=True):
+        for block in (pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)):
+            (found,) = self.library.encode_batch_fast([" ".join(block)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(self.ending[ids])
             if len(ends) != len(block):
@@ -143,8 +142,8 @@ class LibraryEncoder:
         if len(self.units.place) + len(new) > self.known:
             self.forget()
             new = [u for u in distinct if u not in self.units.place]
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARNT):
+            self.learn(new[i : i + LEARNT])
         ids, lengths = self.units.take(distinct, parts.indices.to_numpy())
         ids, lengths = ragged(ids, lengths.reshape(-1, 3).sum(axis=1), coded.indices.to_numpy())
         stops = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]

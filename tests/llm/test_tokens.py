@@ -137,6 +137,25 @@ def test_words_with_marks_or_capitals_are_encoded_once():
     assert sorted(given) == sorted(["word", ",", "(", ")", "!", "«", "word", "»", "the", '"', '".'])
 
 
+def test_the_library_gets_few_pieces_at_a_time():
+    """What a slice of new words takes does not grow with their number: the library's result is read block by block."""
+    own, given = packing.LibraryEncoder(WORDS, 2), []
+    encode = own.library.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.append(sum(t.count(" ") + 1 for t in texts))
+            return encode(texts, **how)
+
+    own.library = Counted()
+    letters = "abcdefghij"
+    texts = [" ".join("w" + "".join(letters[int(c)] for c in str(i)) for i in range(at, at + 500)) for at in range(0, 20_000, 500)]
+    ids, ends = own.rows(pa.array(texts))
+    assert max(given) <= packing.JOINED and sum(given) == 20_000 and len(own.units.place) >= 20_000
+    library = Tokenizer.from_file(WORDS)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_slices_hold_few_bytes():
     """A slice is bounded in bytes well below an Arrow batch, and every row is in one slice."""
     batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word " * 1000] * 3000)], names=["doc_id", "text"])
