@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from engram.llm.common import WORD, settled
+from engram.llm.common import WORD, settled, small_batches
 from engram.llm.vocab import composed, lowered, read_vocabulary, special_pattern
 from engram.operators.spread import salts_for
 
@@ -422,6 +422,7 @@ def pack(
     the histogram of their lengths, at most ``window`` rows, and makes the plan.
     Repeated rows are packed each, an empty table gives no rows.
     """
-    pieces = settled(cut_documents(df, path, key, text, window, end_id, with_ids), "packing")
+    with small_batches(df.sparkSession):
+        pieces = settled(cut_documents(df, path, key, text, window, end_id, with_ids), "packing")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     return placed(numbered(pieces, [key, "start", "ids_crc32"]), plan_windows(histogram, window))

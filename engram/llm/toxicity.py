@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from engram.llm.common import settled
+from engram.llm.common import settled, small_batches
 from engram.llm.linear import fit_chain, run_chain
 
 CATEGORIES = ("marked", "repeated", "toxic")
@@ -17,7 +17,7 @@ SAMPLE_ROWS = 20_000
 CANDIDATES = 20_000
 TERMS = 192
 FOLDS = 5
-KNOWN = 400_000
+KNOWN = 100_000
 BEGINNINGS = (4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*#$%&|¡¿"
 
@@ -28,28 +28,30 @@ def forms(word: str) -> list[str]:
     return [bare, *(f"{bare[:n]}-" for n in BEGINNINGS if len(bare) > n)] if bare else []
 
 
-def form_counts(texts: Iterator[str | None]) -> Counter:
-    """In how many texts each form occurs."""
-    counts: Counter = Counter()
-    for text in texts:
-        counts.update({f for w in set((text or "").lower().split()) for f in forms(w)})
-    return counts
+def text_forms(text: str | None) -> set[str]:
+    return {f for w in set((text or "").lower().split()) for f in forms(w)}
 
 
 def counted_forms(df: DataFrame, text: str, among: frozenset[str] | None) -> DataFrame:
-    """form, n: texts with the form, added up per task before they are shuffled."""
+    """form, n: texts with the form, added up per task before they are shuffled, ``KNOWN`` forms at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts.update(form_counts(batch.column(0).to_pylist()))
-        if among is not None:
-            counts = Counter({f: n for f, n in counts.items() if f in among})
+    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
         names = list(counts)
         for at in range(0, len(names), 10_000):
             part = names[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[f] for f in part], pa.int64())], names=["form", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for body in batch.column(0):
+                found = text_forms(body.as_py())
+                counts.update(found if among is None else found & among)
+                if len(counts) > KNOWN:
+                    yield from rows(counts)
+                    counts.clear()
+        yield from rows(counts)
+
     return df.select(text).mapInArrow(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
@@ -68,8 +70,8 @@ def chosen_terms(rows: DataFrame, text: str, label: str, candidates: int, terms:
         m = outside.get(form, 0)
         p, q = n / n_toxic, m / max(n_other, 1)
         all_share = (n + m) / (n_toxic + n_other)
-        error = (all_share * (1 - all_share) * (1 / n_toxic + 1 / max(n_other, 1))) ** 0.5
-        if p > 5 * q and n > m and p - q > 4 * max(error, 1e-9):
+        error = max((all_share * (1 - all_share) * (1 / n_toxic + 1 / max(n_other, 1))) ** 0.5, 1e-9)
+        if p > 5 * q and n > m and p - q > 4 * error:
             scored.append((-(p - q) / error, form))
     return [form for _, form in sorted(scored)[:terms]]
 
@@ -79,6 +81,8 @@ class TermReader:
 
     def __init__(self, terms: list[str], known: int = KNOWN):
         self.place = {t: i for i, t in enumerate(terms)}
+        # All forms of a word begin as it does: of words that begin like a term places are kept, the others have none.
+        self.heads = {t[: BEGINNINGS[0]] for t in terms}
         self.words: dict[str, tuple[int, ...]] = {}
         self.known = known
 
@@ -87,6 +91,8 @@ class TermReader:
         if len(words) > self.known:
             words.clear()
         for w, n in Counter((text or "").lower().split()).items():
+            if w.strip(EDGES)[: BEGINNINGS[0]] not in self.heads:
+                continue
             places = words.get(w)
             if places is None:
                 places = words[w] = tuple(self.place[f] for f in forms(w) if f in self.place)
@@ -125,7 +131,8 @@ def toxicity_scores(
     learnt = df.select(F.col(key).alias("marked_key"), F.col(text).alias("body")).join(F.broadcast(marks), "marked_key")
     # Of repeated keys one text, so that the bound holds for rows too.
     rows = settled(learnt.groupBy("marked_key").agg(F.min("body").alias("body"), F.max("mark").alias("mark")), "toxicity")
-    terms = chosen_terms(rows, "body", "mark", CANDIDATES, TERMS)
+    with small_batches(df.sparkSession):
+        terms = chosen_terms(rows, "body", "mark", CANDIDATES, TERMS)
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = TermReader(terms)
@@ -134,7 +141,8 @@ def toxicity_scores(
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "mark", "fold"])
 
     fold = F.pmod(F.xxhash64("marked_key", F.lit("fold")), F.lit(FOLDS)).cast("long").alias("fold")
-    found = rows.select("body", F.col("mark").cast("long").alias("mark"), fold).mapInArrow(design, "x array<double>, mark long, fold long").collect()
+    with small_batches(df.sparkSession):
+        found = rows.select("body", F.col("mark").cast("long").alias("mark"), fold).mapInArrow(design, "x array<double>, mark long, fold long").collect()
     x = np.zeros((len(found), len(terms) + 2))
     for i, r in enumerate(found):
         x[i, [int(p) for p in r["x"][:-3]]] = 1.0
@@ -146,16 +154,13 @@ def toxicity_scores(
         for w in models:
             w[:], w[-1] = 0.0, -40.0
 
-    out = df.withColumn("scored_text", F.col(text))
-    at = len(out.columns) - 1
+    reader = TermReader(terms)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = TermReader(terms)
-        for batch in batches:
-            features = np.stack([reader.row(t) for t in batch.column(at).to_pylist()]) if batch.num_rows else np.zeros((0, len(terms) + 2))
-            p = run_chain(features, models)
-            columns = [*batch.columns[:at], *(pa.array(p[:, c]) for c in range(len(new)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], *new])
+    def chances(body: str | None) -> list[float]:
+        return run_chain(reader.row(body)[None, :], models)[0].tolist()
 
-    schema = StructType([*df.schema.fields, *(StructField(name, DoubleType()) for name in new)])
-    return out.mapInArrow(score, schema).withColumn("is_toxic", F.col("p_toxic") >= cut)
+    # Python gets the text alone, a hundred rows at a time: the caller runs this, and by Arrow a task held
+    # thousands of whole rows several times over. As a function that isn't deterministic it runs once a row.
+    scored = df.withColumn(new[0], F.udf(chances, ArrayType(DoubleType()), useArrow=False).asNondeterministic()(F.col(text)))
+    scored = scored.withColumns({name: F.col(new[0])[c] for c, name in enumerate(new)})
+    return scored.withColumn("is_toxic", F.col("p_toxic") >= cut)

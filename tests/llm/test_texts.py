@@ -5,11 +5,12 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from conftest_texts import texts_of
 from pyspark.sql import functions as F
 
-from engram.llm import chat, fingerprints, ngram_join, packing, quality_model, rules, sharding, stats, toxicity
+from engram.llm import chat, common, fingerprints, ngram_join, packing, quality_model, rules, sharding, stats, toxicity
 from engram.llm.components import connected
 from engram.llm.linear import fit_nonnegative_pu, sigmoid
 
@@ -298,3 +299,54 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in pieces} == {k for k, _ in want}
     assert max(r["length"] for r in pieces) <= packing.WINDOW
+
+
+def test_toxicity_gives_python_few_texts_at_a_time(spark):
+    # Scoring is run by the caller, so its batches are not the operator's to bound; whole rows by Arrow took an executor's memory.
+    rows = [(i, f"kind plain gardening {i}" if i % 3 else f"vile vileness *Vile!* word {i}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = labels(spark, [(i, 1, int("vile" in text)) for i, text in rows])
+    scored = toxicity.toxicity_scores(table, marks)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "ArrowEval" not in plan and plan.count("BatchEvalPython") == 1
+    filtered = scored.where("is_toxic")
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("BatchEvalPython") == 1
+    assert {r["doc_id"] for r in filtered.collect()} == set(range(0, 300, 3))
+
+
+def test_toxicity_where_every_label_is_toxic(spark):
+    rows = [(i, "vile word") for i in range(20)]
+    scored = toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels(spark, [(i, 1, 1) for i, _ in rows]))
+    assert all(r["is_toxic"] for r in scored.collect())
+
+
+def test_batches_are_small_inside_only(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 2000)).alias("text"))
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get(name)
+    with common.small_batches(spark):
+        sizes = [r["n"] for r in texts.mapInArrow(bytes_of, "n long").collect()]
+    assert spark.conf.get(name) == before
+    assert sum(sizes) > 3 * common.BATCH_BYTES and max(sizes) <= common.BATCH_BYTES + 20_000
+
+
+def test_places_of_words_are_those_of_their_forms():
+    terms = ["vile", "vile-", "gard-", "garde-", "ab", "abcde"]
+    reader, words = toxicity.TermReader(terms), ["vile", "*Vile*", "vilest", "gardens", "gard", "ab", "abc", "abcde", "abcdef", "--", "", "x"]
+    for word in words:
+        assert [terms[i] for i in reader.row(word)[:-2].nonzero()[0]] == [t for t in terms if t in toxicity.forms(word.lower())]
+
+
+def test_form_counts_add_up_beyond_the_bound(spark, monkeypatch):
+    table = spark.createDataFrame([(f"w{i % 40} shared",) for i in range(200)], "text string").coalesce(1)
+    whole = {r["form"]: r["n"] for r in toxicity.counted_forms(table, "text", None).collect()}
+    assert whole["shared"] == 200 and whole["w7"] == 5
+    monkeypatch.setattr(toxicity, "KNOWN", 10)
+    assert {r["form"]: r["n"] for r in toxicity.counted_forms(table, "text", None).collect()} == whole
+    among = toxicity.counted_forms(table, "text", frozenset(["w7", "share-", "none"])).collect()
+    assert {r["form"]: r["n"] for r in among} == {"w7": 5, "share-": 200}
